@@ -1 +1,102 @@
-"""Queries."""
+"""Queries over extracted claims and their stored passages."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import quotes, values
+from ..operators import verification as vf
+from . import views
+from .catalog import query
+
+
+def checked(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda name: views.claim_table(spark, sf, name)
+    return vf.check_claims(t("claims"), t("evidence"), t("aspects"))
+
+
+def verified(spark: SparkSession, sf: str) -> DataFrame:
+    return vf.verified(checked(spark, sf))
+
+
+def notes(spark: SparkSession, sf: str) -> DataFrame:
+    return vf.supersession_notes(views.claim_table(spark, sf, "entries"), views.claim_table(spark, sf, "note_evidence"))
+
+
+@query("ver_drop_reasons", views.claims_sql("SELECT run_id, claim_no, claim_id, drop_reason FROM checked"))
+def ver_drop_reasons(spark, sf):
+    return checked(spark, sf).select("run_id", "claim_no", "claim_id", "drop_reason")
+
+
+@query("ver_normalise_text", r"""SELECT doc_id, trim(regexp_replace(lower(translate(text, '‘’“”–—‑−', '''''""----')), '\s+', ' ', 'g')) AS text FROM documents""")
+def ver_normalise_text(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", quotes.matching_form(F.col("text")).alias("text"))
+
+
+@query("ver_exact_quote", r"""WITH asked AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN lower(substr(text, 20, 80)) WHEN 1 THEN '"' || substr(text, 20, 80) || '"' ELSE substr(text, 20, 80) END AS quote,
+  lower(trim(regexp_replace(substr(text, 20, 80), '\s+', ' ', 'g'))) AS plain FROM documents WHERE length(text) >= 150 AND NOT regexp_matches(text, '[^\x20-\x7eÀ-ÿ\n]'))
+SELECT doc_id, position(trim(plain, ' .''') IN lower(replace(text, chr(10), ' '))) AS start, length(trim(plain, ' .''')) AS length FROM asked WHERE NOT regexp_matches(text, '[ \n]{2}|\.{3}')""")
+def ver_exact_quote(spark, sf):
+    part, doc = F.substring("text", 20, 80), F.col("doc_id")
+    asked = views.table(spark, sf, "documents").filter(r"length(text) >= 150 AND NOT text rlike '[^\\x20-\\x7eÀ-ÿ\\n]|[ \\n]{2}|[.]{3}'").select(
+        doc, "text", F.when(doc % 3 == 0, F.lower(part)).when(doc % 3 == 1, F.concat(F.lit('"'), part, F.lit('"'))).otherwise(part).alias("quote"))
+    span = quotes.with_shown_quote(asked, F.col("quote"), F.col("text"), F.lit(False))
+    return span.select("doc_id", F.expr("cast(locate(lower(replace(shown_quote, '\n', ' ')), lower(replace(text, '\n', ' '))) as bigint)").alias("start"),
+                       F.length("shown_quote").cast("bigint").alias("length"))
+
+
+@query("ver_ellipsis_quote", views.claims_sql(r"""SELECT claim_id, run_id, CASE WHEN NOT swapped THEN substr(text, 1, length(text) - 1) END AS shown FROM (
+  SELECT *, claim_no % 2 = 0 AS swapped FROM (SELECT c.claim_no, c.claim_id, c.run_id, e.text FROM claims c JOIN evidence e ON e.run_id = c.run_id AND e.eid = c.evidence))"""))
+def ver_ellipsis_quote(spark, sf):
+    c = views.claim_table(spark, sf, "claims").select("run_id", "claim_no", "claim_id", F.col("evidence").alias("eid"))
+    e = views.claim_table(spark, sf, "evidence").select("run_id", "eid", "text")
+    head, tail = F.substring("text", 1, 14), F.expr("substring(text, length(text) - 14, 14)")
+    asked = c.join(e, ["run_id", "eid"]).withColumn("quote", F.when(
+        F.col("claim_no") % 2 == 0, F.concat(tail, F.lit(" ... "), head)).otherwise(F.concat(head, F.lit("…"), tail)))
+    return quotes.with_shown_quote(asked, F.col("quote"), F.col("text"), F.lit(False)).select("claim_id", "run_id", F.col("shown_quote").alias("shown"))
+
+
+@query("ver_fuzzy_quote", views.claims_sql("""SELECT run_id, claim_id, CASE WHEN contains(c.quote, ' thc ') AND length(c.quote) >= 13 THEN left(e.text, length(e.text) - 1) END AS shown
+FROM claims c JOIN evidence e ON e.run_id = c.run_id AND e.eid = c.evidence WHERE lower(c.quote) <> lower(e.text) AND length(c.quote) >= 10""").replace("SELECT run_id, claim_id, CASE WHEN contains", "SELECT c.run_id, c.claim_id, CASE WHEN contains"))
+def ver_fuzzy_quote(spark, sf):
+    c = views.claim_table(spark, sf, "claims").withColumnRenamed("evidence", "eid").select("run_id", "claim_id", "eid", "quote")
+    e = views.claim_table(spark, sf, "evidence").select("run_id", "eid", "text", "extraction_method")
+    rest = c.join(e, ["run_id", "eid"]).filter("lower(quote) <> lower(text) AND length(quote) >= 10")
+    shown = quotes.with_shown_quote(rest, F.col("quote"), F.col("text"), F.col("extraction_method") == "ocr")
+    return shown.select("run_id", "claim_id", F.col("shown_quote").alias("shown"))
+
+
+@query("ver_shown_quote", views.claims_sql("SELECT run_id, claim_id, quote, page, section, paragraph, document FROM verified"))
+def ver_shown_quote(spark, sf):
+    return verified(spark, sf).select("run_id", "claim_id", "quote", "page", "section", "paragraph", "document")
+
+
+@query("ver_value_confirm", views.claims_sql("SELECT run_id, claim_id, value, position_key, explicit FROM verified"))
+def ver_value_confirm(spark, sf):
+    return verified(spark, sf).select("run_id", "claim_id", "value", "position_key", "explicit")
+
+
+@query("ver_dedupe", views.claims_sql("SELECT run_id, aspect_id, count(*) AS kept, (SELECT count(*) FROM checked d WHERE d.run_id = v.run_id AND d.aspect_id = v.aspect_id AND d.drop_reason = 'duplicate') AS repeats FROM verified v GROUP BY ALL"))
+def ver_dedupe(spark, sf):
+    return checked(spark, sf).groupBy("run_id", "aspect_id").agg(
+        F.count(F.when(F.col("drop_reason").isNull(), 1)).alias("kept"), F.count(F.when(F.col("drop_reason") == "duplicate", 1)).alias("repeats")).filter("kept > 0")
+
+
+@query("ver_supersession", views.claims_sql("SELECT run_id, entry_no, aspect_id, note, chunk_id, quote FROM notes", views.NOTES_SQL))
+def ver_supersession(spark, sf):
+    return notes(spark, sf).select("run_id", "entry_no", "aspect_id", "note", "chunk_id", "quote")
+
+
+def shown_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Verified claims as shown, some of them tampered with: another page, another document, a changed quote."""
+    s = F.col("claim_no")
+    return verified(spark, sf).select(
+        "run_id", "claim_id", F.col("run_id").alias("scope"), "chunk_id", "document", "section",
+        F.when(s % 5 == 3, F.col("document_id") + 1).otherwise(F.col("document_id")).alias("document_id"),
+        F.when(s % 5 == 4, F.coalesce("page", F.lit(0)) + 1).otherwise(F.col("page")).alias("page"),
+        F.when(s % 11 == 5, F.concat("quote", F.lit("!"))).otherwise(F.col("quote")).alias("quote"))
+
+
+@query("ver_grounding_audit", views.claims_sql("SELECT run_id, claim_id, 'differs from passage' AS problem FROM verified WHERE claim_no % 5 IN (3, 4) OR claim_no % 11 = 5"))
+def ver_grounding_audit(spark, sf):
+    stored = views.claim_table(spark, sf, "evidence").withColumn("scope", F.col("run_id"))
+    return vf.ungrounded(shown_evidence(spark, sf), stored).select("run_id", "claim_id", "problem")

@@ -133,3 +133,104 @@ def paragraphs_sql(select: str) -> str:
 
 def chunks_sql(select: str) -> str:
     return f"WITH RECURSIVE {PARAGRAPHS_SQL},{PIECES_SQL},{CHUNKS_SQL}\n{select}"
+
+
+# --- claims from templated order lines; one SQL text for both engines ------------------------------------------
+CLAIM_ROWS_SQL = """WITH b AS (
+  SELECT l_orderkey AS run_id, l_linenumber AS tpl,
+         CAST(l_suppkey % 40 AS INT) AS document_id, l_suppkey AS s,
+         CASE WHEN CAST(l_quantity AS INT) % 3 = 2 THEN 45 ELSE 30 END AS t,
+         CAST(round(l_discount * 100) AS INT) % 3 + 1 AS d,
+         l_returnflag AS rf, l_linestatus AS ls, round(1 - 3 * l_tax, 4) AS conf,
+         'k' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
+             || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_quantity AS INT) AS STRING) || l_returnflag || CAST(CAST(round(l_discount * 100) AS INT) AS STRING) AS chunk_id
+  FROM lineitem),
+c AS (
+  SELECT *, CASE WHEN tpl IN (1, 2) THEN 1 WHEN tpl IN (3, 4) THEN tpl - 1 WHEN tpl = 5 THEN 4 WHEN tpl = 6 THEN 1 ELSE 5 END AS aspect_no,
+    CASE tpl WHEN 1 THEN 'Payment is due within ' || CAST(t AS STRING) || ' days of the invoice date.'
+             WHEN 2 THEN 'Clause 2 says net ' || CAST(t AS STRING) || ' payment terms apply to every order.'
+             WHEN 3 THEN 'A late fee of ' || CAST(d AS STRING) || '.50% per month applies to overdue amounts.'
+             WHEN 4 THEN 'The total amount due is USD ' || CAST(t AS STRING) || ',000.00 for this order.'
+             WHEN 5 THEN CASE WHEN t = 30 THEN 'Remote work is permitted for all staff.' ELSE 'Remote work is not permitted for all staff.' END
+             WHEN 6 THEN 'Payment is due within 2 weeks of receipt.'
+             ELSE 'This order is governed by the laws of ' || CASE rf WHEN 'A' THEN 'Delaware' WHEN 'N' THEN 'New York' ELSE 'India' END || '.' END AS text,
+    CASE tpl WHEN 1 THEN CAST(t AS STRING) || ' days' WHEN 2 THEN 'net ' || CAST(t AS STRING)
+             WHEN 3 THEN CAST(d AS STRING) || '.5 percent' WHEN 4 THEN '$' || CAST(t AS STRING) || ',000'
+             WHEN 5 THEN CASE WHEN t = 30 THEN 'yes' ELSE 'no' END WHEN 6 THEN '14 days'
+             ELSE 'The ' || CASE rf WHEN 'A' THEN 'Delaware' WHEN 'N' THEN 'New York' ELSE 'India' END END AS value0,
+    CASE tpl WHEN 3 THEN 'percent' WHEN 4 THEN 'money' WHEN 5 THEN 'boolean' WHEN 7 THEN 'text' ELSE 'duration' END AS value_type
+  FROM b)
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY chunk_id, t, d, rf, ls, conf) AS claim_no, aspect_no,
+  CASE aspect_no WHEN 1 THEN 'Payment period' WHEN 2 THEN 'Late fee' WHEN 3 THEN 'Total' WHEN 4 THEN 'Remote work' ELSE 'Governing law' END AS aspect_label,
+  chunk_id, document_id, text, value_type,
+  CASE WHEN s % 10 = 5 AND value_type = 'duration' THEN '99 days' ELSE value0 END AS value,
+  CASE s % 10 WHEN 0 THEN replace(text, ' the ', ' thc ') WHEN 1 THEN 'this sentence is not in any passage'
+              WHEN 2 THEN substring(text, 1, 8) WHEN 3 THEN upper(text) ELSE text END AS quote,
+  CASE WHEN s % 25 = 4 THEN NULL ELSE chunk_id END AS cited_chunk_id,
+  CASE rf WHEN 'A' THEN 'Domestic  Orders' WHEN 'N' THEN NULL ELSE ' General ' END AS scope,
+  ls = 'F' AS explicit, CASE WHEN s % 4 = 0 THEN 'ocr' ELSE 'text' END AS extraction_method,
+  CASE WHEN s % 4 = 0 THEN conf END AS ocr_confidence
+FROM c"""
+
+# claims as extracted (unknown aspects, repeats), their evidence, and the aspects of each run
+CLAIMS_SQL = f"""
+v4 AS ({CLAIM_ROWS_SQL}),
+base AS (SELECT *, CASE WHEN run_id % 3 = 0 AND value = '14 days' THEN 'A7' ELSE 'A' || CAST(aspect_no AS STRING) END AS topic FROM v4),
+claims AS (
+  SELECT run_id, CAST(no AS INT) AS claim_no, 'C' || CAST(no AS STRING) AS claim_id,
+    CASE WHEN (claim_no + document_id) % 23 = 0 THEN 'A9' ELSE topic END AS aspect_id,
+    CASE WHEN cited_chunk_id IS NULL THEN 'E0' ELSE 'E' || CAST(claim_no AS STRING) END AS evidence, quote, value, value_type, scope, explicit
+  FROM (SELECT *, claim_no AS no FROM base UNION ALL SELECT *, claim_no + 1000 AS no FROM base WHERE claim_no % 7 = 1) x),
+evidence AS (
+  SELECT run_id, 'E' || CAST(claim_no AS STRING) AS eid, chunk_id, document_id, 'File_' || CAST(document_id AS STRING) || '.pdf' AS document,
+    CASE WHEN document_id % 3 <> 0 THEN document_id % 5 + 1 END AS page, CASE WHEN document_id % 2 = 0 THEN '4.' || CAST(document_id AS STRING) || ' Terms' END AS section,
+    CAST(claim_no AS INT) AS paragraph, text, extraction_method, ocr_confidence FROM base),
+aspects AS (
+  SELECT DISTINCT run_id, aspect_no, 'A' || CAST(aspect_no AS STRING) AS aspect_id, aspect_label AS label FROM base
+  UNION ALL SELECT DISTINCT run_id, 7, 'A7', 'Payment --  PERIOD' FROM base WHERE topic = 'A7'
+  UNION ALL SELECT DISTINCT run_id, 6, 'A6', 'Warranty' FROM base WHERE run_id % 8 = 0),
+note_rows AS (SELECT run_id, CAST(claim_no AS INT) AS claim_no, document_id, chunk_id, CASE WHEN run_id % 2 = 0 THEN 'A1' ELSE NULL END AS aspect_id,
+  'Notice ' || CAST(document_id AS STRING) || CASE WHEN document_id % 3 = 0 THEN ' follows' ELSE ' replaces' END || ' clause 9.1 of the original order.' AS text FROM base WHERE value_type = 'text'),
+note_evidence AS (SELECT run_id, 'N' || CAST(claim_no AS STRING) AS eid, 'n' || chunk_id AS chunk_id, document_id, 'File_' || CAST(document_id AS STRING) || '.pdf' AS document,
+  1 AS page, 'Amendments' AS section, claim_no AS paragraph, text, 'text' AS extraction_method, CAST(NULL AS DOUBLE) AS ocr_confidence FROM note_rows),
+entries AS (
+  SELECT run_id, claim_no AS entry_no, 'N' || CAST(claim_no AS STRING) AS evidence, CASE WHEN document_id % 5 = 0 THEN 'too short' ELSE upper(text) END AS quote, aspect_id FROM note_rows
+  UNION ALL SELECT run_id, claim_no + 1000, 'N' || CAST(claim_no AS STRING), text, aspect_id FROM note_rows)"""
+
+
+def claim_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """claims, evidence, aspects, note_evidence, entries (or v4, the raw templated rows)."""
+    text = CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}")
+    frame = spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=table(spark, sf, "lineitem"))
+    if "text" in frame.columns and "eid" in frame.columns:
+        frame = frame.withColumn("text_hash", tx.text_hash(F.col("text")))
+    return frame
+
+
+VERIFIED_SQL = r"""
+joined AS (SELECT c.*, e.* EXCLUDE (run_id, eid), trim(c.quote) AS q, a.label IS NOT NULL AS known, sha256(lower(e.text)) AS text_hash
+  FROM claims c LEFT JOIN evidence e ON e.run_id = c.run_id AND e.eid = c.evidence LEFT JOIN aspects a ON a.run_id = c.run_id AND a.aspect_id = c.aspect_id),
+reasons AS (SELECT *, CASE WHEN chunk_id IS NULL THEN 'unknown_evidence' WHEN NOT known THEN 'unknown_aspect' WHEN length(q) NOT BETWEEN 10 AND 300 THEN 'bad_quote_length'
+    WHEN lower(q) <> lower(text) AND replace(q, ' thc ', ' the ') <> text THEN 'quote_not_found' END AS reason,
+  left(text, length(text) - 1) AS shown, value = '99 days' AS wrong,
+  CASE value_type WHEN 'duration' THEN 'quantity:' || regexp_extract(value, '[0-9]+') || '|day' WHEN 'percent' THEN 'percent:' || regexp_extract(value, '[0-9.]+')
+    WHEN 'money' THEN 'money:USD|' || replace(regexp_extract(value, '[0-9,]+'), ',', '') WHEN 'boolean' THEN 'boolean:' || value ELSE 'text:' || lower(replace(value, 'The ', '')) END AS key0,
+  CASE value_type WHEN 'duration' THEN regexp_extract(value, '[0-9]+') || ' days' WHEN 'percent' THEN regexp_extract(value, '[0-9.]+') || '%'
+    WHEN 'money' THEN 'USD ' || substr(value, 2) WHEN 'boolean' THEN upper(left(value, 1)) || substr(value, 2) ELSE value END AS display FROM joined),
+checked AS (SELECT run_id, claim_no, claim_id, aspect_id, CASE WHEN wrong OR reason IS NOT NULL AND (reason <> 'quote_not_found' OR true) THEN value ELSE display END AS value, value_type,
+    CASE WHEN reason IS NULL AND NOT wrong THEN key0 END AS position_key,
+    CASE WHEN scope LIKE 'Domestic%' THEN 'domestic orders' END AS scope, explicit AND NOT (reason IS NULL AND wrong) AS explicit, chunk_id, document_id, document, page, section, paragraph, text_hash, extraction_method,
+    CASE WHEN reason IS NULL THEN shown END AS quote, CASE WHEN extraction_method = 'ocr' THEN CASE WHEN ocr_confidence < 0.8 THEN 'low' ELSE 'good' END END AS ocr_quality,
+    coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY run_id, aspect_id, chunk_id, reason ORDER BY claim_no) > 1 THEN 'duplicate' END) AS drop_reason
+  FROM reasons),
+verified AS (SELECT * EXCLUDE (drop_reason) FROM checked WHERE drop_reason IS NULL)"""
+
+NOTES_SQL = """
+notes AS (SELECT n.run_id, x.entry_no, x.aspect_id, n.document || ' states that it replaces or amends an earlier provision.' AS note, n.chunk_id, n.document_id, n.document, n.page, n.section, n.paragraph,
+    n.extraction_method, left(n.text, length(n.text) - 1) AS quote
+  FROM entries x JOIN note_evidence n ON n.run_id = x.run_id AND n.eid = x.evidence WHERE length(x.quote) >= 10 AND contains(n.text, 'replaces')
+  QUALIFY row_number() OVER (PARTITION BY n.run_id, n.chunk_id, x.aspect_id ORDER BY x.entry_no) = 1)"""
+
+
+def claims_sql(select: str, *parts: str) -> str:
+    return f"WITH {','.join([CLAIMS_SQL, VERIFIED_SQL, *parts])}\n{select}"

@@ -16,7 +16,7 @@ SQL_SETTINGS = {
 
 def local_session(name: str = "corrobora", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(name)
-               .config("spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
                .config("spark.sql.shuffle.partitions", str(partitions)))
     for key, value in SQL_SETTINGS.items():
         builder = builder.config(key, value)
