@@ -39,7 +39,7 @@ PAGE_NUMBER = r"(?i)^\s*(page\s*)?\d+(\s*(of|/)\s*\d+)?\s*$"
 SENTENCE_END = r"(?<=[.!?])" + WS + "+"
 TOKEN = r"([a-z0-9]+)"
 ELLIPSIS = r"\.{3,}|…"
-SUPERSESSION_CUE = r"(?iU)\b(replac|amend|supersed|overrid)\w*"
+SUPERSESSION_CUE = r"(?i)(?<![\p{L}\p{N}_])(replac|amend|supersed|overrid)"
 EVIDENCE_IDS = r"\s*[\(\[]\s*[EC]\d+(?:\s*(?:,|and|&)\s*[EC]\d+)*\s*[\)\]]"
 STAGE_FIELD = r'(\w+)=("[^"]*"|\S+)'
 QUOTE_CHARS_FROM, QUOTE_CHARS_TO = "‘’“”–—‑−", "''\"\"----"
@@ -72,19 +72,24 @@ VALUE_TYPES = ["duration", "date", "money", "percent", "number", "boolean", "tex
 
 # --- fixed values: number, money and date patterns -------------------------------------------------
 _word = "|".join(sorted([*UNIT_WORDS, *SCALE_WORDS], key=len, reverse=True))
+_end = r"(?![\p{L}\p{N}_])"  # end of a word, for letters of any language
+_start = r"(?<![\p{L}\p{N}_])"
+_space = r"[\s\p{Z}]"
 DIGITS = r"\d[\d,]*(?:\.\d+)?"
-NUMBER = rf"(?:(?:{_word})\b(?:[\s-]+(?:{_word})\b)*(?:\s*\(\s*{DIGITS}\s*\))?|{DIGITS})"
-QUANTITY = rf"(?iU)(?<![\w.])({NUMBER})(?:\s*-?\s*([A-Za-z]+))?(?:\s+([A-Za-z]+))?"
-NET_DAYS = r"(?iU)\bnet\s+(\d+)\b"
-PERCENT = rf"(?iU)(?<![\w.])({NUMBER})\s*(?:%|percent\b|per\s+cent\b)"
-_suffix = r"(?:\s*(k|m|million|billion|lakhs?|crores?)\b)?"
-MONEY_PREFIX = rf"(?iU)(US\$|USD|EUR|GBP|INR|Rs\.?|\$|€|£|₹)\s*({DIGITS}){_suffix}"
-MONEY_SUFFIX = rf"(?iU)({DIGITS}){_suffix}\s*(USD|EUR|GBP|INR|dollars?|euros?|pounds?|rupees?)\b"
+NUMBER = rf"(?:(?:{_word}){_end}(?:(?:{_space}|-)+(?:{_word}){_end})*(?:{_space}*\({_space}*{DIGITS}{_space}*\))?|{DIGITS})"
+# a number starts with a digit or one of the first letters of the number words
+_number_start = r"(?=[zotfsenh\d])(?<![\p{L}\p{N}_.])"
+QUANTITY = rf"(?i){_number_start}({NUMBER})(?:{_space}*-?{_space}*([A-Za-z]+))?(?:{_space}+([A-Za-z]+))?"
+NET_DAYS = rf"(?i){_start}net{_space}+(\d+){_end}"
+PERCENT = rf"(?i){_number_start}({NUMBER}){_space}*(?:%|percent{_end}|per{_space}+cent{_end})"
+_suffix = rf"(?:{_space}*(k|m|million|billion|lakhs?|crores?){_end})?"
+MONEY_PREFIX = rf"(?i)(US\$|USD|EUR|GBP|INR|Rs\.?|\$|€|£|₹){_space}*({DIGITS}){_suffix}"
+MONEY_SUFFIX = rf"(?i)({DIGITS}){_suffix}{_space}*(USD|EUR|GBP|INR|dollars?|euros?|pounds?|rupees?){_end}"
 MONTH_NUMBERS = {m.lower(): i for i, m in enumerate(MONTHS, 1)} | {m[:3].lower(): i for i, m in enumerate(MONTHS, 1)} | {"sept": 9}
 _month = "|".join(sorted(MONTH_NUMBERS, key=len, reverse=True))
-DATE_ISO = r"(?U)\b(\d{4}-\d{2}-\d{2})\b"
-DATE_DMY = rf"(?iU)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_month})\.?,?\s+(\d{{4}})\b"
-DATE_MDY = rf"(?iU)\b({_month})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"
+DATE_ISO = rf"{_start}(\d{{4}}-\d{{2}}-\d{{2}}){_end}"
+DATE_DMY = rf"(?i){_start}(\d{{1,2}})(?:st|nd|rd|th)?{_space}+({_month})\.?,?{_space}+(\d{{4}}){_end}"
+DATE_MDY = rf"(?i){_start}({_month})\.?{_space}+(\d{{1,2}})(?:st|nd|rd|th)?,?{_space}+(\d{{4}}){_end}"
 
 # --- fixed values: sentences shown to the reader -----------------------------------------------------
 REJECT_TYPE = "Unsupported file type"

@@ -14,6 +14,12 @@ from .text import let, squeeze, strip
 VALUE = "struct<key:string,display:string,family:string>"
 
 
+def _matches(text: Column, pattern: str, names: tuple[str, ...]) -> Column:
+    """array<struct> of the named groups of every match: one pass over the text, then the groups of each short match."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(
+        *[F.regexp_extract(m, pattern, i).alias(n) for i, n in enumerate(names, 1)]))
+
+
 def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*table.items())]), key)
 
@@ -63,7 +69,6 @@ def singular(word: Column) -> Column:
 
 def quantities(text: Column) -> Column:
     """array<struct<num,unit>>: 'net N' first, then every number with its noun; weeks become days."""
-    groups = [F.regexp_extract_all(text, F.lit(fixed.QUANTITY), F.lit(i)) for i in (1, 2, 3)]
     net = F.transform(F.regexp_extract_all(text, F.lit(fixed.NET_DAYS), F.lit(1)),
                       lambda n: F.struct(number_text(n).alias("num"), F.lit("day").alias("unit")))
 
@@ -75,7 +80,7 @@ def quantities(text: Column) -> Column:
         return let(F.struct(number(m["num"]).alias("num"), unit_of(m).alias("unit")), lambda q: F.when(
             q["unit"] == "week", F.struct(_weeks(q["num"]).alias("num"), F.lit("day").alias("unit"))).otherwise(q))
 
-    found = F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("num", "w1", "w2"))]), one)
+    found = F.transform(_matches(text, fixed.QUANTITY, ("num", "w1", "w2")), one)
     return F.filter(F.concat(net, found), lambda q: q["num"].isNotNull())
 
 
@@ -86,8 +91,7 @@ def _weeks(num: Column) -> Column:
 def money(text: Column) -> Column:
     """array<struct<currency,amount,shown>>: currency-first matches, then currency-last matches."""
     def matches(pattern, order):
-        parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(order, 1)]
-        return F.transform(F.arrays_zip(*parts), lambda m: F.struct(
+        return F.transform(_matches(text, pattern, order), lambda m: F.struct(
             _lookup(fixed.CURRENCIES, F.lower(m["cur"])).alias("currency"),
             F.regexp_replace(m["amt"], ",", "").alias("digits"),
             _lookup(fixed.MULTIPLIERS, F.lower(m["suf"])).alias("factor")))
@@ -117,8 +121,7 @@ def percents(text: Column) -> Column:
 def dates(text: Column) -> Column:
     """array<string> of YYYY-MM-DD: ISO first, then day-month-year, then month-day-year wordings."""
     def wordings(pattern, order):
-        parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(order, 1)]
-        return F.transform(F.arrays_zip(*parts), lambda m: F.concat_ws(
+        return F.transform(_matches(text, pattern, order), lambda m: F.concat_ws(
             "-", m["y"], F.lpad(_lookup(fixed.MONTH_NUMBERS, F.lower(m["m"])).cast("string"), 2, "0"), F.lpad(m["d"], 2, "0")))
     return F.concat(F.regexp_extract_all(text, F.lit(fixed.DATE_ISO), F.lit(1)),
                     wordings(fixed.DATE_DMY, ("d", "m", "y")), wordings(fixed.DATE_MDY, ("m", "d", "y")))
@@ -127,7 +130,7 @@ def dates(text: Column) -> Column:
 def polarity(text: Column, bare: bool) -> Column:
     """'yes', 'no' or NULL. Bare yes/no/true/false count only when `bare`."""
     def cue(words):
-        return rf"(?U)\b(?:{'|'.join(words)})\b"
+        return rf"(?<!{fixed.WORD_CHAR})(?:{'|'.join(words)})(?!{fixed.WORD_CHAR})"
 
     def decide(t):
         result = F.when(t.rlike(cue(fixed.NEGATIVE_CUES)), "no").when(t.rlike(cue(fixed.POSITIVE_CUES)), "yes")
