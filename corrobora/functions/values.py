@@ -3,12 +3,11 @@
 Numbers travel as canonical decimal text (no leading or trailing zeros), so keys never depend on float rendering.
 """
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .memo import built_once
 from .text import let, squeeze, strip
 
 VALUE = "struct<key:string,display:string,family:string>"
@@ -21,7 +20,9 @@ def _matches(text: Column, pattern: str, names: tuple[str, ...]) -> Column:
 
 
 def _lookup(table: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*table.items())]), key)
+    """Value of a small fixed table as text, or NULL. One literal keeps the plan short; it is folded to a map once."""
+    pairs = F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in table.items())), F.lit(";"), F.lit("="))
+    return F.try_element_at(pairs, key)
 
 
 def number_text(digits: Column) -> Column:
@@ -30,21 +31,22 @@ def number_text(digits: Column) -> Column:
     return F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0*$", "")).otherwise(plain)
 
 
+def _scaled(acc, w) -> Column:
+    return F.try_multiply(F.greatest(acc["cur"], F.lit(1).cast("bigint")), w["scale"])
+
+
 def words_number(text: Column) -> Column:
     """'forty-five', 'two hundred' ... as decimal text; NULL when any word is not a number word."""
     words = F.split(F.lower(strip(text)), rf"(?:{fixed.WS}|-)+")
     zero = F.lit(0).cast("bigint")
 
     def add(acc, word):
-        unit, scale = _lookup(fixed.UNIT_WORDS, word), _lookup(fixed.SCALE_WORDS, word)
-        scaled = F.try_multiply(F.greatest(acc["cur"], F.lit(1).cast("bigint")), scale.cast("bigint"))
-        thousand = scale >= 1000
-        return F.struct(
-            F.when(thousand, F.try_add(acc["total"], scaled)).otherwise(acc["total"]).alias("total"),
-            F.when(unit.isNotNull(), acc["cur"] + unit).when(thousand, zero).when(scale.isNotNull(), scaled)
+        return let(F.struct(_lookup(fixed.UNIT_WORDS, word).cast("bigint").alias("unit"), _lookup(fixed.SCALE_WORDS, word).cast("bigint").alias("scale")), lambda w: F.struct(
+            F.when(w["scale"] >= 1000, F.try_add(acc["total"], _scaled(acc, w))).otherwise(acc["total"]).alias("total"),
+            F.when(w["unit"].isNotNull(), acc["cur"] + w["unit"]).when(w["scale"] >= 1000, zero).when(w["scale"].isNotNull(), _scaled(acc, w))
              .otherwise(acc["cur"]).alias("cur"),
-            (acc["seen"] | unit.isNotNull() | scale.isNotNull()).alias("seen"),
-            (acc["bad"] | ((word != "") & unit.isNull() & scale.isNull())).alias("bad"))
+            (acc["seen"] | w["unit"].isNotNull() | w["scale"].isNotNull()).alias("seen"),
+            (acc["bad"] | ((word != "") & w["unit"].isNull() & w["scale"].isNull())).alias("bad")))
 
     start = F.struct(zero.alias("total"), zero.alias("cur"), F.lit(False).alias("seen"), F.lit(False).alias("bad"))
     return F.aggregate(words, start, add, lambda a: F.when(
@@ -73,8 +75,8 @@ def quantities(text: Column) -> Column:
                       lambda n: F.struct(number_text(n).alias("num"), F.lit("day").alias("unit")))
 
     def unit_of(m):
-        qualified = _lookup(fixed.DAY_QUALIFIERS, F.lower(m["w1"]))
-        return F.when(singular(m["w2"]) == "day", F.coalesce(qualified, singular(m["w1"]))).otherwise(singular(m["w1"]))
+        qualified = F.when(F.lower(m["w2"]).isin("day", "days"), _lookup(fixed.DAY_QUALIFIERS, F.lower(m["w1"])))
+        return F.coalesce(qualified, singular(m["w1"]))
 
     def one(m):
         return let(F.struct(number(m["num"]).alias("num"), unit_of(m).alias("unit")), lambda q: F.when(
@@ -122,7 +124,7 @@ def dates(text: Column) -> Column:
     """array<string> of YYYY-MM-DD: ISO first, then day-month-year, then month-day-year wordings."""
     def wordings(pattern, order):
         return F.transform(_matches(text, pattern, order), lambda m: F.concat_ws(
-            "-", m["y"], F.lpad(_lookup(fixed.MONTH_NUMBERS, F.lower(m["m"])).cast("string"), 2, "0"), F.lpad(m["d"], 2, "0")))
+            "-", m["y"], F.lpad(_lookup(fixed.MONTH_NUMBERS, F.lower(m["m"])), 2, "0"), F.lpad(m["d"], 2, "0")))
     return F.concat(F.regexp_extract_all(text, F.lit(fixed.DATE_ISO), F.lit(1)),
                     wordings(fixed.DATE_DMY, ("d", "m", "y")), wordings(fixed.DATE_MDY, ("m", "d", "y")))
 
@@ -211,6 +213,16 @@ def quote_supports(norm: Column, quote: Column) -> Column:
     return let(norm, check)
 
 
+@built_once
+def normalized(value: str, value_type: str) -> Column:
+    return normalize(F.col(value), F.col(value_type))
+
+
+@built_once
+def supported(norm: str, quote: str) -> Column:
+    return quote_supports(F.col(norm), F.col(quote))
+
+
 def scope(raw: Column) -> Column:
     return let(squeeze(F.lower(F.coalesce(raw, F.lit("")))), lambda s: F.when(~s.isin(*fixed.NO_SCOPE), s))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..functions.memo import built_once
 from ..functions.text import let, squeeze
 
 CLAIM = ["claim_no", "claim_id", "aspect_id", "value", "value_type", "position_key", "scope", "explicit", "chunk_id", "text_hash",
@@ -89,36 +90,73 @@ def gathered(rows: DataFrame, order: str, fields: list[str], name: str) -> DataF
     return rows.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(*first))).alias(name))
 
 
-def case_rows(runs: DataFrame, aspects: DataFrame, claims: DataFrame, notes: DataFrame, check_failed: str = "check_failed") -> DataFrame:
-    """One row per run: its aspects with status, positions and notes, and its claims with merged aspect ids."""
-    empty = {"aspects": gathered(aspects, "aspect_no", ["aspect_no", "aspect_id", "label"], "aspects"),
-             "claims": gathered(claims, "claim_no", CLAIM, "claims"), "notes": gathered(notes, "entry_no", NOTE, "notes")}
+def claim_cases(checked: DataFrame) -> DataFrame:
+    """Per run: verified claims in order, how many were extracted, how many were lost (repeats do not count)."""
+    kept = F.when(F.col("drop_reason").isNull(), F.struct(*CLAIM))
+    return checked.groupBy("run_id").agg(
+        F.sort_array(F.collect_list(kept)).alias("claims"), F.count(F.lit(1)).alias("extracted"),
+        F.count(F.when(F.col("drop_reason") != "duplicate", 1)).alias("lost"))
+
+
+def case_rows(runs: DataFrame, aspects: DataFrame, checked: DataFrame, notes: DataFrame) -> DataFrame:
+    """One row per run: its aspects with status, positions and notes, and its claims with merged aspect ids.
+
+    Runs without analysis (`evidence_only`, or no ready documents) have no claims and no aspects.
+    """
     rows = runs
-    for name, frame in empty.items():
-        kind = frame.schema[name].dataType.simpleString()
-        rows = rows.join(frame, "run_id", "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {kind})")))
-    return with_results(rows, check_failed)
+    for frame in (gathered(aspects, "aspect_no", ["aspect_no", "aspect_id", "label"], "aspects"), claim_cases(checked),
+                  gathered(notes, "entry_no", NOTE, "notes")):
+        rows = rows.join(frame, "run_id", "left")
+    analysed = ~F.col("evidence_only") & F.col("has_documents")
+    for name in ("aspects", "claims", "notes"):
+        kind = rows.schema[name].dataType.simpleString()
+        rows = rows.withColumn(name, F.when(analysed & F.col(name).isNotNull(), F.col(name)).otherwise(F.expr(f"cast(array() as {kind})")))
+    rows = rows.withColumns({n: F.when(analysed, F.coalesce(n, F.lit(0))).otherwise(0).cast("bigint") for n in ("extracted", "lost")})
+    return with_results(rows)
 
 
-def with_results(rows: DataFrame, check_failed: str = "check_failed") -> DataFrame:
-    keys = F.transform("aspects", lambda a: label_key(a["label"], a["aspect_id"]))
-    ids = F.transform("aspects", lambda a: a["aspect_id"])
-    rows = rows.withColumns({"_keys": keys, "_ids": ids})
+@built_once
+def _label_keys() -> Column:
+    return F.transform("aspects", lambda a: label_key(a["label"], a["aspect_id"]))
 
-    def home(aspect_id):
-        at = F.array_position("_ids", aspect_id).cast("int")
-        first = let(at, lambda i: F.when(i > 0, F.array_position("_keys", F.element_at("_keys", i)).cast("int")))
-        return F.coalesce(let(first, lambda i: F.when(i.isNotNull(), F.element_at("_ids", i))), aspect_id)
 
-    failed = F.col(check_failed)
+@built_once
+def _merged_topics(check_failed: str) -> Column:
+    return F.when(F.col(check_failed), F.col("aspects")).otherwise(
+        F.filter("aspects", lambda a, i: F.array_position("_keys", F.element_at("_keys", i + 1)) == i + 1))
+
+
+def _home(aspect_id: Column) -> Column:
+    """The first aspect of the run with the same label."""
+    at = F.array_position("_ids", aspect_id).cast("int")
+    first = let(at, lambda i: F.when(i > 0, F.array_position("_keys", F.element_at("_keys", i)).cast("int")))
+    return F.coalesce(let(first, lambda i: F.when(i.isNotNull(), F.element_at("_ids", i))), aspect_id)
+
+
+def _moved(items: str, fields: list[str], check_failed: str) -> Column:
+    return F.transform(items, lambda c: F.struct(*[
+        (F.when(F.col(check_failed), c[f]).otherwise(_home(c[f])) if f == "aspect_id" else c[f]).alias(f) for f in fields]))
 
-    def moved(items, fields):
-        return F.transform(items, lambda c: F.struct(*[(F.when(failed, c[f]).otherwise(home(c[f])) if f == "aspect_id" else c[f]).alias(f)
-                                                       for f in fields]))
 
-    rows = rows.withColumns({"claims": moved("claims", CLAIM), "notes": moved("notes", NOTE), "topics": F.when(failed, F.col("aspects")).otherwise(
-        F.filter("aspects", lambda a, i: F.array_position("_keys", F.element_at("_keys", i + 1)) == i + 1))})
-    rows = rows.drop("_keys", "_ids", "aspects")
+@built_once
+def _moved_claims(check_failed: str) -> Column:
+    return _moved("claims", CLAIM, check_failed)
+
+
+@built_once
+def _moved_notes(check_failed: str) -> Column:
+    return _moved("notes", NOTE, check_failed)
+
+
+@built_once
+def _results(check_failed: str) -> Column:
+    failed = F.col(check_failed)
+
+    def notes_of(a):
+        def known(n):
+            return F.coalesce(F.exists("topics", lambda t: t["aspect_id"] == n["aspect_id"]), F.lit(False))
+        return F.filter("notes", lambda n: ~failed & (
+            F.coalesce(n["aspect_id"] == a["aspect_id"], F.lit(False)) | ((F.size("topics") == 1) & ~known(n))))
 
     def result(a):
         own = F.filter("claims", lambda c: c["aspect_id"] == a["aspect_id"])
@@ -127,12 +165,16 @@ def with_results(rows: DataFrame, check_failed: str = "check_failed") -> DataFra
             F.when(F.size(cs) == 0, "uncovered").when(failed, "consistent").when(_any_conflict(cs), "conflict")
              .when(F.size(ps) > 1, "complementary").otherwise("consistent").alias("status"),
             F.when(~failed & F.exists(ps, lambda p: values.family_of(p["key"]) == "text"), "text").otherwise("typed").alias("basis"),
-            F.when(failed, F.slice(ps, 1, 0)).otherwise(ps).alias("positions"),
-            F.filter("notes", lambda n: ~failed & (
-                F.coalesce(n["aspect_id"] == a["aspect_id"], F.lit(False))
-                | ((F.size("topics") == 1) & ~F.coalesce(F.exists("topics", lambda t: t["aspect_id"] == n["aspect_id"]), F.lit(False))))).alias("notes"))))
+            F.when(failed, F.slice(ps, 1, 0)).otherwise(ps).alias("positions"), notes_of(a).alias("notes"))))
+
+    return F.transform("topics", result)
 
-    return rows.withColumn("results", F.transform("topics", result)).drop("topics")
+
+def with_results(rows: DataFrame, check_failed: str = "check_failed") -> DataFrame:
+    """Adds `results`; needs the arrays aspects, claims and notes."""
+    rows = rows.withColumns({"_keys": _label_keys(), "_ids": F.transform("aspects", lambda a: a["aspect_id"])})
+    rows = rows.withColumns({"claims": _moved_claims(check_failed), "notes": _moved_notes(check_failed), "topics": _merged_topics(check_failed)})
+    return rows.drop("_keys", "_ids", "aspects").withColumn("results", _results(check_failed)).drop("topics")
 
 
 def _positions(claims: Column) -> Column:

@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.memo import built_once
 from ..functions.text import let
-from ..functions.wording import counted, joined, lower_first, sentence, text
+from ..functions.wording import counted, lower_first, sentence, text
 
 SIGNALS = ["evidence_retrieved", "claims_extracted", "claims_verified", "claims_dropped", "documents_cited", "aspects_total", "aspects_covered",
            "conflicting_aspects", "explicit_claims", "ocr_claims", "ocr_low_claims", "ambiguous", "inferred_claims", "aspects_uncovered",
@@ -36,8 +37,8 @@ def _support(aspect: Column) -> Column:
     return let(F.filter("claims", lambda c: c["aspect_id"] == aspect["aspect_id"]), of)
 
 
-def with_signals(rows: DataFrame) -> DataFrame:
-    """Adds `signals`, the counters of a run. Needs results, claims, n_evidence, extracted, lost and the run flags."""
+@built_once
+def _signals() -> Column:
     verified, aspects = F.size("claims"), F.size("results")
     explicit = _count("claims", lambda c: c["explicit"])
     covered = _count("results", lambda a: a["status"] != "uncovered")
@@ -47,12 +48,22 @@ def with_signals(rows: DataFrame) -> DataFrame:
               _count("claims", lambda c: c["ocr_quality"] == "low"), F.col("ambiguous"), verified - explicit, aspects - covered,
               F.coalesce(support, F.lit(0)), F.col("evidence_only"), F.col("check_failed"), F.col("llm_source")]
     kinds = {"ambiguous": "boolean", "evidence_only": "boolean", "conflict_check_failed": "boolean", "llm_source": "string"}
-    return rows.withColumn("signals", F.struct(*[v.cast(kinds.get(n, "bigint")).alias(n) for n, v in zip(SIGNALS, values)]))
+    return F.struct(*[v.cast(kinds.get(n, "bigint")).alias(n) for n, v in zip(SIGNALS, values)])
+
+
+def with_signals(rows: DataFrame) -> DataFrame:
+    """Adds `signals`, the counters of a run. Needs results, claims, n_evidence, extracted, lost and the run flags."""
+    return rows.withColumn("signals", _signals())
+
+
+@built_once
+def _supports() -> Column:
+    return F.transform("results", _support)
 
 
 def with_rule(rows: DataFrame) -> DataFrame:
     """Adds `support` per aspect, `rule` 1..9 and `state`. Needs signals."""
-    rows = rows.withColumn("support", F.transform("results", _support))
+    rows = rows.withColumn("support", _supports())
     s = lambda name: F.col(f"signals.{name}")
     rule = (F.when(F.col("evidence_only"), 1).when(~F.col("has_documents") | (s("claims_verified") == 0), 2).when(s("conflicting_aspects") > 0, 3)
             .when(F.col("ambiguous"), 4).when(s("aspects_uncovered") > 0, 5).when(s("explicit_claims") == 0, 6)
@@ -63,8 +74,8 @@ def with_rule(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rule", rule).withColumn("state", F.element_at(names, F.col("rule")))
 
 
-def with_reasons(rows: DataFrame) -> DataFrame:
-    """Adds `reasons`: fixed sentences in a fixed order, without repeats. Needs rule, support and signals."""
+@built_once
+def _reasons() -> Column:
     s = lambda name: F.col(f"signals.{name}")
     rule = F.col("rule")
     n = s("claims_verified")
@@ -114,7 +125,12 @@ def with_reasons(rows: DataFrame) -> DataFrame:
     discarded = F.when(lost > 0, F.concat(counted(lost, "extracted statement"), F.when(lost == 1, " was").otherwise(" were"),
                                           F.lit(" discarded "), F.lit(fixed.REASON_DISCARDED)))
     every = F.concat(one(confirmed), verdict, notes, one(scans), applied, one(discarded))
-    return rows.withColumn("reasons", F.array_distinct(F.filter(every, lambda r: r.isNotNull())))
+    return F.array_distinct(F.filter(every, lambda r: r.isNotNull()))
+
+
+def with_reasons(rows: DataFrame) -> DataFrame:
+    """Adds `reasons`: fixed sentences in a fixed order, without repeats. Needs rule, support and signals."""
+    return rows.withColumn("reasons", _reasons())
 
 
 def with_warnings(rows: DataFrame, keyword_only: Column | None = None) -> DataFrame:

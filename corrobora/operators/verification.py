@@ -31,8 +31,8 @@ def check_claims(claims: DataFrame, evidence: DataFrame, aspects: DataFrame) ->
     staged = joined.withColumn("early", early)
     usable = F.col("early").isNull()
     found = quotes.with_shown_quote(staged, F.when(usable, F.col("quote")), F.when(usable, F.col("text")), F.col("extraction_method") == "ocr")
-    parsed = found.withColumn("norm", F.when(F.col("shown_quote").isNotNull(), values.normalize(F.col("value"), F.col("value_type"))))
-    confirmed = parsed.withColumn("confirmed", F.when(F.col("norm").isNotNull(), values.quote_supports(F.col("norm"), F.col("shown_quote"))))
+    parsed = found.withColumn("norm", F.when(F.col("shown_quote").isNotNull(), values.normalized("value", "value_type")))
+    confirmed = parsed.withColumn("confirmed", F.when(F.col("norm").isNotNull(), values.supported("norm", "shown_quote")))
     keyed = confirmed.withColumns({
         "position_key": F.when(F.col("confirmed"), F.col("norm.key")),
         "explicit": F.col("explicit") & F.coalesce("confirmed", F.lit(True)),

@@ -1 +1,163 @@
-"""Queries."""
+"""Queries over prompts, stored replies and extracted claims."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import evaluation, intake
+from . import q_retrieval as qr
+from . import views
+from .catalog import query
+
+SYSTEM = "Report what the passages state, as one JSON object with aspects, claims, supersession and answer."
+
+
+_PROMPT_SQL = f"""
+items AS (SELECT item_id AS question_id, b.text AS question, c.* FROM benchmark b JOIN chunks c ON c.source = 'src' || (item_id % 20) WHERE c.ordinal = 0
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY c.doc_id) <= 10),
+blocks AS (SELECT question_id, question, string_agg('<evidence id="E' || doc_id || '" document="say ''doc'' ' || doc_id || '" page="' || coalesce(CAST(page AS VARCHAR), 'n/a') || '" section="' || coalesce(nullif(translate(section, '"', ''''), ''), 'n/a') || '">' || chr(10)
+  || replace(text, '</evidence', '<\\/evidence') || chr(10) || '</evidence>', chr(10) ORDER BY doc_id) AS b FROM items GROUP BY ALL),
+prompts AS (SELECT question_id, 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || b AS "user", sha256('{SYSTEM}' || chr(10) || '---' || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || b) AS recording_key FROM blocks)"""
+
+
+def prompt_rows(spark: SparkSession, sf: str) -> DataFrame:
+    q = qr.questions(spark, sf)
+    heads = views.passages(spark, sf).filter("ordinal = 0").withColumnRenamed("source", "scope")
+    ranked = qr.rt._top(q.join(heads, "scope"), [F.col("doc_id")], 10, "rank")
+    e = ranked.select("question_id", "rank", F.concat(F.lit("E"), F.col("doc_id").cast("string")).alias("eid"),
+                      F.concat(F.lit('say "doc" '), F.col("doc_id").cast("string")).alias("document"), "page", "section", "text")
+    return intake.prompts(q, e, SYSTEM)
+
+
+@query("clm_prompt_build", views.chunks_sql('SELECT question_id, "user", recording_key FROM prompts').replace("\nSELECT question_id, \"user\"", f",{_PROMPT_SQL}\nSELECT question_id, \"user\""))
+def clm_prompt_build(spark, sf):
+    return prompt_rows(spark, sf).select("question_id", "user", "recording_key")
+
+
+# --- prompts and recordings over conversations ------------------------------------------------------
+def turn_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    c = views.table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.lit(SYSTEM).alias("system"),
+        F.concat(F.lit("#"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"), F.lit(" "), F.col("text")).alias("user"))
+    return c.withColumn("recording_key", intake.recording_key(F.col("system"), F.col("user")))
+
+
+def recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored replies of the first turns."""
+    p = turn_prompts(spark, sf)
+    return p.filter("question_id % 1000 = 0").select("recording_key", F.lit("stored-model").alias("model"), F.concat(F.lit('{"claims":[],"n":'), F.col("question_id").cast("string"), F.lit("}")).alias("raw_response"))
+
+
+def stub_client():
+    """Offline stand-in for a model: fails, recovers or answers badly depending on the number in the prompt."""
+    calls: dict = {}
+
+    def call(model: str, history: list) -> str:
+        number = int(history[1][1][1:].split(" ", 1)[0])
+        calls[number] = calls.get(number, 0) + 1
+        case = number % 5
+        if case == 1 and calls[number] == 1:
+            raise intake.CallFailed("HTTP 429", True)
+        if case == 2 and model == "primary":
+            raise intake.CallFailed("HTTP 500", True)
+        if case == 3:
+            raise intake.CallFailed("HTTP 401", False)
+        if case == 4 and len(history) == 2:
+            return "no json here {"
+        return 'Sure: {"claims": [], "aspects": []} done'
+    return call
+
+
+def called(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    return intake.call_models(rows, stub_client, ["primary", "fallback"], callers=4)
+
+
+_TURNS_SQL = f"turns AS (SELECT conv_id * 1000 + turn AS question_id, sha256('{SYSTEM}' || chr(10) || '---' || chr(10) || '#' || (conv_id * 1000 + turn) || ' ' || text) AS recording_key FROM conversations WHERE role = 'user')"
+
+
+@query("clm_recording_join", f"""WITH {_TURNS_SQL} SELECT question_id, CASE WHEN question_id % 1000 = 0 THEN 'recording' WHEN question_id % 5 = 3 THEN 'none' ELSE 'live' END AS llm_source,
+  CASE WHEN question_id % 1000 = 0 THEN 'stored-model' WHEN question_id % 5 = 3 THEN NULL WHEN question_id % 5 = 2 THEN 'fallback' ELSE 'primary' END AS model FROM turns""")
+def clm_recording_join(spark, sf):
+    p, stored = turn_prompts(spark, sf), recordings(spark, sf)
+    _, to_send = intake.split_recorded(p, stored, "replay")
+    return intake.resolve(p, stored, called(spark, sf, to_send), "replay").select("question_id", "llm_source", "model")
+
+
+@query("clm_external_call", f"""WITH {_TURNS_SQL} SELECT recording_key, CASE WHEN question_id % 5 = 3 THEN 'unavailable' ELSE 'ok' END AS status, CASE question_id % 5 WHEN 2 THEN 'fallback' WHEN 3 THEN NULL ELSE 'primary' END AS model,
+  CAST([1, 2, 3, 2, 2][question_id % 5 + 1] AS INTEGER) AS attempts, CASE WHEN question_id % 5 = 3 THEN 'fallback: HTTP 401' END AS error FROM turns""")
+def clm_external_call(spark, sf):
+    return called(spark, sf, turn_prompts(spark, sf)).drop("raw_response")
+
+
+# --- replies assembled from claims ----------------------------------------------------------------------
+_ITEMS_SQL = """
+reply_claims AS (SELECT run_id, claim_no, 'C' || CAST((claim_no - 1) % 5 + 1 AS STRING) AS id, CASE WHEN aspect_id = 'A9' THEN 'zz' ELSE aspect_id END AS aspect, evidence, quote,
+    CASE WHEN claim_no % 9 = 5 THEN '42.5' ELSE value END AS value, CASE WHEN claim_no % 9 = 6 THEN 'weird' ELSE value_type END AS kind, scope, explicit FROM claims WHERE claim_no < 1000),
+reply_items AS (SELECT run_id, claim_no, '{"id":"' || id || '","aspect":"' || aspect || '","evidence":"' || evidence || '","quote":"' || quote || '","value":' || CASE WHEN claim_no % 9 = 5 THEN '42.5' ELSE '"' || value || '"' END
+  || ',"value_type":"' || upper(kind) || '","scope":' || coalesce('"' || scope || '"', 'null') || CASE WHEN explicit THEN '' ELSE ',"explicit":false' END || ',"extra":{"a":"}"}}' AS item FROM reply_claims),
+reply_aspects AS (SELECT run_id, aspect_no, '{"id":"' || aspect_id || '","label":"' || label || '"}' AS item FROM aspects),
+reply_answers AS (SELECT run_id, claim_no, '{"text":"Statement ' || CAST(claim_no AS STRING) || '","claims":["' || id || '","nope"]}' AS item FROM reply_claims)"""
+
+
+def reply_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Reply text by run: plain, fenced, inside prose, with a malformed item, claims not a list, truncated."""
+    text = views.CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}").replace("{", "{{").replace("}", "}}").replace("{{lineitem}}", "{lineitem}") + "," + _ITEMS_SQL.replace("{", "{{").replace("}", "}}")
+    def listed(name, order):
+        f = spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=views.table(spark, sf, "lineitem"))
+        return f.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "item"))), lambda r: r["item"]), ",").alias(name))
+    rows = listed("reply_items", "claim_no").join(listed("reply_aspects", "aspect_no"), "run_id").join(listed("reply_answers", "claim_no"), "run_id")
+    case, lit = F.col("run_id") % 6, F.lit
+    claims = F.when(case == 4, lit('"none"')).otherwise(F.concat(lit("["), F.when(case == 3, lit('{"id":5,"aspect":"A1"},"text",')).otherwise(""), F.col("reply_items"), lit("]")))
+    body = F.concat(lit('{"aspects":['), F.col("reply_aspects"), lit('],"claims":'), claims, lit(',"supersession":[],"answer":['), F.col("reply_answers"), lit('],"ambiguous":true,"ambiguity_note":"two readings"}'))
+    rows = rows.select("run_id", body.alias("body"))
+    fenced, prose = F.concat(lit("```json\n"), F.col("body"), lit("\n```")), F.concat(lit("Here is the result: "), F.col("body"), lit(" Done {x"))
+    return rows.select("run_id", F.when(case == 1, fenced).when(case == 2, prose).when(case == 5, F.expr("left(body, length(body) - 20)")).otherwise(F.col("body")).alias("raw_response"),
+                       F.concat(lit("model-"), (F.col("run_id") % 4).cast("string")).alias("model"))
+
+
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    return intake.validated(intake.with_json(reply_texts(spark, sf)))
+
+
+def _sql(select: str) -> str:
+    return f"WITH {views.CLAIMS_SQL},{_ITEMS_SQL}\n{select}"
+
+
+@query("clm_extract_json", _sql("""SELECT run_id, CASE WHEN run_id % 6 <> 5 THEN '{"aspects":[' || a || '],"claims":' || CASE WHEN run_id % 6 = 4 THEN '"none"' ELSE '[' || CASE WHEN run_id % 6 = 3 THEN '{"id":5,"aspect":"A1"},"text",' ELSE '' END || c || ']' END
+  || ',"supersession":[],"answer":[' || s || '],"ambiguous":true,"ambiguity_note":"two readings"}' END AS json
+FROM (SELECT run_id, string_agg(item, ',' ORDER BY claim_no) AS c FROM reply_items GROUP BY 1) JOIN (SELECT run_id, string_agg(item, ',' ORDER BY aspect_no) AS a FROM reply_aspects GROUP BY 1) USING (run_id)
+  JOIN (SELECT run_id, string_agg(item, ',' ORDER BY claim_no) AS s FROM reply_answers GROUP BY 1) USING (run_id)"""))
+def clm_extract_json(spark, sf):
+    return intake.with_json(reply_texts(spark, sf)).select("run_id", "json")
+
+
+@query("clm_lenient_validate", _sql("""SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY claim_no) - 1 AS INTEGER) AS pos, id, aspect, evidence, quote, value, CASE WHEN kind = 'weird' THEN 'text' ELSE kind END AS value_type, scope, explicit
+FROM reply_claims WHERE run_id % 6 < 4"""))
+def clm_lenient_validate(spark, sf):
+    return replies(spark, sf).filter("valid").select("run_id", F.posexplode("claims").alias("pos", "c")).select("run_id", "pos", "c.*")
+
+
+@query("clm_reissue_ids", _sql("""SELECT r.run_id, 'C' || r.claim_no AS claim_id, coalesce('A' || a.n, '') AS aspect_id, 'C' || f.first_no AS cited
+FROM reply_claims r LEFT JOIN (SELECT run_id, aspect_id, row_number() OVER (PARTITION BY run_id ORDER BY aspect_no) AS n FROM aspects) a ON a.run_id = r.run_id AND a.aspect_id = r.aspect
+  JOIN (SELECT run_id, id, min(claim_no) AS first_no FROM reply_claims GROUP BY ALL) f ON f.run_id = r.run_id AND f.id = r.id WHERE r.run_id % 6 < 4"""))
+def clm_reissue_ids(spark, sf):
+    own = intake.reissued(replies(spark, sf).filter("valid"))
+    return own.select("run_id", F.explode(F.arrays_zip("claims", "answer")).alias("z")).select(
+        "run_id", "z.claims.claim_id", "z.claims.aspect_id", F.array_join("z.answer.claims", ",").alias("cited"))
+
+
+@query("clm_rule_extract", """WITH facts AS (SELECT item_id AS question_id, 1 AS fact_no, left(string_split(text, chr(10))[1], 60) AS quote FROM benchmark UNION ALL SELECT item_id, 2, 'the' FROM benchmark)
+SELECT question_id, fact_no, doc_id, quote FROM facts JOIN documents ON source = 'src' || (question_id % 20) AND contains(text, quote)""")
+def clm_rule_extract(spark, sf):
+    b = views.table(spark, sf, "benchmark")
+    first = F.substring(F.substring_index("text", "\n", 1), 1, 60)
+    facts = b.select(F.col("item_id").alias("question_id"), F.posexplode(F.array(first, F.lit("the"))).alias("fact_no", "quote")).select(
+        "question_id", (F.col("fact_no") + 1).alias("fact_no"), F.concat(F.lit("Fact "), F.col("fact_no").cast("string")).alias("label"), "quote", F.col("quote").alias("value"), F.lit("text").alias("value_type"))
+    d = views.table(spark, sf, "documents").select(F.col("source").alias("scope"), F.col("doc_id"), "text")
+    found = qr.questions(spark, sf).select("question_id", "scope").join(d, "scope").select("question_id", F.col("doc_id").alias("eid"), F.col("doc_id").alias("rank"), "text")
+    return intake.rule_claims(facts, found).select("question_id", "fact_no", F.col("evidence").alias("doc_id"), "quote")
+
+
+@query("evl_extractor_quality", _sql("""SELECT 'model-' || (run_id % 4) AS model, count(DISTINCT run_id) AS replies, count(DISTINCT run_id) FILTER (run_id % 6 < 4) AS valid, count(claim_no) FILTER (run_id % 6 < 4) AS claims,
+  count(*) FILTER (run_id % 6 < 4 AND contains(text, quote)) AS exact, count(*) FILTER (run_id % 6 < 4 AND contains(lower(text), lower(quote))) AS loose
+FROM reply_claims LEFT JOIN (SELECT run_id, eid AS evidence, text FROM evidence) USING (run_id, evidence) GROUP BY 1"""))
+def evl_extractor_quality(spark, sf):
+    return evaluation.extractor_quality(replies(spark, sf), views.claim_table(spark, sf, "evidence").select("run_id", F.col("eid").alias("evidence"), "text"))

@@ -1 +1,51 @@
-"""Queries."""
+"""Streaming queries over the given tables, with the SQL of their batch form."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import shared_folder
+from ..streaming import jobs
+from . import q_uploads, views
+from .catalog import query
+
+
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.readStream.schema(views.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query("str_ingest", views.chunks_sql("SELECT doc_id, source, ordinal, page, section, paragraph, text, text_hash FROM chunks"))
+def str_ingest(spark, sf):
+    arriving = views.raw_from(stream(spark, sf, "documents"))
+    path = jobs.run(lambda out, check: jobs.ingest(arriving, ["doc_id", "source"], out, check), spark, "ingest")
+    return spark.read.parquet(path).drop("extraction_method", "ocr_confidence")
+
+
+@query("str_dedup", f"WITH {q_uploads._ARRIVALS_SQL} SELECT doc_id, scope, status, stored_path FROM marked")
+def str_dedup(spark, sf):
+    rows = q_uploads.arrivals(spark, sf)
+    landing = shared_folder(spark, "landing")
+    edges = rows.selectExpr("min(doc_id) AS low", "max(doc_id) AS high").first()  # two numbers: three deliveries in id order
+    step = (edges.high - edges.low) // 3 + 1
+    out = shared_folder(spark, "dedup")
+    for part in range(3):
+        low = edges.low + part * step
+        rows.filter((F.col("doc_id") >= low) & (F.col("doc_id") < low + step)).write.mode("append").parquet(landing)
+        arriving = spark.readStream.schema(rows.schema).parquet(landing)
+        jobs.mark_duplicates(arriving, f"{out}/out", f"{out}/checkpoint").awaitTermination()
+    path = f"{out}/out"
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").select("doc_id", "scope", "status", "stored_path")
+
+
+@query("str_latest_status", "SELECT user_id AS doc_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
+def str_latest_status(spark, sf):
+    latest = jobs.latest_status(stream(spark, sf, "events").withColumnRenamed("user_id", "doc_id"), "doc_id", "event_type", F.struct("ts", "event_id"))
+    path = jobs.run(lambda out, check: jobs.changed_groups(latest, out, check), spark, "status")
+    return jobs.current_groups(spark, path, ["doc_id"], ["status"])
+
+
+@query("str_stage_metrics", """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS stage, count(*) AS lines, round(sum(value), 4) AS total, max(value) AS highest FROM events GROUP BY ALL""")
+def str_stage_metrics(spark, sf):
+    metrics = jobs.stage_metrics(stream(spark, sf, "events").withColumnRenamed("event_type", "stage").withColumn("ts", F.col("ts").cast("timestamp")))
+    path = jobs.run(lambda out, check: jobs.changed_groups(metrics, out, check), spark, "metrics")
+    current = jobs.current_groups(spark, path, ["window_start", "stage"], ["lines", "total", "highest"])
+    return current.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -5,19 +5,31 @@ Each view has a Spark form and, where a query is checked by SQL, the same rows a
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
 from ..operators import documents as docs
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is read from the file footer once, not once per reference."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 # --- paragraphs of paged documents ---------------------------------------------------------------
 def raw_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, source, text, paras: five lines make a page (no pages for odd ids); planted headers, headings, footers."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "text", F.split("text", "\n").alias("lines"))
+    return raw_from(table(spark, sf, "documents"))
+
+
+def raw_from(documents: DataFrame) -> DataFrame:
+    d = documents.select("doc_id", "source", "text", F.split("text", "\n").alias("lines"))
     page = F.when(F.col("doc_id") % 2 == 0, F.lit(1))
 
     def para(text, i, heading):
@@ -234,3 +246,46 @@ notes AS (SELECT n.run_id, x.entry_no, x.aspect_id, n.document || ' states that
 
 def claims_sql(select: str, *parts: str) -> str:
     return f"WITH {','.join([CLAIMS_SQL, VERIFIED_SQL, *parts])}\n{select}"
+
+
+# --- runs with their flags, and what must follow from them ----------------------------------------------------
+RUNS_SQL = """
+runs AS (SELECT run_id, {flag} AND run_id % 11 = 0 AS ambiguous, CASE WHEN run_id % 22 = 0 THEN 'two readings' END AS ambiguity_note, {flag} AND run_id % 37 = 0 AS evidence_only,
+  {flag} AND run_id % 13 = 0 AS check_failed, NOT ({flag} AND run_id % 41 = 0) AS has_documents FROM v4 GROUP BY run_id),
+drafts AS (SELECT run_id, CAST(claim_no AS INT) AS sentence_no, 'Statement ' || CAST(claim_no AS STRING) || ' (E' || CAST(claim_no AS STRING) || ', C2) holds [C1 and E2].' AS text,
+  CASE WHEN claim_no % 4 <> 0 THEN 'C' || CAST(claim_no AS STRING) END AS c1, CASE WHEN claim_no % 3 = 0 THEN 'C' || CAST(claim_no - 1 AS STRING) END AS c2 FROM v4 WHERE run_id % 3 <> 1)"""
+
+
+def run_flags(spark: SparkSession, sf: str, name: str, flagged: bool) -> DataFrame:
+    text = CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}") + "," + RUNS_SQL.replace("{flag}", str(flagged).lower())
+    return spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=table(spark, sf, "lineitem"))
+
+
+CONFLICTS_SQL = r"""
+live AS (SELECT * FROM runs WHERE has_documents AND NOT evidence_only),
+canon AS (SELECT run_id, aspect_no, aspect_id, label, check_failed, CASE WHEN check_failed THEN aspect_id ELSE first_value(aspect_id) OVER (PARTITION BY run_id, k ORDER BY aspect_no) END AS merged_id
+  FROM (SELECT *, coalesce(nullif(trim(regexp_replace(lower(label), '[^a-z0-9_]+', ' ', 'g')), ''), aspect_id) AS k FROM aspects) JOIN live USING (run_id)),
+topics AS (SELECT run_id, aspect_no, aspect_id, label, check_failed FROM canon WHERE merged_id = aspect_id),
+vclaims AS (SELECT v.* REPLACE (merged_id AS aspect_id), check_failed FROM verified v JOIN canon USING (run_id, aspect_id)),
+pos0 AS (SELECT run_id, aspect_id, position_key, arg_min(value, claim_no) AS display, list(claim_id ORDER BY claim_no) AS ids, min(claim_no) AS first_no FROM vclaims WHERE position_key IS NOT NULL AND NOT check_failed GROUP BY ALL),
+firsts AS (SELECT run_id, aspect_id, position_key, text_hash, arg_min(document_id, claim_no) AS document_id, min(claim_no) AS no FROM vclaims WHERE position_key IS NOT NULL GROUP BY ALL),
+pdocs AS (SELECT run_id, aspect_id, position_key, count(*) AS n_docs, string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY no) AS document_ids
+  FROM (SELECT run_id, aspect_id, position_key, document_id, min(no) AS no FROM firsts GROUP BY ALL) GROUP BY ALL),
+pnames AS (SELECT run_id, aspect_id, position_key, list(document ORDER BY no) AS names FROM (SELECT run_id, aspect_id, position_key, document, min(claim_no) AS no FROM vclaims WHERE position_key IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+positions AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, aspect_id ORDER BY n_docs DESC, first_no) - 1 AS INTEGER) AS pos_no FROM pos0 JOIN pdocs USING (run_id, aspect_id, position_key) JOIN pnames USING (run_id, aspect_id, position_key)),
+pairs AS (SELECT a.run_id, a.aspect_id, least(a.position_key, b.position_key) AS key_a, greatest(a.position_key, b.position_key) AS key_b FROM vclaims a JOIN vclaims b ON a.run_id = b.run_id AND a.aspect_id = b.aspect_id AND a.claim_no < b.claim_no
+  AND a.position_key <> b.position_key AND string_split(a.position_key, ':')[1] = string_split(b.position_key, ':')[1] AND a.chunk_id <> b.chunk_id AND a.text_hash <> b.text_hash
+  AND (NOT starts_with(a.position_key, 'quantity') OR string_split(a.position_key, '|')[2] = '' OR string_split(b.position_key, '|')[2] = '' OR string_split(a.position_key, '|')[2] = string_split(b.position_key, '|')[2])
+  AND (a.scope IS NULL OR b.scope IS NULL OR a.scope = b.scope) AND NOT a.check_failed),
+results AS (SELECT t.run_id, t.aspect_no, t.aspect_id, t.label, t.check_failed, coalesce(np, 0) AS np, CASE WHEN own IS NULL THEN 'uncovered' WHEN t.check_failed THEN 'consistent' WHEN clash THEN 'conflict' WHEN np > 1 THEN 'complementary' ELSE 'consistent' END AS status,
+    CASE WHEN any_text THEN 'text' ELSE 'typed' END AS basis
+  FROM topics t LEFT JOIN (SELECT run_id, aspect_id, count(*) AS own FROM vclaims GROUP BY ALL) o USING (run_id, aspect_id)
+    LEFT JOIN (SELECT run_id, aspect_id, count(*) AS np, bool_or(starts_with(position_key, 'text:')) AS any_text FROM positions GROUP BY ALL) p USING (run_id, aspect_id)
+    LEFT JOIN (SELECT DISTINCT run_id, aspect_id, true AS clash FROM pairs) c USING (run_id, aspect_id)),
+attached AS (SELECT n.run_id, coalesce(t.aspect_id, o.aspect_id) AS aspect_id, n.entry_no, n.note, n.document FROM notes n JOIN live l ON l.run_id = n.run_id AND NOT l.check_failed
+  LEFT JOIN canon c ON c.run_id = n.run_id AND c.aspect_id = n.aspect_id LEFT JOIN topics t ON t.run_id = n.run_id AND t.aspect_id = coalesce(c.merged_id, n.aspect_id)
+  LEFT JOIN (SELECT run_id, min(aspect_id) AS aspect_id FROM topics GROUP BY 1 HAVING count(*) = 1) o ON o.run_id = n.run_id WHERE coalesce(t.aspect_id, o.aspect_id) IS NOT NULL)"""
+
+
+def conflicts_sql(select: str, flagged: bool = False, *parts: str) -> str:
+    return claims_sql(select, NOTES_SQL, RUNS_SQL.replace("{flag}", str(flagged).lower()), CONFLICTS_SQL, *parts)
