@@ -25,16 +25,15 @@ def token_counts(tokens: Column) -> Column:
 
 
 def postings(passages: DataFrame) -> DataFrame:
-    """scope, doc_id, ordinal, length, token, tf."""
+    """scope, doc_id, ordinal, length, slot, token, tf; slot numbers the distinct tokens of a passage."""
     counted = passages.select(*PASSAGE, let(tx.passage_tokens(F.col("text")), lambda t: F.struct(
         F.size(t).alias("length"), token_counts(t).alias("counts"))).alias("p"))
-    return counted.select(*PASSAGE, "p.length", F.explode("p.counts").alias("c")).select(*PASSAGE, "length", "c.token", "c.tf")
+    return counted.select(*PASSAGE, "p.length", F.posexplode("p.counts").alias("slot", "c")).select(*PASSAGE, "length", "slot", "c.token", "c.tf")
 
 
-def corpus_stats(passages: DataFrame) -> DataFrame:
-    """Passages and mean length per scope."""
-    return passages.groupBy("scope").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size(tx.passage_tokens(F.col("text")))).alias("avg_length"))
+def corpus_stats(terms: DataFrame) -> DataFrame:
+    """Passages and mean length per scope, from the postings: every passage has one first slot."""
+    return terms.filter("slot = 0").groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
 
 
 def term_stats(terms: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -152,91 +152,88 @@ def with_json(replies: DataFrame, column: str = "raw_response", out: str = "json
 
 
 def _part(item: Column, name: str) -> Column:
-    return F.try_variant_get(item, f"$.{name}", "variant")
+    """struct<kind,text>: type name and text of a field; kind is NULL when absent and VOID when null."""
+    return let(F.try_variant_get(item, f"$.{name}", "variant"), lambda v: F.struct(
+        F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")))
 
 
-def _kind(item: Column, name: str) -> Column:
-    """Type name of a field; NULL when absent, VOID when null."""
-    return F.schema_of_variant(_part(item, name))
-
-
-def _text(item: Column, name: str) -> Column:
+def _text(part: Column) -> Column:
     """The field if it is a string."""
-    return F.when(_kind(item, name) == "STRING", F.try_variant_get(item, f"$.{name}", "string"))
+    return F.when(part["kind"] == "STRING", part["text"])
 
 
-def _absent(item: Column, name: str) -> Column:
-    return F.coalesce(_kind(item, name) == "VOID", F.lit(True))
+def _empty(part: Column) -> Column:
+    return F.coalesce(part["kind"] == "VOID", F.lit(True))
 
 
-def _flag(item: Column, name: str, default: bool) -> Column:
+def _flag(part: Column, default: bool) -> Column:
     """Boolean field, also given as 0/1 or as a yes/no word; NULL when it is none of these."""
-    word = F.lower(F.try_variant_get(item, f"$.{name}", "string"))
-    return F.when(_kind(item, name).isNull(), F.lit(default)).when(word.isin("true", "1", "yes", "on", "t", "y"), True).when(
+    word = F.lower(part["text"])
+    return F.when(part["kind"].isNull(), F.lit(default)).when(word.isin("true", "1", "yes", "on", "t", "y"), True).when(
         word.isin("false", "0", "no", "off", "f", "n"), False)
 
 
-def _items(name: str, shape, fits) -> Column:
-    listed = F.try_variant_get("_v", f"$.{name}", "array<variant>")
-    return F.transform(F.filter(F.coalesce(listed, F.expr("cast(array() as array<variant>)")), lambda i: F.coalesce(fits(i), F.lit(False))), shape)
+def _items(name: str, fields: list[str], fits, shape) -> Column:
+    """Items of a list that fit their shape; the fields of an item are read once."""
+    listed = F.coalesce(F.try_variant_get("_v", f"$.{name}", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    read = F.transform(listed, lambda i: F.struct(i.alias("item"), *[_part(i, f).alias(f) for f in fields]))
+    return F.transform(F.filter(read, lambda p: F.coalesce(fits(p), F.lit(False))), shape)
 
 
 @built_once
 def _aspects() -> Column:
-    return _items("aspects", lambda i: F.struct(_text(i, "id").alias("id"), _text(i, "label").alias("label")),
-                  lambda i: _text(i, "id").isNotNull() & _text(i, "label").isNotNull())
+    return _items("aspects", ["id", "label"], lambda p: _text(p["id"]).isNotNull() & _text(p["label"]).isNotNull(),
+                  lambda p: F.struct(p["id"]["text"].alias("id"), p["label"]["text"].alias("label")))
 
 
 @built_once
 def _claims() -> Column:
-    def shape(i):
-        raw = F.try_variant_get(i, "$.value", "string")
-        value = F.when(_kind(i, "value") == "BOOLEAN", F.initcap(raw)).otherwise(F.coalesce(raw, F.lit("")))
-        kind = F.lower(F.trim(F.coalesce(F.try_variant_get(i, "$.value_type", "string"), F.lit(""))))
+    def fits(p):
+        required = _text(p["aspect"]).isNotNull() & _text(p["evidence"]).isNotNull() & _text(p["quote"]).isNotNull()
+        return (required & (p["id"]["kind"].isNull() | _text(p["id"]).isNotNull()) & (_empty(p["scope"]) | _text(p["scope"]).isNotNull())
+                & _flag(p["explicit"], True).isNotNull())
+
+    def shape(p):
+        value = F.when(p["value"]["kind"] == "BOOLEAN", F.initcap(p["value"]["text"])).otherwise(F.coalesce(p["value"]["text"], F.lit("")))
+        kind = F.lower(F.trim(F.coalesce(p["value_type"]["text"], F.lit(""))))
         return F.struct(
-            F.coalesce(_text(i, "id"), F.lit("")).alias("id"), _text(i, "aspect").alias("aspect"), _text(i, "evidence").alias("evidence"),
-            _text(i, "quote").alias("quote"), F.when(_absent(i, "value"), "").otherwise(value).alias("value"),
-            F.when(kind.isin(*fixed.VALUE_TYPES), kind).otherwise("text").alias("value_type"), _text(i, "scope").alias("scope"),
-            _flag(i, "explicit", True).alias("explicit"))
-
-    def fits(i):
-        required = _text(i, "aspect").isNotNull() & _text(i, "evidence").isNotNull() & _text(i, "quote").isNotNull()
-        return required & (_kind(i, "id").isNull() | _text(i, "id").isNotNull()) & (_absent(i, "scope") | _text(i, "scope").isNotNull()) \
-            & _flag(i, "explicit", True).isNotNull()
-    return _items("claims", shape, fits)
+            F.coalesce(p["id"]["text"], F.lit("")).alias("id"), *[p[n]["text"].alias(n) for n in ("aspect", "evidence", "quote")],
+            F.when(_empty(p["value"]), "").otherwise(value).alias("value"), F.when(kind.isin(*fixed.VALUE_TYPES), kind).otherwise("text").alias("value_type"),
+            _text(p["scope"]).alias("scope"), _flag(p["explicit"], True).alias("explicit"))
+    return _items("claims", ["id", "aspect", "evidence", "quote", "value", "value_type", "scope", "explicit"], fits, shape)
 
 
 @built_once
 def _supersession() -> Column:
-    return _items("supersession", lambda i: F.struct(_text(i, "evidence").alias("evidence"), _text(i, "quote").alias("quote"), _text(i, "aspect").alias("aspect")),
-                  lambda i: _text(i, "evidence").isNotNull() & _text(i, "quote").isNotNull() & (_absent(i, "aspect") | _text(i, "aspect").isNotNull()))
+    return _items("supersession", ["evidence", "quote", "aspect"],
+                  lambda p: _text(p["evidence"]).isNotNull() & _text(p["quote"]).isNotNull() & (_empty(p["aspect"]) | _text(p["aspect"]).isNotNull()),
+                  lambda p: F.struct(p["evidence"]["text"].alias("evidence"), p["quote"]["text"].alias("quote"), _text(p["aspect"]).alias("aspect")))
 
 
 @built_once
 def _answer() -> Column:
-    def cited(i):
-        return F.try_variant_get(i, "$.claims", "array<variant>")
+    def cited(p):
+        return F.try_variant_get(p["item"], "$.claims", "array<variant>")
 
-    def fits(i):
-        strings = F.forall(cited(i), lambda c: F.schema_of_variant(c) == "STRING")
-        return _text(i, "text").isNotNull() & (_kind(i, "claims").isNull() | F.coalesce(strings, F.lit(False)))
+    def fits(p):
+        strings = F.forall(cited(p), lambda c: F.schema_of_variant(c) == "STRING")
+        return _text(p["text"]).isNotNull() & (p["claims"]["kind"].isNull() | F.coalesce(strings, F.lit(False)))
 
-    return _items("answer", lambda i: F.struct(_text(i, "text").alias("text"), F.coalesce(
-        F.try_variant_get(i, "$.claims", "array<string>"), F.expr("cast(array() as array<string>)")).alias("claims")), fits)
+    return _items("answer", ["text", "claims"], fits, lambda p: F.struct(p["text"]["text"].alias("text"), F.coalesce(
+        F.try_variant_get(p["item"], "$.claims", "array<string>"), F.expr("cast(array() as array<string>)")).alias("claims")))
 
 
 def validated(replies: DataFrame, json_column: str = "json") -> DataFrame:
     """Adds `valid` and the items that fit: aspects, claims, supersession, answer, ambiguous, ambiguity_note."""
     rows = replies.withColumn("_v", F.try_parse_json(json_column))
+    present = lambda n: F.try_variant_get("_v", f"$.{n}", "variant").isNotNull()
     listed = lambda n: F.try_variant_get("_v", f"$.{n}", "array<variant>").isNotNull()
-    usable = ((_kind(F.col("_v"), "claims").isNull() | listed("claims")) & (_kind(F.col("_v"), "aspects").isNull() | listed("aspects"))
-              & (listed("claims") | listed("aspects")))
+    usable = (~present("claims") | listed("claims")) & (~present("aspects") | listed("aspects")) & (listed("claims") | listed("aspects"))
     rows = rows.withColumn("valid", F.coalesce(usable, F.lit(False))).withColumn("_v", F.when(F.col("valid"), F.col("_v")))
-    kind = _kind(F.col("_v"), "ambiguous")
-    word = F.try_variant_get("_v", "$.ambiguous", "string")
-    ambiguous = F.coalesce(kind.isNotNull() & (kind != "VOID") & ~word.isin("false", "0", "", "[]", "{}", "0.0"), F.lit(False))
+    flag, note = _part(F.col("_v"), "ambiguous"), _part(F.col("_v"), "ambiguity_note")
+    ambiguous = F.coalesce(~_empty(flag) & ~flag["text"].isin("false", "0", "", "[]", "{}", "0.0"), F.lit(False))
     return rows.withColumns({"aspects": _aspects(), "claims": _claims(), "supersession": _supersession(), "answer": _answer(),
-                             "ambiguous": ambiguous, "ambiguity_note": _text(F.col("_v"), "ambiguity_note")}).drop("_v")
+                             "ambiguous": ambiguous, "ambiguity_note": _text(note)}).drop("_v")
 
 
 @built_once

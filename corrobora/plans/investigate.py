@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from ..operators import composition, conflicts, indexing, layout, rating, retrieval, runs, verification
 
 RESULT = ["run_id", "scope", "question", "state", "headline", "degraded", "sentences", "results", "claims", "signals", "reasons", "related", "warnings"]
@@ -12,7 +13,9 @@ RESULT = ["run_id", "scope", "question", "state", "headline", "degraded", "sente
 
 def retrieve(questions: DataFrame, passages: DataFrame, question_vectors: DataFrame | None = None, passage_vectors: DataFrame | None = None) -> DataFrame:
     """Evidence items of every question. Without vectors the keyword ranking stands alone."""
-    postings, corpus = indexing.postings(passages), indexing.corpus_stats(passages)
+    # the postings are the index: written once, read for the statistics and for the scores
+    postings = tables.stored(indexing.postings(passages), "postings")
+    corpus = indexing.corpus_stats(postings)
     bm25 = retrieval.bm25_top(questions, postings, indexing.term_stats(postings, corpus), corpus)
     if question_vectors is not None and passage_vectors is not None:
         dense = retrieval.dense_top(question_vectors, passage_vectors)

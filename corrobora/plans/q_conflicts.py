@@ -3,9 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.wording import lower_first  # noqa: F401
 from ..operators import conflicts as cf
-from ..operators import verification as vf
+from ..sources import tables
 from . import q_verification as qv
 from . import views
 from .catalog import query
@@ -44,12 +43,16 @@ def cfl_positions(spark, sf):
 
 @query("cfl_pairs", views.conflicts_sql("SELECT DISTINCT run_id, aspect_id, key_a, key_b FROM pairs"))
 def cfl_pairs(spark, sf):
-    return cf.conflicting_positions(repointed(spark, sf)[1])
+    claims = repointed(spark, sf)[1].select("run_id", "aspect_id", "position_key", "scope", "text_hash")
+    return cf.conflicting_positions(tables.stored(claims, "verified"))
 
 
 @query("cfl_status", views.conflicts_sql("SELECT run_id, aspect_no, aspect_id, label, status, np AS positions FROM results"))
 def cfl_status(spark, sf):
-    return cf.aspect_status(*repointed(spark, sf)).drop("basis")
+    merged, claims = repointed(spark, sf)
+    # counted once and compared with itself: verified once, read three times
+    claims = tables.stored(claims.select("run_id", "aspect_id", "position_key", "scope", "text_hash"), "verified")
+    return cf.aspect_status(merged, claims).drop("basis")
 
 
 @query("cfl_basis", views.conflicts_sql("SELECT run_id, aspect_id, basis FROM results"))

@@ -7,6 +7,7 @@ from .. import fixed
 from ..functions import text as tx
 from ..operators import indexing as ix
 from ..operators import retrieval as rt
+from ..sources import tables
 from . import views
 from .catalog import query
 
@@ -15,7 +16,7 @@ DIM = 64
 
 def with_status(spark: SparkSession, sf: str) -> DataFrame:
     """documents with their scope and a status: one file in twenty-nine could not be read."""
-    return views.table(spark, sf, "documents").select(
+    return views.spread(views.table(spark, sf, "documents").select("source", "doc_id", "text")).select(
         F.col("source").alias("scope"), "doc_id", "text", F.when(F.col("doc_id") % 29 == 0, "failed").otherwise("ready").alias("status"))
 
 
@@ -51,8 +52,8 @@ def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
-    c = corpus(spark, sf)
-    posts, stats = ix.postings(c), ix.corpus_stats(c)
+    posts = tables.stored(ix.postings(corpus(spark, sf)), "postings")
+    stats = ix.corpus_stats(posts)
     return rt.bm25_top(asked if asked is not None else questions(spark, sf), posts, ix.term_stats(posts, stats), stats)
 
 
@@ -106,14 +107,14 @@ def idx_tokenize(spark, sf):
 
 @query("idx_postings", _sql("SELECT * FROM posts"))
 def idx_postings(spark, sf):
-    return ix.postings(corpus(spark, sf))
+    return ix.postings(corpus(spark, sf)).drop("slot")
 
 
 @query("idx_term_stats", _sql("SELECT scope, token, df, round(idf, 9) AS idf, n, round(avg_length, 9) AS avg_length FROM terms JOIN cstats USING (scope)"))
 def idx_term_stats(spark, sf):
-    c = corpus(spark, sf)
-    stats = ix.corpus_stats(c)
-    return ix.term_stats(ix.postings(c), stats).join(stats, "scope").select(
+    posts = tables.stored(ix.postings(corpus(spark, sf)), "postings")
+    stats = ix.corpus_stats(posts)
+    return ix.term_stats(posts, stats).join(stats, "scope").select(
         "scope", "token", "df", F.round("idf", 9).alias("idf"), "n", F.round("avg_length", 9).alias("avg_length"))
 
 
