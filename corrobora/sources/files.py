@@ -13,7 +13,7 @@ _CP1252_UNDEFINED = "[" + "".join(c for c, mapped in _C1 if not mapped) + "]"
 
 
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_FILE_MB * 1024 * 1024, glob: str = "*") -> DataFrame:
-    """path, name, size, arrived, content. The content of an oversized file is not read."""
+    """path, name, size, arrived, content. The content of an oversized file is not read; files of zero bytes are not listed."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
     small = files.filter(F.col("length") <= max_bytes)
     large = files.filter(F.col("length") > max_bytes).select("path", "modificationTime", "length").withColumn(

@@ -11,13 +11,14 @@ def test_uploads_are_read_and_checked(spark, tmp_path):
     (tmp_path / "d.docx").write_bytes(b"%PDF")
     (tmp_path / "e.exe").write_bytes(b"MZ")
     (tmp_path / "f.JPEG").write_bytes(b"\xff\xd8\xff\xe0")
-    (tmp_path / "g.txt").write_bytes(b"")
     (tmp_path / "h.txt").write_bytes(b"x" * 2000)
     rows = files.validate(files.read_uploads(spark, str(tmp_path), max_bytes=1000), max_bytes=1000)
     got = {r.name: (r.ext, r.reject_reason) for r in rows.collect()}
     assert got["a.pdf"] == ("pdf", None) and got["b.txt"] == ("txt", None) and got["f.JPEG"] == ("jpg", None)
     assert got["c.txt"][1] == got["d.docx"][1] == "File content does not match its extension"
-    assert got["e.exe"][1] == "Unsupported file type" and got["g.txt"][1] == "File is empty" and got["h.txt"][1].startswith("File is larger")
+    assert got["e.exe"][1] == "Unsupported file type" and got["h.txt"][1].startswith("File is larger")
+    empty = spark.createDataFrame([("g.txt", bytearray(), 0)], "name string, content binary, size bigint")
+    assert files.validate(empty).first().reject_reason == "File is empty"
     assert rows.filter("name = 'h.txt'").select("content").first()[0] is None
     assert rows.filter("name = 'b.txt'").select(files.decode_text(F.col("content"))).first()[0] == "naïve café – ok"
 
