@@ -145,7 +145,7 @@ def _first_object(replies: pd.Series) -> pd.Series:
 def with_json(replies: DataFrame, column: str = "raw_response", out: str = "json") -> DataFrame:
     """Adds the JSON object of each reply or NULL. Only replies with text around the object go to Python."""
     plain = strip(F.regexp_replace(column, r"(?i)```(?:json)?", ""))
-    whole = F.when(plain.rlike(r"^\{") & F.try_parse_json(plain).isNotNull(), plain)
+    whole = let(plain, lambda p: F.when(p.rlike(r"^\{") & F.try_parse_json(p).isNotNull(), p))
     staged = replies.withColumn("_whole", whole)
     rest = _first_object(F.when(F.col("_whole").isNull(), F.col(column)))
     return staged.withColumn(out, F.coalesce("_whole", rest)).drop("_whole")
@@ -223,13 +223,21 @@ def _answer() -> Column:
         F.try_variant_get(p["item"], "$.claims", "array<string>"), F.expr("cast(array() as array<string>)")).alias("claims")))
 
 
+def _usable(v: Column) -> Column:
+    """Aspects and claims are lists where present, and at least one of them is present."""
+    def listed(name):
+        return let(F.try_variant_get(v, f"$.{name}", "variant"), lambda x: F.struct(
+            x.isNotNull().alias("present"), F.try_variant_get(x, "$", "array<variant>").isNotNull().alias("listed")))
+    fits = let(F.struct(listed("aspects").alias("a"), listed("claims").alias("c")), lambda x: (
+        (~x["a"]["present"] | x["a"]["listed"]) & (~x["c"]["present"] | x["c"]["listed"]) & (x["a"]["listed"] | x["c"]["listed"])))
+    return F.coalesce(fits, F.lit(False))
+
+
 def validated(replies: DataFrame, json_column: str = "json") -> DataFrame:
     """Adds `valid` and the items that fit: aspects, claims, supersession, answer, ambiguous, ambiguity_note."""
     rows = replies.withColumn("_v", F.try_parse_json(json_column))
-    present = lambda n: F.try_variant_get("_v", f"$.{n}", "variant").isNotNull()
-    listed = lambda n: F.try_variant_get("_v", f"$.{n}", "array<variant>").isNotNull()
-    usable = (~present("claims") | listed("claims")) & (~present("aspects") | listed("aspects")) & (listed("claims") | listed("aspects"))
-    rows = rows.withColumn("valid", F.coalesce(usable, F.lit(False))).withColumn("_v", F.when(F.col("valid"), F.col("_v")))
+    # `_v` is named once here, so a filter on `valid` that is pushed down parses the reply once, not once per mention
+    rows = rows.withColumn("valid", let(F.col("_v"), _usable)).withColumn("_v", F.when(F.col("valid"), F.col("_v")))
     flag, note = _part(F.col("_v"), "ambiguous"), _part(F.col("_v"), "ambiguity_note")
     ambiguous = F.coalesce(~_empty(flag) & ~flag["text"].isin("false", "0", "", "[]", "{}", "0.0"), F.lit(False))
     return rows.withColumns({"aspects": _aspects(), "claims": _claims(), "supersession": _supersession(), "answer": _answer(),
