@@ -8,7 +8,7 @@ Self-loops and repeated edges do no harm; an empty edge table gives an empty res
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import kept
+from .runtime import compact, kept
 
 
 def _sides(edges: DataFrame) -> DataFrame:
@@ -22,15 +22,15 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def star_components(edges: DataFrame) -> DataFrame:
     """Alternating large-star and small-star until the edges stay as they are: then they are (node, smallest node of its component)."""
-    edges = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = kept(compact(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
     before = _state(edges)
     while before[0]:
         both = _sides(edges)
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
-        edges = kept(small.where("u <> v").distinct(), "edges")
+        edges = kept(compact(small.where("u <> v").distinct()), "edges")
         after = _state(edges)
         if after == before:
             break
@@ -44,16 +44,16 @@ def union_find(edges: DataFrame) -> DataFrame:
 
     `parents` is the forest (id, component); an edge whose ends have one root is done and leaves the edge table.
     """
-    edges = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    parents = kept(_sides(edges).groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component")), "forest")
+    edges = kept(compact(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
+    parents = kept(compact(_sides(edges).groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component"))), "forest")
     while True:
         parents = _flattened(parents)
-        edges = kept(_relabelled(edges, parents), "edges")
+        edges = kept(compact(_relabelled(edges, parents)), "edges")
         if edges.isEmpty():
             return parents
         hooks = _sides(edges).groupBy(F.col("u").alias("root")).agg(F.min("v").alias("below")).where("below < root")
-        parents = kept(parents.join(hooks, F.col("component") == F.col("root"), "left")
-                       .select("id", F.coalesce("below", "component").alias("component")), "forest")
+        parents = kept(compact(parents.join(hooks, F.col("component") == F.col("root"), "left")
+                               .select("id", F.coalesce("below", "component").alias("component"))), "forest")
 
 
 def _relabelled(edges: DataFrame, parents: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def _flattened(parents: DataFrame) -> DataFrame:
     """Path halving until every node hangs on a root."""
     while True:
         up = parents.select(F.col("id").alias("component"), F.col("component").alias("grand"))
-        jumped = kept(parents.join(up, "component").select("id", F.col("grand").alias("component"), (F.col("grand") != F.col("component")).alias("moved")), "forest")
+        jumped = kept(compact(parents.join(up, "component").select("id", F.col("grand").alias("component"), (F.col("grand") != F.col("component")).alias("moved"))), "forest")
         parents = jumped.select("id", "component")
         if jumped.where("moved").isEmpty():
             return parents

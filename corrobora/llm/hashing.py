@@ -13,9 +13,9 @@ BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4D | 5
 BASE, WORD_BASE = (BASE & ~7) | 5, (WORD_BASE & ~7) | 5
 SLICE_BYTES = 2_000_000
 
-_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FOLDED_VALUES = _VALUES.copy()
-FOLDED_VALUES[65:91] = _VALUES[97:123]          # A-Z hash as a-z
+EXACT_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FOLDED_VALUES = EXACT_VALUES.copy()
+FOLDED_VALUES[65:91] = EXACT_VALUES[97:123]          # A-Z hash as a-z
 _POWERS: dict[int, np.ndarray] = {}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import star_components
-from .runtime import kept
+from .runtime import compact, kept
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -19,25 +19,28 @@ Verify = Callable[[DataFrame], DataFrame]
 def shared_buckets(buckets: DataFrame) -> DataFrame:
     """The rows (key, id) of keys with two different ids, with the lowest and the highest id of the key."""
     hubs = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return kept(buckets.join(hubs, "key"), "buckets")
+    return kept(compact(buckets.join(hubs, "key").distinct()), "buckets")
 
 
 def linked_components(shared: DataFrame, verify: Verify, components: Callable[[DataFrame], DataFrame] = star_components) -> DataFrame:
     """(id, component) of every id with a verified link; `shared` comes from shared_buckets."""
-    tried = kept(shared.select(F.explode(F.array("low", "high")).alias("u"), F.col("id").alias("v")).where("u <> v")
-                 .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "tried")
-    links = kept(verify(tried).select("u", "v"), "links")
+    tried = kept(compact(shared.select(F.explode(F.array("low", "high")).alias("u"), F.col("id").alias("v")).where("u <> v")
+                         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), "tried")
+    links = kept(compact(verify(tried).select("u", "v")), "links")
     groups = kept(components(links), "groups")
-    rest = kept(_apart(shared, groups).join(tried, ["u", "v"], "left_anti"), "rest")
+    rest = kept(compact(_apart(shared, groups).join(tried, ["u", "v"], "left_anti")), "rest")
     if rest.isEmpty():
         return groups
-    return kept(components(links.union(verify(rest).select("u", "v"))), "groups")
+    more = kept(compact(verify(rest).select("u", "v")), "links")
+    if more.isEmpty():
+        return groups
+    return kept(components(links.union(more)), "groups")
 
 
 def _apart(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of ids that share a key and are in different components. Only keys that still hold two components take part."""
-    named = shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    named = kept(compact(shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))), "named")
     open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    named = kept(named.join(open_keys, "key", "left_semi"), "open")
+    named = named.join(open_keys, "key", "left_semi")
     left, right = named.toDF("key", "u", "cu"), named.toDF("key", "v", "cv")
     return left.join(right, "key").where("u < v AND cu <> cv").select("u", "v").distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .links import linked_components, shared_buckets
-from .runtime import kept
+from .runtime import compact, kept
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 16, 3
@@ -103,20 +103,21 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """One row per row of `docs`: id, n_shingles, component (smallest id of the group of near-duplicates, or its own)."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     sketches = kept(texts.mapInArrow(_sketcher(words, BANDS, ROWS), "id long, n_shingles long, sum1 long, sum2 long, signature binary, keys array<long>"), "sketches")
-    classes = kept(sketches.where("n_shingles > 0 AND id IS NOT NULL").groupBy("sum1", "sum2", "n_shingles").agg(F.min("id").alias("class")), "classes")
-    heads = kept(sketches.join(classes.withColumnRenamed("class", "id"), ["id", "sum1", "sum2", "n_shingles"]).select("id", "signature", "keys"), "heads")
-    shared = shared_buckets(heads.select(F.explode("keys").alias("key"), "id"))
-    signatures = heads.select("id", "signature")
+    # the row of the smallest id stands for all rows with its set
+    classes = kept(compact(sketches.where("n_shingles > 0 AND id IS NOT NULL").groupBy("sum1", "sum2", "n_shingles").agg(F.min(F.struct("id", "signature", "keys")).alias("head"))
+                           .select("sum1", "sum2", "n_shingles", "head.*")), "classes")
+    shared = shared_buckets(classes.select(F.explode("keys").alias("key"), "id"))
+    signatures = classes.select("id", "signature")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = signatures.toDF("u", "a"), signatures.toDF("v", "b")
-        likely = kept(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_agreeing(AGREEING), "u long, v long"), "likely")
+        likely = kept(compact(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")).mapInArrow(_agreeing(AGREEING), "u long, v long"), "likely")
         needed = likely.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         sets = kept(texts.join(needed, "id", "left_semi").mapInArrow(_set_bytes(words), "id long, set binary"), "sets")
         left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
-        return likely.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_checker(percent), "u long, v long").distinct()
+        return compact(likely.join(left, "u").join(right, "v").select("u", "v", "a", "b")).mapInArrow(_checker(percent), "u long, v long")
 
     groups = linked_components(shared, verify)
-    named = classes.join(groups.withColumnRenamed("id", "class"), "class", "left").select("sum1", "sum2", "n_shingles", F.coalesce("component", "class").alias("component"))
+    named = classes.join(groups, "id", "left").select("sum1", "sum2", "n_shingles", F.coalesce("component", "id").alias("component"))
     return (sketches.select("id", "n_shingles", "sum1", "sum2").join(named, ["sum1", "sum2", "n_shingles"], "left")
             .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")))

@@ -28,3 +28,42 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import components
     return components(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
                                                                 (F.col("id") == F.col("component")).alias("kept"))
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import deduplicated
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines"))
+    return deduplicated(docs).select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("removed.n", F.lit(0)).alias("n_removed"),
+        F.coalesce("removed.kept_in", F.array().cast("array<bigint>")).alias("kept_in"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+    rest = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rest.select("doc_id", "rest.n_words", "rest.n_removed", F.sha2("rest.text", 256).alias("kept_sha256"), "rest.n_repeats")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, fit, held_out, score
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken
+    return taken(table(spark, sf_dir, "documents"))

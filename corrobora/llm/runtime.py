@@ -23,3 +23,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def kept(frame: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back, so that no later job repeats the work or depends on an executor's disk."""
     return stored(frame, name)
+
+
+def compact(frame: DataFrame) -> DataFrame:
+    """For tables much smaller than the corpus (keys, pairs, edges): a quarter of the usual tasks, and so of the files, after a shuffle."""
+    return frame.coalesce(max(4, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """`name`, with underscores added while the table already has such a column."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
