@@ -165,7 +165,7 @@ def _batch_matches(spark: SparkSession, texts: DataFrame, terms: DataFrame, wind
     if slop is not None:
         return candidates.join(names, F.col("item_row") == candidates["item"]).select("doc", names["item"], "shift")
     lists = kept(candidates.groupBy("doc").agg(F.collect_list(F.struct("item", "shift")).alias("at")), "candidates")
-    runs = texts.join(lists, "doc").select("doc", "text", "at").mapInArrow(_phrases(by_row, window), "doc long, item_row long, start int, stop int")
+    runs = texts.join(lists.hint("merge"), "doc").select("doc", "text", "at").mapInArrow(_phrases(by_row, window), "doc long, item_row long, start int, stop int")
     return runs.join(names, "item_row").select("doc", "item", "start", "stop").distinct()
 
 

@@ -22,13 +22,14 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return kept(compact(buckets.join(hubs, "key").distinct()), "buckets")
 
 
-def linked_components(shared: DataFrame, verify: Verify, components: Callable[[DataFrame], DataFrame] = star_components) -> DataFrame:
-    """(id, component) of every id with a verified link; `shared` comes from shared_buckets."""
+def linked_components(shared: DataFrame, verify: Verify, components: Callable[[DataFrame], DataFrame] = star_components, narrow: Verify | None = None) -> DataFrame:
+    """(id, component) of every id with a verified link; `shared` comes from shared_buckets. `narrow` takes the rows (key, id, component) that are
+    still open and returns such rows with keys of its own, of which every two ids with a link share one."""
     tried = kept(compact(shared.select(F.explode(F.array("low", "high")).alias("u"), F.col("id").alias("v")).where("u <> v")
                          .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), "tried")
     links = kept(compact(verify(tried).select("u", "v")), "links")
     groups = kept(components(links), "groups")
-    rest = kept(compact(_apart(shared, groups).join(tried, ["u", "v"], "left_anti")), "rest")
+    rest = kept(compact(_apart(shared, groups, narrow).join(tried, ["u", "v"], "left_anti")), "rest")
     if rest.isEmpty():
         return groups
     more = kept(compact(verify(rest).select("u", "v")), "links")
@@ -37,10 +38,16 @@ def linked_components(shared: DataFrame, verify: Verify, components: Callable[[D
     return kept(components(links.union(more)), "groups")
 
 
-def _apart(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of ids that share a key and are in different components. Only keys that still hold two components take part."""
-    named = kept(compact(shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))), "named")
-    open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    named = named.join(open_keys, "key", "left_semi")
+def _open(named: DataFrame) -> DataFrame:
+    """The rows of keys that hold two components."""
+    keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    return kept(compact(named.join(keys, "key", "left_semi")), "open")
+
+
+def _apart(shared: DataFrame, groups: DataFrame, narrow: Verify | None) -> DataFrame:
+    """Pairs of ids that share a key and are in different components."""
+    named = _open(shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    if narrow is not None:
+        named = _open(narrow(named))
     left, right = named.toDF("key", "u", "cu"), named.toDF("key", "v", "cv")
     return left.join(right, "key").where("u < v AND cu <> cv").select("u", "v").distinct()

@@ -7,7 +7,8 @@ Nulls: a null text has an empty set, as has one without words; both are linked w
 joins others: its component is null. Repeated rows of one id count once per row in n_shingles but share one
 component. Other columns are ignored. An empty table gives an empty result.
 
-Scale: equal sets are collapsed first (by their 128-bit set sums), so copies cost one row each; similar sets meet in buckets (links.py).
+Scale: equal sets are collapsed first (by their 128-bit set sums), so copies cost one row each; similar sets meet in buckets (links.py). Ids that
+share a bucket but are not in one component after the first comparisons meet again by their rarest shingles only, which loses no link.
 With 16 bands of 3 minima a pair at similarity 0.75 is missed with probability 1.6e-4, at 0.8 with 1e-5.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -60,18 +61,18 @@ def _sketcher(words: int, bands: int, rows: int):
     return run
 
 
-def _set_bytes(words: int):
+def _set_lists(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, pieces in H.slices(batch.column(1), H.SPACED):
                 h, bounds = _sets(pieces, words)
-                sets = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets, pa.binary())], ["id", "set"])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], ["id", "set"])
     return run
 
 
-def alike(left: bytes, right: bytes, percent: int) -> bool:
-    a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of two arrays of distinct values: 100 * |intersection| >= percent * |union|."""
     low, high = sorted((len(a), len(b)))
     if 100 * low < percent * high or not low:
         return False
@@ -84,9 +85,9 @@ def alike(left: bytes, right: bytes, percent: int) -> bool:
 def _checker(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, a, b = (batch.column(i) for i in range(4))
-            good = pa.array([alike(x.as_py(), y.as_py(), percent) for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(good)
+            (va, oa), (vb, ob) = ((c.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))))) for c in (batch.column(2), batch.column(3)))
+            good = [alike(va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]], percent) for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
     return run
 
 
@@ -109,15 +110,34 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     shared = shared_buckets(classes.select(F.explode("keys").alias("key"), "id"))
     signatures = classes.select("id", "signature")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return kept(texts.join(ids.distinct().hint("merge"), "id", "left_semi").mapInArrow(_set_lists(words), "id long, set array<long>"), "sets")
+
+    def verify(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         left, right = signatures.toDF("u", "a"), signatures.toDF("v", "b")
         likely = kept(compact(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")).mapInArrow(_agreeing(AGREEING), "u long, v long"), "likely")
-        needed = likely.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        sets = kept(texts.join(needed, "id", "left_semi").mapInArrow(_set_bytes(words), "id long, set binary"), "sets")
+        sets = sets or sets_of(likely.select(F.explode(F.array("u", "v")).alias("id")))
         left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
         return compact(likely.join(left, "u").join(right, "v").select("u", "v", "a", "b")).mapInArrow(_checker(percent), "u long, v long")
 
-    groups = linked_components(shared, verify)
+    open_sets: list[DataFrame] = []
+
+    def narrow(named: DataFrame) -> DataFrame:
+        """New keys for the open ids: their rarest shingles. A linked pair has at least percent / (100 + percent) of the sum of its sizes in common, so with n
+        shingles, of which `needed` must be shared with even the smallest partner that keys and size allow, one of the n - needed + 1 rarest is shared."""
+        sets = sets_of(named.select("id"))
+        open_sets.append(sets)
+        held = sets.select("id", F.explode("set").alias("key"))
+        counts = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        sized = named.join(sets.select("id", F.size("set").alias("n")), "id")
+        least = sized.groupBy("key").agg(F.min("n").alias("least"))
+        partner = sized.join(least, "key").groupBy("id", "component").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+        needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent / (100 + percent))
+        mine = Window.partitionBy("id")
+        ranked = (held.join(counts.hint("merge"), "key").withColumn("common", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("df", "key"))))
+        return ranked.join(partner, "id").where(F.col("rank") <= F.col("common") - needed + 1).select("key", "id", "component")
+
+    groups = linked_components(shared, lambda pairs: verify(pairs, *open_sets), narrow=narrow)
     named = classes.join(groups, "id", "left").select("sum1", "sum2", "n_shingles", F.coalesce("component", "id").alias("component"))
     return (sketches.select("id", "n_shingles", "sum1", "sum2").join(named, ["sum1", "sum2", "n_shingles"], "left")
             .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")))

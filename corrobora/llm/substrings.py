@@ -94,7 +94,7 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: st
     lone = spans.where("copies = 1")
     probes = lone.union(spans.where("copies > 1").join(lone.select("seed").distinct(), "seed", "left_semi").select(*spans.columns))
     lists = probes.select("first.*", "copies").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "copies")).alias("blocks"))
-    windows = kept(texts.join(lists, "doc").select("doc", "text", "blocks").mapInArrow(_windows(window), "hash long, copies long, doc long, at int"), "windows")
+    windows = kept(texts.join(lists.hint("merge"), "doc").select("doc", "text", "blocks").mapInArrow(_windows(window), "hash long, copies long, doc long, at int"), "windows")
     twice = windows.groupBy("hash").agg(F.sum("copies").alias("n")).where("n > 1").select("hash")
     edges = windows.where("copies = 1").join(twice, "hash", "left_semi").select("doc", "at", F.lit(1).alias("n"))
     return repeated.union(edges)
@@ -132,6 +132,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     words joined by one space, n_repeats counts the maximal repeats that were cut."""
     found = repeated_windows(docs, id_column, text_column, window, seed_words).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias((windows := free_name(docs, "windows"))))
     key = free_name(docs, "doc_key")
-    joined = docs.join(kept(found, "repeats").withColumnRenamed("doc", key), F.col(id_column).cast("long") == F.col(key), "left")
+    joined = docs.join(kept(found, "repeats").withColumnRenamed("doc", key).hint("merge"), F.col(id_column).cast("long") == F.col(key), "left")
     empty = F.array().cast("array<struct<at:int,n:int>>")
     return joined.withColumn(free_name(docs, "rest"), _cut(window)(F.col(text_column), F.coalesce(windows, empty))).drop(key, windows)
