@@ -67,3 +67,47 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import taken
     return taken(table(spark, sf_dir, "documents"))
+
+
+@query("op8_embedding_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import components
+    return components(table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+@query("op3_warc_in_zip")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read, write
+    packages = write(table(spark, sf_dir, "pages"))
+    return read(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+
+
+_CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query("op2_chat_formatting", f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{_CONTROL}'),
+o AS (
+  SELECT *, row_number() OVER w AS n, coalesce(lag(role) OVER w, '') AS previous, length(text) + length(text) - length(replace(replace(replace(text, '\\', ''), '<', ''), '[', '')) AS escaped,
+    length(role) + length(role) - length(replace(replace(replace(role, '\\', ''), '<', ''), '[', '')) AS escaped_role
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(escaped + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE escaped_role + 22 END) AS BIGINT) AS formatted_chars,
+  CAST(count(*) FILTER (WHERE NOT CASE WHEN n = 1 THEN role IN ('system', 'user') WHEN previous IN ('system', 'assistant') THEN role = 'user' WHEN previous = 'user' THEN role = 'assistant' ELSE false END) AS BIGINT) AS n_bad_turns
+FROM o GROUP BY conv_id""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, read_back, segments
+    from .runtime import kept
+    tricky = spark.createDataFrame([(-7, 0, "user", _CONTROL), (-7, 1, "assistant", _CONTROL)], "conv_id long, turn long, role string, text string")
+    formatted = kept(segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)), "formatted")
+    return digests(read_back(formatted))
+
+
+@query("op6_pii_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replaced
+    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
