@@ -1,7 +1,7 @@
 """From buckets of candidates to components of verified links, without emitting all pairs of a bucket.
 
 Buckets are rows (key, id): ids that share a key may be alike. `verify` takes pairs (u, v) and returns those that are. A bucket of n ids that all
-belong together costs about n pairs: its ids are first compared with two of them only. What is left to compare afterwards are ids that
+belong together costs about n pairs: its ids are first compared with two of them only, its hubs. What is left to compare afterwards are ids that
 share a key but are still in different components; all of those pairs are compared, so the result is the same as comparing every pair.
 """
 
@@ -22,32 +22,43 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return kept(compact(buckets.join(hubs, "key").distinct()), "buckets")
 
 
-def linked_components(shared: DataFrame, verify: Verify, components: Callable[[DataFrame], DataFrame] = star_components, narrow: Verify | None = None) -> DataFrame:
+def linked_components(shared: DataFrame, verify: Verify, components: Callable[[DataFrame], DataFrame] = star_components, narrow: Verify | None = None,
+                      percent: int = 0) -> DataFrame:
     """(id, component) of every id with a verified link; `shared` comes from shared_buckets. `narrow` takes the rows (key, id, component) that are
-    still open and returns such rows with keys of its own, of which every two ids with a link share one."""
-    tried = kept(compact(shared.select(F.explode(F.array("low", "high")).alias("u"), F.col("id").alias("v")).where("u <> v")
-                         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), "tried")
+    still open and returns rows (key, id, size, most): keys of its own, of which every two ids with a link share one, the size of the id's set, and how much
+    of it can be in common with any other; `percent` is the least similarity, and pairs that cannot reach it with these are left out."""
+    hubs = shared.select(F.explode(F.array("low", "high")).alias("u"), F.col("id").alias("v"))
+    tried = kept(compact(_pairs(hubs.where("u <> v"))), "tried")
     links = kept(compact(verify(tried).select("u", "v")), "links")
     groups = kept(components(links), "groups")
-    rest = kept(compact(_apart(shared, groups, narrow).join(tried, ["u", "v"], "left_anti")), "rest")
+    rows = _open(shared.select("key", "id", F.lit(0).alias("size"), F.lit(0).alias("most")), groups)
+    if narrow is not None:
+        rows = _open(narrow(rows), groups)
+    if rows.isEmpty():
+        return groups
+    # once more with the hubs of these keys, then every pair that is still apart
+    hubs = rows.groupBy("key").agg(F.min(F.struct("id", "component")).alias("a"), F.max(F.struct("id", "component")).alias("b"))
+    hubs = rows.join(hubs, "key").select(F.explode(F.array("a", "b")).alias("hub"), "id", "component").where("hub.component <> component")
+    again = kept(compact(_pairs(hubs.select(F.col("hub.id").alias("u"), F.col("id").alias("v"))).join(tried, ["u", "v"], "left_anti")), "tried")
+    links = kept(compact(links.union(verify(again).select("u", "v"))), "links")
+    groups = kept(components(links), "groups")
+    rows = _open(rows.drop("component"), groups)
+    left, right = rows.toDF("key", "u", "nu", "mu", "cu"), rows.toDF("key", "v", "nv", "mv", "cv")
+    possible = f"u < v AND cu <> cv AND (100 + {percent}) * least(mu, mv) >= {percent} * (nu + nv)"
+    apart = left.join(right, "key").where(possible).select("u", "v").distinct()
+    rest = kept(compact(apart.join(tried.union(again), ["u", "v"], "left_anti")), "rest")
     if rest.isEmpty():
         return groups
     more = kept(compact(verify(rest).select("u", "v")), "links")
-    if more.isEmpty():
-        return groups
-    return kept(components(links.union(more)), "groups")
+    return groups if more.isEmpty() else kept(components(links.union(more)), "groups")
 
 
-def _open(named: DataFrame) -> DataFrame:
-    """The rows of keys that hold two components."""
-    keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    return kept(compact(named.join(keys, "key", "left_semi")), "open")
+def _pairs(hubs: DataFrame) -> DataFrame:
+    return hubs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _apart(shared: DataFrame, groups: DataFrame, narrow: Verify | None) -> DataFrame:
-    """Pairs of ids that share a key and are in different components."""
-    named = _open(shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    if narrow is not None:
-        named = _open(narrow(named))
-    left, right = named.toDF("key", "u", "cu"), named.toDF("key", "v", "cv")
-    return left.join(right, "key").where("u < v AND cu <> cv").select("u", "v").distinct()
+def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows (key, id, size, most, component) of keys that hold two components."""
+    named = rows.join(groups, "id", "left").select("key", "id", "size", "most", F.coalesce("component", "id").alias("component"))
+    keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    return kept(compact(named.join(keys, "key", "left_semi")), "open")

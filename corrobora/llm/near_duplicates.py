@@ -25,7 +25,7 @@ from .runtime import compact, kept
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 16, 3
-AGREEING = 20          # of 48 minima; a pair at 0.75 has fewer with probability below 1e-6
+AGREEING = 22          # of 48 minima; a pair at 0.75 has fewer with probability 4e-6
 SEED = 7
 
 
@@ -128,16 +128,20 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         sets = sets_of(named.select("id"))
         open_sets.append(sets)
         held = sets.select("id", F.explode("set").alias("key"))
-        counts = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
         sized = named.join(sets.select("id", F.size("set").alias("n")), "id")
         least = sized.groupBy("key").agg(F.min("n").alias("least"))
-        partner = sized.join(least, "key").groupBy("id", "component").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+        partner = kept(compact(sized.join(least, "key").groupBy("id").agg(F.max("n").alias("n"), F.min("least").alias("least"))), "partners")
         needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent / (100 + percent))
+        shared_keys = lambda rows: rows.join(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "key")
+        # an id with too few shared shingles has no link; what it shares with others then does not count for them either
+        common = shared_keys(held).groupBy("id").agg(F.count("*").alias("common"))
+        hopeful = kept(compact(partner.join(common, "id").where(F.col("common") >= needed).select("id")), "hopeful")
+        held = held.join(hopeful, "id", "left_semi")
         mine = Window.partitionBy("id")
-        ranked = (held.join(counts.hint("merge"), "key").withColumn("common", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("df", "key"))))
-        return ranked.join(partner, "id").where(F.col("rank") <= F.col("common") - needed + 1).select("key", "id", "component")
+        ranked = shared_keys(held).withColumn("common", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("df", "key")))
+        return ranked.join(partner, "id").where(F.col("rank") <= F.col("common") - needed + 1).select("key", "id", F.col("n").alias("size"), F.col("common").alias("most"))
 
-    groups = linked_components(shared, lambda pairs: verify(pairs, *open_sets), narrow=narrow)
+    groups = linked_components(shared, lambda pairs: verify(pairs, *open_sets), narrow=narrow, percent=percent)
     named = classes.join(groups, "id", "left").select("sum1", "sum2", "n_shingles", F.coalesce("component", "id").alias("component"))
     return (sketches.select("id", "n_shingles", "sum1", "sum2").join(named, ["sum1", "sum2", "n_shingles"], "left")
             .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")))
