@@ -15,7 +15,7 @@ def counted(n: Column, one: str, many: str | None = None) -> Column:
 
 
 def lower_first(c: Column) -> Column:
-    return F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000))
+    return F.concat(F.lower(F.left(c, F.lit(1))), F.substr(c, F.lit(2), F.length(c)))
 
 
 def joined(names: Column) -> Column:

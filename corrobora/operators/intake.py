@@ -83,7 +83,7 @@ def call_models(asked: DataFrame, make_client: Callable[[], Callable[[str, list]
     """
     def answer(client, system: str, user: str) -> tuple:
         history = [("system", system), ("user", user)]
-        attempts, error = 0, "no attempt made"
+        attempts, retry, error = 0, True, "nothing was sent"
         for model in [models[0], *models]:
             if attempts == 1 and not retry:
                 retry = True
@@ -91,17 +91,17 @@ def call_models(asked: DataFrame, make_client: Callable[[], Callable[[str, list]
             attempts += 1
             try:
                 raw = client(model, history)
-            except CallFailed as failed:
-                retry, error = failed.retryable, f"{model}: {failed}"
+            except Exception as failed:  # whatever goes wrong is this prompt's row
+                retry, error = getattr(failed, "retryable", False), f"{model}: {failed}"
                 continue
-            if first_object(raw) is not None:
+            if well_formed(raw):
                 return "ok", model, raw, attempts, None
             attempts += 1
             try:
-                raw = client(model, [*history, ("assistant", raw), ("user", "Your reply was not valid. Reply with the corrected JSON only.")])
-            except CallFailed as failed:
+                raw = client(model, [*history, ("assistant", raw), ("user", "That could not be read as the object described above. Send that object again, complete, and nothing else.")])
+            except Exception as failed:
                 return "bad_output", model, None, attempts, str(failed)
-            readable = first_object(raw) is not None
+            readable = well_formed(raw)
             return ("ok" if readable else "bad_output"), model, raw if readable else None, attempts, None if readable else "unreadable reply"
         return "unavailable", None, None, attempts, error
 
@@ -115,6 +115,11 @@ def call_models(asked: DataFrame, make_client: Callable[[], Callable[[str, list]
     return distinct.repartition(callers, "recording_key").mapInPandas(run, _CALL)
 
 
+def recorded(called: DataFrame) -> DataFrame:
+    """Accepted replies in the form in which they are stored for later runs."""
+    return called.filter("status = 'ok'").select("recording_key", "model", "raw_response", F.current_timestamp().alias("created_at"))
+
+
 # --- replies --------------------------------------------------------------------------------------
 _BRACES = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.S)
 
@@ -128,24 +133,46 @@ def first_object(reply: str | None) -> str | None:
     for token in _BRACES.finditer(text, start):
         depth += {"{": 1, "}": -1}.get(token.group(), 0)
         if depth == 0:
-            candidate = text[start:token.end()]
-            try:
-                json.loads(candidate)
-            except ValueError:
-                return None
-            return candidate
+            return _readable(text[start:token.end()])
     return None
 
 
+def _readable(candidate: str) -> str | None:
+    """The object as it stands; written anew where a key repeats (its last value holds) or a number is not finite (it becomes a word)."""
+    odd = []
+
+    def pairs(items):
+        odd.extend(items if len(dict(items)) < len(items) else ())
+        return dict(items)
+
+    def word(name):
+        odd.append(name)
+        return str(float(name.replace("Infinity", "inf")))
+    try:
+        value = json.loads(candidate, object_pairs_hook=pairs, parse_constant=word)
+    except ValueError:
+        return None
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) if odd else candidate
+
+
+def well_formed(reply: str | None) -> bool:
+    """The reply has an object whose aspects and claims are lists where present, and one of them is."""
+    found = first_object(reply)
+    value = json.loads(found) if found else {}
+    lists = [value[name] for name in ("aspects", "claims") if name in value]
+    return bool(lists) and all(isinstance(x, list) for x in lists)
+
+
 @F.pandas_udf(T.StringType())
 def _first_object(replies: pd.Series) -> pd.Series:
     return replies.map(first_object)
 
 
 def with_json(replies: DataFrame, column: str = "raw_response", out: str = "json") -> DataFrame:
-    """Adds the JSON object of each reply or NULL. Only replies with text around the object go to Python."""
+    """Adds the JSON object of each reply or NULL. Replies with text around the object, or with
+    anything after a closing brace that could be such text, go to Python, as do those that the JVM cannot parse."""
     plain = strip(F.regexp_replace(column, r"(?i)```(?:json)?", ""))
-    whole = let(plain, lambda p: F.when(p.rlike(r"^\{") & F.try_parse_json(p).isNotNull(), p))
+    whole = let(plain, lambda p: F.when(p.rlike(r"^\{(?s:.*)\}$") & ~p.rlike(r"\}\s*[^\s,\]\}]") & F.try_parse_json(p).isNotNull(), p))
     staged = replies.withColumn("_whole", whole)
     rest = _first_object(F.when(F.col("_whole").isNull(), F.col(column)))
     return staged.withColumn(out, F.coalesce("_whole", rest)).drop("_whole")
@@ -239,7 +266,9 @@ def validated(replies: DataFrame, json_column: str = "json") -> DataFrame:
     # `_v` is named once here, so a filter on `valid` that is pushed down parses the reply once, not once per mention
     rows = rows.withColumn("valid", let(F.col("_v"), _usable)).withColumn("_v", F.when(F.col("valid"), F.col("_v")))
     flag, note = _part(F.col("_v"), "ambiguous"), _part(F.col("_v"), "ambiguity_note")
-    ambiguous = F.coalesce(~_empty(flag) & ~flag["text"].isin("false", "0", "", "[]", "{}", "0.0"), F.lit(False))
+    # any text that is not empty counts as yes, the word "false" too
+    said = F.when(flag["kind"] == "STRING", flag["text"] != "").otherwise(~flag["text"].isin("false", "0", "[]", "{}", "0.0"))
+    ambiguous = F.coalesce(~_empty(flag) & said, F.lit(False))
     return rows.withColumns({"aspects": _aspects(), "claims": _claims(), "supersession": _supersession(), "answer": _answer(),
                              "ambiguous": ambiguous, "ambiguity_note": _text(note)}).drop("_v")
 

@@ -142,11 +142,16 @@ def recall(evidence: DataFrame, truth: DataFrame, cutoffs: tuple[int, ...] = (1,
 
 
 def planted_in(items: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
-    """item_id, doc_id where the passage holds the first words of the item: an equi-join on word runs, never all pairs."""
-    def runs(t, last):
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(t, i, words), " "))
+    """item_id, doc_id where a passage holds a run of `words` words of the item, or all of a shorter item: equi-joins on words, never all pairs."""
+    def runs(t):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, words), " ")))
     toks = tx.tokens(F.col("text"))
-    wanted = items.select("item_id", F.array_join(F.slice(toks, 1, words), " ").alias("run"), F.size(toks).alias("n")).filter(F.col("n") >= words)
-    have = passages.select("doc_id", toks.alias("t")).filter(F.size("t") >= words).select(
-        "doc_id", F.explode(F.array_distinct(runs(F.col("t"), F.size("t") - words + 1))).alias("run"))
-    return have.join(wanted.select("item_id", "run"), "run").select("item_id", "doc_id").distinct()
+    wanted = items.select("item_id", toks.alias("t")).filter(F.size("t") > 0)
+    have = passages.select("doc_id", toks.alias("t"))
+    long_items = wanted.filter(F.size("t") >= words).select("item_id", F.explode(runs(F.col("t"))).alias("run"))
+    found = have.filter(F.size("t") >= words).select("doc_id", F.explode(runs(F.col("t"))).alias("run")).join(long_items, "run").select("item_id", "doc_id")
+    # a short item is met through its first word and then compared in full
+    padded = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    short_items = wanted.filter(F.size("t") < words).select("item_id", padded(F.col("t")).alias("run"), F.get("t", F.lit(0)).alias("word"))
+    short = have.select("doc_id", padded(F.col("t")).alias("whole"), F.explode(F.array_distinct("t")).alias("word")).join(short_items, "word").filter(F.contains("whole", "run"))
+    return found.union(short.select("item_id", "doc_id")).distinct()

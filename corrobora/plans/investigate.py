@@ -5,9 +5,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..sources import tables
 from ..operators import composition, conflicts, indexing, layout, rating, retrieval, runs, verification
 
+PROMPT_VERSION, RULES = "v1", "rules"      # parts of the key under which an answer is stored
 RESULT = ["run_id", "scope", "question", "state", "headline", "degraded", "sentences", "results", "claims", "signals", "reasons", "related", "warnings"]
 
 
@@ -47,11 +49,13 @@ def extraction_from_replies(replies: DataFrame) -> dict[str, DataFrame]:
     return {"claims": rows("claims"), "aspects": rows("aspects"), "entries": rows("entries"), "answers": valid.select("run_id", "answer", "ambiguous", "ambiguity_note")}
 
 
-def investigate(questions: DataFrame, evidence: DataFrame, extracted: dict[str, DataFrame], unavailable: DataFrame | None = None) -> DataFrame:
+def investigate(questions: DataFrame, evidence: DataFrame, extracted: dict[str, DataFrame], unavailable: DataFrame | None = None, keyword_only: bool = False,
+                source: str = "live", check_failed: DataFrame | None = None) -> DataFrame:
     """One result row per question.
 
     questions: question_id, scope, question, has_documents; evidence: items of `retrieve`;
-    unavailable: question_id of questions whose reply could not be had or read (answered with passages only).
+    with a column cache_key if the rows are to be stored; unavailable: question_id of questions whose reply could not be had or read (answered with passages only);
+    keyword_only: no vectors took part; source: where the claims come from; check_failed: question_id whose conflict check failed.
     """
     items = evidence.withColumnRenamed("question_id", "run_id").withColumns({
         "chunk_id": F.concat_ws("-", "doc_id", "ordinal"), "document_id": F.col("doc_id")})
@@ -65,25 +69,33 @@ def investigate(questions: DataFrame, evidence: DataFrame, extracted: dict[str,
     for name, default in (("ambiguous", F.lit(False)), ("ambiguity_note", F.lit(None).cast("string"))):
         if name not in answers.columns:
             answers = answers.withColumn(name, default)
-    shown = F.struct("rank", "eid", "chunk_id", "document_id", "document", "page", "section", "paragraph", F.substring("text", 1, 240).alias("quote"),
+    shown = F.struct("rank", "eid", "chunk_id", "document_id", "document", "page", "section", "paragraph", F.substring("text", 1, fixed.RELATED_CHARS).alias("quote"),
                      "extraction_method", layout.quality_band(F.col("extraction_method"), F.col("ocr_confidence")).alias("ocr_quality"))
     per_run = items.groupBy("run_id").agg(F.sort_array(F.collect_list(shown)).alias("evidence"))
     flagged = asked.join(per_run, "run_id", "left").join(answers, "run_id", "left")
     kind = dict(flagged.dtypes)["evidence"]
     flagged = flagged.withColumns({
         "evidence": F.coalesce("evidence", F.expr(f"cast(array() as {kind})")), "ambiguous": F.coalesce("ambiguous", F.lit(False)),
-        "answer": F.coalesce("answer", F.expr("cast(array() as array<struct<text:string,claims:array<string>>>)")), "check_failed": F.lit(False)})
-    flagged = flagged.withColumns({"n_evidence": F.size("evidence"), "llm_source": F.when(F.col("evidence_only") | (F.size("evidence") == 0), "none").otherwise("live")})
+        "answer": F.coalesce("answer", F.expr("cast(array() as array<struct<text:string,claims:array<string>>>)")), "check_failed": F.lit(False), "keyword_only": F.lit(keyword_only)})
+    if check_failed is not None:
+        failed = check_failed.select(F.col("question_id").alias("run_id"), F.lit(True).alias("failed")).distinct()
+        flagged = flagged.join(failed, "run_id", "left").withColumn("check_failed", F.coalesce("failed", F.lit(False))).drop("failed")
+    flagged = flagged.withColumns({"n_evidence": F.size("evidence"), "llm_source": F.when(F.col("evidence_only") | (F.size("evidence") == 0), "none").otherwise(source)})
     checked = verification.check_claims(extracted["claims"], items, extracted["aspects"])
     notes = verification.supersession_notes(extracted["entries"], items)
-    rows = rating.rated(conflicts.case_rows(flagged, extracted["aspects"], checked, notes))
+    rows = rating.rated(conflicts.case_rows(flagged, extracted["aspects"], checked, notes), F.col("keyword_only"))
     done = composition.with_result(composition.with_citations(composition.with_sentences(rows)))
-    return done.withColumn("degraded", runs.degraded(F.col("evidence_only"), F.col("check_failed")))
+    return done.withColumn("servable", ~runs.degraded(F.col("evidence_only"), F.col("check_failed")))
 
 
-def run_rows(results: DataFrame) -> DataFrame:
-    """Stored form: one JSON document per run next to the columns that lookups need."""
-    return results.select("run_id", "scope", "question", "state", "rule", "degraded", "headline", F.to_json(F.struct(*RESULT)).alias("result_json"))
+def run_rows(results: DataFrame, model: str = RULES) -> DataFrame:
+    """Stored form: one JSON document per run next to the columns that lookups need. In the JSON `degraded` says that the answer has passages only;
+    the column also covers a failed conflict check, after which a run is not served again."""
+    shown = results.withColumn("degraded", F.col("evidence_only"))
+    body = F.to_json(F.struct(*[F.col(c) for c in RESULT]), {"ignoreNullFields": "false"})
+    return shown.withColumn("result_json", body).select(
+        "run_id", "scope", "question", "state", "rule", (~F.col("servable")).alias("degraded"), "headline", "result_json", "cache_key", F.lit(model).alias("model"),
+        F.current_timestamp().alias("created_at"), F.col("run_id").cast("bigint").alias("run_no"), F.lit(None).cast("string").alias("code"))
 
 
 def from_cache_or(asked: DataFrame, stored: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import evaluation, intake
 from . import q_retrieval as qr
 from . import views
@@ -12,38 +13,37 @@ SYSTEM = "Report what the passages state, as one JSON object with aspects, claim
 
 
 _PROMPT_SQL = f"""
-items AS (SELECT item_id AS question_id, b.text AS question, c.* FROM benchmark b JOIN chunks c ON c.source = 'src' || (item_id % 20) WHERE c.ordinal = 0
-  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY c.doc_id) <= 10),
-blocks AS (SELECT question_id, question, string_agg('<evidence id="E' || doc_id || '" document="say ''doc'' ' || doc_id || '" page="' || coalesce(CAST(page AS VARCHAR), 'n/a') || '" section="' || coalesce(nullif(translate(section, '"', ''''), ''), 'n/a') || '">' || chr(10)
-  || replace(text, '</evidence', '<\\/evidence') || chr(10) || '</evidence>', chr(10) ORDER BY doc_id) AS b FROM items GROUP BY ALL),
-prompts AS (SELECT question_id, 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || b AS "user", sha256('{SYSTEM}' || chr(10) || '---' || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || b) AS recording_key FROM blocks)"""
+items AS (SELECT question_id, rank, 'E' || rank AS eid, 'say "doc" ' || doc_id AS document, ordinal + 1 AS page, CASE WHEN doc_id % 2 = 0 THEN 'Part "' || ordinal || '"' END AS section, text
+  FROM chosen JOIN corpus USING (doc_id, ordinal)),
+blocks AS (SELECT question_id, string_agg('<evidence id="' || eid || '" document="' || translate(document, '"', '''') || '" page="' || page || '" section="' || coalesce(translate(section, '"', ''''), 'n/a') || '">' || chr(10)
+  || replace(text, '</evidence', '<\\/evidence') || chr(10) || '</evidence>', chr(10) ORDER BY rank) AS b FROM items GROUP BY ALL),
+prompts AS (SELECT question_id, 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || b AS "user", sha256('{SYSTEM}' || chr(10) || '---' || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || b) AS recording_key
+  FROM blocks JOIN questions USING (question_id))"""
 
 
 def prompt_rows(spark: SparkSession, sf: str) -> DataFrame:
-    q = qr.questions(spark, sf)
-    heads = views.passages(spark, sf).filter("ordinal = 0").withColumnRenamed("source", "scope")
-    ranked = qr.rt._top(q.join(heads, "scope"), [F.col("doc_id")], 10, "rank")
-    e = ranked.select("question_id", "rank", F.concat(F.lit("E"), F.col("doc_id").cast("string")).alias("eid"),
-                      F.concat(F.lit('say "doc" '), F.col("doc_id").cast("string")).alias("document"), "page", "section", "text")
-    return intake.prompts(q, e, SYSTEM)
+    """The retrieved evidence of every question, as the model would see it."""
+    e = qr.evidence(spark, sf).select("question_id", "rank", "eid", F.concat(F.lit('say "doc" '), F.col("doc_id").cast("string")).alias("document"), (F.col("ordinal") + 1).alias("page"),
+                                      F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('Part "'), F.col("ordinal").cast("string"), F.lit('"'))).alias("section"), "text")
+    return intake.prompts(qr.questions(spark, sf), e, SYSTEM)
 
 
-@query("clm_prompt_build", views.chunks_sql('SELECT question_id, "user", recording_key FROM prompts').replace("\nSELECT question_id, \"user\"", f",{_PROMPT_SQL}\nSELECT question_id, \"user\""))
+@query("clm_prompt_build", qr._sql('SELECT question_id, "user", recording_key FROM prompts', qr._BM25_SQL, qr._DENSE_SQL, qr._FUSE_SQL, qr._CHOSEN_SQL, _PROMPT_SQL))
 def clm_prompt_build(spark, sf):
     return prompt_rows(spark, sf).select("question_id", "user", "recording_key")
 
 
 # --- prompts and recordings over conversations ------------------------------------------------------
 def turn_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    c = views.table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.lit(SYSTEM).alias("system"),
-        F.concat(F.lit("#"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"), F.lit(" "), F.col("text")).alias("user"))
+    c = views.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.lit(SYSTEM).alias("system"),
+        F.concat(F.lit("#"), (F.col("conv_id") + F.col("turn")).cast("string"), F.lit(" "), F.concat_ws("-", "conv_id", "turn"), F.lit(" "), F.col("text")).alias("user"))
     return c.withColumn("recording_key", intake.recording_key(F.col("system"), F.col("user")))
 
 
 def recordings(spark: SparkSession, sf: str) -> DataFrame:
     """Stored replies of the first turns."""
     p = turn_prompts(spark, sf)
-    return p.filter("question_id % 1000 = 0").select("recording_key", F.lit("stored-model").alias("model"), F.concat(F.lit('{"claims":[],"n":'), F.col("question_id").cast("string"), F.lit("}")).alias("raw_response"))
+    return p.filter("turn = 0").select("recording_key", F.lit("stored-model").alias("model"), F.concat(F.lit('{"claims":[],"n":"'), F.col("question_id"), F.lit('"}')).alias("raw_response"))
 
 
 def stub_client():
@@ -51,17 +51,17 @@ def stub_client():
     calls: dict = {}
 
     def call(model: str, history: list) -> str:
-        number = int(history[1][1][1:].split(" ", 1)[0])
-        calls[number] = calls.get(number, 0) + 1
-        case = number % 5
-        if case == 1 and calls[number] == 1:
+        number, name = history[1][1][1:].split(" ", 2)[:2]
+        calls[name] = calls.get(name, 0) + 1
+        case = int(number) % 5
+        if case == 1 and calls[name] == 1:
             raise intake.CallFailed("HTTP 429", True)
         if case == 2 and model == "primary":
             raise intake.CallFailed("HTTP 500", True)
         if case == 3:
             raise intake.CallFailed("HTTP 401", False)
         if case == 4 and len(history) == 2:
-            return "no json here {"
+            return "no json here {" if int(number) % 2 else '{"claims": "none", "aspects": []}'
         return 'Sure: {"claims": [], "aspects": []} done'
     return call
 
@@ -70,19 +70,19 @@ def called(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     return intake.call_models(rows, stub_client, ["primary", "fallback"], callers=4)
 
 
-_TURNS_SQL = f"turns AS (SELECT conv_id * 1000 + turn AS question_id, sha256('{SYSTEM}' || chr(10) || '---' || chr(10) || '#' || (conv_id * 1000 + turn) || ' ' || text) AS recording_key FROM conversations WHERE role = 'user')"
+_TURNS_SQL = f"turns AS (SELECT conv_id || '-' || turn AS question_id, turn, conv_id + turn AS n, sha256('{SYSTEM}' || chr(10) || '---' || chr(10) || '#' || (conv_id + turn) || ' ' || conv_id || '-' || turn || ' ' || text) AS recording_key FROM conversations)"
 
 
-@query("clm_recording_join", f"""WITH {_TURNS_SQL} SELECT question_id, CASE WHEN question_id % 1000 = 0 THEN 'recording' WHEN question_id % 5 = 3 THEN 'none' ELSE 'live' END AS llm_source,
-  CASE WHEN question_id % 1000 = 0 THEN 'stored-model' WHEN question_id % 5 = 3 THEN NULL WHEN question_id % 5 = 2 THEN 'fallback' ELSE 'primary' END AS model FROM turns""")
+@query("clm_recording_join", f"""WITH {_TURNS_SQL} SELECT question_id, CASE WHEN turn = 0 THEN 'recording' WHEN n % 5 = 3 THEN 'none' ELSE 'live' END AS llm_source,
+  CASE WHEN turn = 0 THEN 'stored-model' WHEN n % 5 = 3 THEN NULL WHEN n % 5 = 2 THEN 'fallback' ELSE 'primary' END AS model FROM turns""")
 def clm_recording_join(spark, sf):
     p, stored = turn_prompts(spark, sf), recordings(spark, sf)
     _, to_send = intake.split_recorded(p, stored, "replay")
     return intake.resolve(p, stored, called(spark, sf, to_send), "replay").select("question_id", "llm_source", "model")
 
 
-@query("clm_external_call", f"""WITH {_TURNS_SQL} SELECT recording_key, CASE WHEN question_id % 5 = 3 THEN 'unavailable' ELSE 'ok' END AS status, CASE question_id % 5 WHEN 2 THEN 'fallback' WHEN 3 THEN NULL ELSE 'primary' END AS model,
-  CAST([1, 2, 3, 2, 2][question_id % 5 + 1] AS INTEGER) AS attempts, CASE WHEN question_id % 5 = 3 THEN 'fallback: HTTP 401' END AS error FROM turns""")
+@query("clm_external_call", f"""WITH {_TURNS_SQL} SELECT recording_key, CASE WHEN n % 5 = 3 THEN 'unavailable' ELSE 'ok' END AS status, CASE n % 5 WHEN 2 THEN 'fallback' WHEN 3 THEN NULL ELSE 'primary' END AS model,
+  CAST([1, 2, 3, 2, 2][n % 5 + 1] AS INTEGER) AS attempts, CASE WHEN n % 5 = 3 THEN 'fallback: HTTP 401' END AS error FROM turns""")
 def clm_external_call(spark, sf):
     return called(spark, sf, turn_prompts(spark, sf)).drop("raw_response")
 
@@ -101,7 +101,7 @@ def reply_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Reply text by run: plain, fenced, inside prose, with a malformed item, claims not a list, truncated."""
     text = views.CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}").replace("{", "{{").replace("}", "}}").replace("{{lineitem}}", "{lineitem}") + "," + _ITEMS_SQL.replace("{", "{{").replace("}", "}}")
     def listed(name, order):
-        f = spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=views.spread(views.table(spark, sf, "lineitem")))
+        f = spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=views.table(spark, sf, "lineitem"))
         return f.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "item"))), lambda r: r["item"]), ",").alias(name))
     rows = listed("reply_items", "claim_no").join(listed("reply_aspects", "aspect_no"), "run_id").join(listed("reply_answers", "claim_no"), "run_id")
     case, lit = F.col("run_id") % 6, F.lit
@@ -144,16 +144,20 @@ def clm_reissue_ids(spark, sf):
         "run_id", "z.claims.claim_id", "z.claims.aspect_id", F.array_join("z.answer.claims", ",").alias("cited"))
 
 
-@query("clm_rule_extract", """WITH facts AS (SELECT item_id AS question_id, 1 AS fact_no, left(string_split(text, chr(10))[1], 60) AS quote FROM benchmark UNION ALL SELECT item_id, 2, 'the' FROM benchmark)
-SELECT question_id, fact_no, doc_id, quote FROM facts JOIN documents ON source = 'src' || (question_id % 20) AND contains(text, quote)""")
+@query("clm_rule_extract", qr._sql(r"""SELECT question_id, CAST(fact_no AS INTEGER) AS fact_no, 'E' || rank AS evidence, doc_id, quote
+FROM (SELECT question_id, o AS fact_no, trim(regexp_replace(line, '\s+', ' ', 'g')) AS quote FROM asked, unnest(string_split(question, chr(10))) WITH ORDINALITY AS u(line, o)) JOIN chosen USING (question_id)
+  JOIN corpus USING (doc_id, ordinal) WHERE quote <> '' AND contains(text, quote)""", qr._PLANTED_SQL, qr._ASKED_BM25_SQL, qr._NO_DENSE_SQL, qr._KEYWORD_FUSE_SQL, qr._CHOSEN_SQL))
 def clm_rule_extract(spark, sf):
-    b = views.table(spark, sf, "benchmark")
-    first = F.substring(F.substring_index("text", "\n", 1), 1, 60)
-    facts = b.select(F.col("item_id").alias("question_id"), F.posexplode(F.array(first, F.lit("the"))).alias("fact_no", "quote")).select(
-        "question_id", (F.col("fact_no") + 1).alias("fact_no"), F.concat(F.lit("Fact "), F.col("fact_no").cast("string")).alias("label"), "quote", F.col("quote").alias("value"), F.lit("text").alias("value_type"))
-    d = views.table(spark, sf, "documents").select(F.col("source").alias("scope"), F.col("doc_id"), "text")
-    found = qr.questions(spark, sf).select("question_id", "scope").join(d, "scope").select("question_id", F.col("doc_id").alias("eid"), F.col("doc_id").alias("rank"), "text")
-    return intake.rule_claims(facts, found).select("question_id", "fact_no", F.col("evidence").alias("doc_id"), "quote")
+    """The lines of an item are its facts; they are looked for in the passages that the item's question retrieves."""
+    _, asked = qr.planted_questions(spark, sf)
+    asked = asked.select("question_id", "scope", "question")
+    facts = asked.select("question_id", F.posexplode(F.split("question", "\n")).alias("at", "line")).select(
+        "question_id", (F.col("at") + 1).alias("fact_no"), F.concat(F.lit("Line "), F.col("at").cast("string")).alias("label"), tx.squeeze(F.col("line")).alias("quote"),
+        tx.squeeze(F.col("line")).alias("value"), F.lit("text").alias("value_type")).filter("quote <> ''")
+    located = qr.corpus(spark, sf).withColumns({"document": F.col("doc_id").cast("string"), "extraction_method": F.lit("text"), "ocr_confidence": F.lit(None).cast("double")})
+    found = qr.rt.evidence_items(qr.keyword_chosen(spark, sf, asked), located)
+    return intake.rule_claims(facts, found).join(found.select("question_id", F.col("eid").alias("evidence"), "doc_id"), ["question_id", "evidence"]).select(
+        "question_id", "fact_no", "evidence", "doc_id", "quote")
 
 
 @query("evl_extractor_quality", _sql("""SELECT 'model-' || (run_id % 4) AS model, count(DISTINCT run_id) AS replies, count(DISTINCT run_id) FILTER (run_id % 6 < 4) AS valid, count(claim_no) FILTER (run_id % 6 < 4) AS claims,

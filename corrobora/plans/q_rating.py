@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import wording
 from ..operators import composition as cm
 from ..operators import conflicts as cf
@@ -17,7 +18,7 @@ SEP = " || "
 def evidence_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence of every run in order, with the related-passage fields."""
     e = views.claim_table(spark, sf, "evidence").withColumnRenamed("paragraph", "rank")
-    item = F.struct("rank", "eid", "chunk_id", "document_id", "document", "page", "section", F.substring("text", 1, 240).alias("quote"),
+    item = F.struct("rank", "eid", "chunk_id", "document_id", "document", "page", "section", F.substring("text", 1, fixed.RELATED_CHARS).alias("quote"),
                     "extraction_method", layout.quality_band(F.col("extraction_method"), F.col("ocr_confidence")).alias("ocr_quality"))
     return e.groupBy("run_id").agg(F.sort_array(F.collect_list(item)).alias("evidence"))
 

@@ -27,12 +27,14 @@ _WORDS = ", ':', ".join(f"sum(CAST('0x' || substr(sha256(text), {8 * i + 1}, 8)
 
 
 @query("run_cache_key", f"""WITH sets AS (SELECT source AS scope, concat(count(*), ':', {_WORDS}) AS s FROM documents WHERE doc_id % 29 <> 0 GROUP BY 1)
-SELECT item_id AS question_id, scope, sha256(concat('v1|model|', s, '|', trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))) AS cache_key FROM benchmark, sets""")
+SELECT item_id AS question_id, d.source AS scope, sha256(concat('v1|model|', coalesce(s, ''), '|', trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))) AS cache_key
+FROM benchmark b JOIN documents d ON d.doc_id = item_id LEFT JOIN sets ON scope = d.source""")
 def run_cache_key(spark, sf):
     d = views.table(spark, sf, "documents").select(F.col("source").alias("scope"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"),
                                                    F.when(F.col("doc_id") % 29 == 0, "failed").otherwise("ready").alias("status"))
-    asked = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.explode(
-        F.array(*[F.lit(f"src{i}") for i in range(20)])).alias("scope"))
+    # an item is asked in the scope of the document that has its number
+    scopes = views.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("scope"))
+    asked = views.table(spark, sf, "benchmark").join(scopes, "item_id").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), "scope")
     return runs.with_cache_key(asked, runs.document_set_digests(d), "v1", "model").select("question_id", "scope", "cache_key")
 
 
@@ -113,32 +115,33 @@ def obs_stage_log(spark, sf):
 
 # --- the whole batch -------------------------------------------------------------------------------------
 def batch_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions (every benchmark item in each of four investigations), passages, and known fact phrases."""
+    """Questions (every benchmark item in each of four investigations), passages, and known facts: the lines of the items."""
     investigation = F.concat(F.lit("inv"), (F.regexp_replace("source", "src", "").cast("int") % 4).cast("string"))
     passages = views.passages(spark, sf).withColumns({
         "scope": investigation, "document": F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))}).drop("source")
     items = views.table(spark, sf, "benchmark").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    asked = items.select((F.col("item_id") * 4 + F.col("k")).alias("question_id"), F.concat(F.lit("inv"), F.col("k").cast("string")).alias("scope"), F.col("text"),
-                         F.substring(tx.squeeze(F.col("text")), 1, 500).alias("question"))
-    line = tx.squeeze(F.substring_index("text", "\n", 1))
-    facts = asked.select("question_id", F.explode(F.array(
-        F.struct(F.lit(1).alias("fact_no"), F.lit("Opening words").alias("label"), F.substring(line, 1, 60).alias("quote")),
-        F.struct(F.lit(2).alias("fact_no"), F.lit("Closing words").alias("label"), F.trim(F.right(line, F.lit(40))).alias("quote")))).alias("f")).select(
-            "question_id", "f.*", F.substring_index("f.quote", " ", 3).alias("value"), F.lit("text").alias("value_type"))
-    return asked.drop("text"), passages, facts
+    asked = items.select((F.col("item_id") * 4 + F.col("k")).alias("question_id"), F.concat(F.lit("inv"), F.col("k").cast("string")).alias("scope"), F.col("text").alias("question"))
+    facts = asked.select("question_id", F.posexplode(F.split("question", "\n")).alias("at", "line")).select(
+        "question_id", (F.col("at") + 1).alias("fact_no"), F.concat(F.lit("Line "), (F.col("at") + 1).cast("string")).alias("label"), tx.squeeze(F.col("line")).alias("quote"),
+        tx.squeeze(F.col("line")).alias("value"), F.lit("text").alias("value_type")).filter("quote <> ''")
+    return runs.checked_questions(asked), passages, facts
 
 
 def batch(spark: SparkSession, sf: str) -> DataFrame:
-    asked, passages, facts = batch_inputs(spark, sf)
+    """Accepted questions answered, rejected ones with their code."""
+    checked, passages, facts = batch_inputs(spark, sf)
+    asked, rejected = checked.filter("code IS NULL").drop("code"), checked.filter("code IS NOT NULL")
     # passages feed the index, the statistics and the evidence: written once, read three times
     passages = tables.stored(passages, "passages")
     evidence = iv.retrieve(asked, passages)
     evidence = tables.stored(evidence, "evidence")
-    scopes = passages.groupBy("scope").agg(F.lit(True).alias("has_documents"))
-    questions = asked.join(scopes, "scope", "left").withColumn("has_documents", F.coalesce("has_documents", F.lit(False)))
-    return iv.investigate(questions, evidence, iv.extraction_from_facts(facts, evidence))
+    # the document set of an investigation is part of the key under which its answers are stored
+    documents = passages.groupBy("scope", "doc_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("text_hash")), ","), 256).alias("sha256")).withColumn("status", F.lit("ready"))
+    questions = runs.with_cache_key(asked, runs.document_set_digests(documents), iv.PROMPT_VERSION, iv.RULES)
+    answered = iv.run_rows(iv.investigate(questions, evidence, iv.extraction_from_facts(facts, evidence), keyword_only=True, source="none"))
+    return answered.unionByName(rejected.select(F.col("question_id").alias("run_id"), "scope", "question", "code"), allowMissingColumns=True)
 
 
 @query("run_investigations")
 def run_investigations(spark, sf):
-    return iv.run_rows(batch(spark, sf))
+    return batch(spark, sf)

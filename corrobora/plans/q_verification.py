@@ -27,21 +27,21 @@ def ver_drop_reasons(spark, sf):
     return checked(spark, sf).select("run_id", "claim_no", "claim_id", "drop_reason")
 
 
-@query("ver_normalise_text", r"""SELECT doc_id, trim(regexp_replace(lower(translate(text, '‘’“”–—‑−', '''''""----')), '\s+', ' ', 'g')) AS text FROM documents""")
+_FORM = r"""trim(regexp_replace(lower(translate({}, '‘’“”–—‑−', '''''""----')), '\s+', ' ', 'g'))"""
+
+
+@query("ver_normalise_text", f"SELECT doc_id, {_FORM.format('text')} AS text FROM documents")
 def ver_normalise_text(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", quotes.matching_form(F.col("text")).alias("text"))
 
 
-@query("ver_exact_quote", r"""WITH asked AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN lower(substr(text, 20, 80)) WHEN 1 THEN '"' || substr(text, 20, 80) || '"' ELSE substr(text, 20, 80) END AS quote,
-  lower(trim(regexp_replace(substr(text, 20, 80), '\s+', ' ', 'g'))) AS plain FROM documents WHERE length(text) >= 150 AND NOT regexp_matches(text, '[^\x20-\x7eÀ-ÿ\n]'))
-SELECT doc_id, position(trim(plain, ' .''') IN lower(replace(text, chr(10), ' '))) AS start, length(trim(plain, ' .''')) AS length FROM asked WHERE NOT regexp_matches(text, '[ \n]{2}|\.{3}')""")
+@query("ver_exact_quote", f"""SELECT doc_id, CASE WHEN core <> '' THEN core END AS shown FROM (SELECT doc_id, trim({_FORM.format("substr(text, 20, 80)")}, ' ".''…') AS core FROM documents)""")
 def ver_exact_quote(spark, sf):
+    """A stretch of every document, in other case or in quotation marks; what is shown is compared in its folded form."""
     part, doc = F.substring("text", 20, 80), F.col("doc_id")
-    asked = views.table(spark, sf, "documents").filter(r"length(text) >= 150 AND NOT text rlike '[^\\x20-\\x7eÀ-ÿ\\n]|[ \\n]{2}|[.]{3}'").select(
+    asked = views.table(spark, sf, "documents").select(
         doc, "text", F.when(doc % 3 == 0, F.lower(part)).when(doc % 3 == 1, F.concat(F.lit('"'), part, F.lit('"'))).otherwise(part).alias("quote"))
-    span = quotes.with_shown_quote(asked, F.col("quote"), F.col("text"), F.lit(False))
-    return span.select("doc_id", F.expr("cast(locate(lower(replace(shown_quote, '\n', ' ')), lower(replace(text, '\n', ' '))) as bigint)").alias("start"),
-                       F.length("shown_quote").cast("bigint").alias("length"))
+    return quotes.with_shown_quote(asked, F.col("quote"), F.col("text"), F.lit(False)).select("doc_id", quotes.matching_form(F.col("shown_quote")).alias("shown"))
 
 
 @query("ver_ellipsis_quote", views.claims_sql(r"""SELECT claim_id, run_id, CASE WHEN NOT swapped THEN substr(text, 1, length(text) - 1) END AS shown FROM (

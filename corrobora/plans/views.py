@@ -22,22 +22,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """A table stored in fewer pieces than there are cores is dealt out; a large table is left as it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    pieces = len(frame.inputFiles())
-    return frame.repartition(cores) if pieces < cores and _small(frame) else frame
-
-
-def _small(frame: DataFrame) -> bool:
-    """Below the size of one input split per core, so that its files cannot be split further."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 128 * 1024 * 1024
-
-
 # --- paragraphs of paged documents ---------------------------------------------------------------
 def raw_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, source, text, paras: five lines make a page (no pages for odd ids); planted headers, headings, footers."""
-    return raw_from(spread(table(spark, sf, "documents").select("doc_id", "source", "text")))
+    return raw_from(table(spark, sf, "documents").select("doc_id", "source", "text"))
 
 
 def raw_from(documents: DataFrame) -> DataFrame:
@@ -225,7 +213,7 @@ entries AS (
 def claim_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """claims, evidence, aspects, note_evidence, entries (or v4, the raw templated rows)."""
     text = CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}")
-    frame = spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=spread(table(spark, sf, "lineitem")))
+    frame = spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=table(spark, sf, "lineitem"))
     if "text" in frame.columns and "eid" in frame.columns:
         frame = frame.withColumn("text_hash", tx.text_hash(F.col("text")))
     return frame
@@ -270,7 +258,7 @@ drafts AS (SELECT run_id, CAST(claim_no AS INT) AS sentence_no, 'Statement ' ||
 
 def run_flags(spark: SparkSession, sf: str, name: str, flagged: bool) -> DataFrame:
     text = CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}") + "," + RUNS_SQL.replace("{flag}", str(flagged).lower())
-    return spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=spread(table(spark, sf, "lineitem")))
+    return spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=table(spark, sf, "lineitem"))
 
 
 CONFLICTS_SQL = r"""

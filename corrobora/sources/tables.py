@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
