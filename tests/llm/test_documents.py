@@ -1,0 +1,149 @@
+"""Operators over documents against their plain versions: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import random
+
+import brute
+import pytest
+
+from corrobora.llm import decontamination, hashing, lines, near_duplicates, substrings
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def corpus(seed: int, n: int = 60) -> list[tuple]:
+    """Fresh texts, exact and near copies of several strengths, shared passages, a long text, white space, nulls."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(WORDS)[:4] for _ in range(rng.randint(1, 3)))
+    text = lambda k: "\n".join(" ".join(word() for _ in range(rng.randint(3, 25))) for _ in range(k))
+    passage, line, rows = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(12)), []
+    for i in range(n):
+        kind = rng.random()
+        if rows and kind < 0.2:
+            t = rng.choice(rows)[1]
+        elif rows and kind < 0.5:
+            w = (rng.choice(rows)[1] or "one two").split(" ")
+            for _ in range(rng.choice([1, 2, max(1, len(w) // 12)])):
+                w[rng.randrange(len(w))] = word()
+            t = " ".join(w)
+        elif kind < 0.6:
+            t = f"{text(2)} {passage} {text(1)}\n{line}"
+        else:
+            t = text(rng.randint(1, 6))
+        rows.append((i, t))
+    rows += [(1000, None), (1001, ""), (1002, " \t\n\x0b"), (1003, "Word"), (1004, "wORD"), (1005, "same " * 200), (1006, "same " * 90), (1007, text(900)), (1008, "ein Wört\u2003größer 😀 " * 9)]
+    return rows
+
+
+def test_hashes_are_those_of_the_words():
+    import pyarrow as pa
+    import re
+    texts = [t for _, t in corpus(1)] + ["É\u00a0É", "\x00a\x7fb", "[`{"]
+    for pattern, inside in ((brute.SPACED, hashing.SPACED), (brute.ALNUM, hashing.ALNUM), (r"[^\n]+", hashing.LINES)):
+        seen: dict = {}
+        for low, high, pieces in hashing.slices(pa.array(texts), inside, limit=300):
+            for d in range(low, high):
+                words = re.findall(pattern, (texts[d] or "").translate(brute.LOWER))
+                found = pieces.hashes[pieces.first[d - low]:pieces.first[d - low + 1]]
+                assert len(words) == len(found)
+                for w, h in zip(words, found):
+                    assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates(spark, docs_frame, seed):
+    rows = corpus(seed)
+    found = {r.id: (r.n_shingles, r.component) for r in near_duplicates.components(docs_frame(rows)).collect()}
+    assert found == brute.near_duplicates(rows) and len(set(c for _, c in found.values())) < len(rows)
+
+
+def test_near_duplicates_of_odd_rows(spark, docs_frame):
+    out = near_duplicates.components(docs_frame([(5, "a b c d e f"), (5, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (8, None)])).collect()
+    assert sorted((r.id is None, r.id, r.component) for r in out if r.id is not None) == [(False, 5, 5), (False, 5, 5), (False, 7, 5), (False, 8, 8)]
+    assert [r.component for r in out if r.id is None] == [None]
+    assert near_duplicates.components(docs_frame([])).collect() == []
+
+
+def test_near_copies_of_near_copies_meet(spark, docs_frame):
+    """A chain of slow changes is one group although its ends have little in common; a group of texts at about 0.7 is none."""
+    rng, words, rows = random.Random(4), [f"w{i}" for i in range(120)], []
+    for i in range(40):
+        words = list(words)
+        words[rng.randrange(120)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    base = [f"b{i}" for i in range(120)]
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(120), 4):
+            w[at] = f"x{i}-{at}"
+        rows.append((100 + i, " ".join(w)))
+    assert {r.id: (r.n_shingles, r.component) for r in near_duplicates.components(docs_frame(rows)).collect()} == brute.near_duplicates(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines(spark, docs_frame, seed):
+    rows = corpus(seed)
+    frame = docs_frame(rows)
+    out = lines.deduplicated(frame)
+    assert out.columns == [*frame.columns, "removed_"]
+    want = brute.line_dedup(rows)
+    for r in out.collect():
+        n, kept_in = (r.removed_.n, list(r.removed_.kept_in)) if r.removed_ else (0, [])
+        text = None if dict(rows)[r.doc_id] is None else want[r.doc_id][3]
+        assert (n, kept_in, r.text) == (want[r.doc_id][1], want[r.doc_id][2], text), r.doc_id
+        assert r.removed == "x" and r.lang == "en"
+
+
+def test_lines_of_odd_rows(spark, docs_frame):
+    line = "a line that is long enough to be compared"
+    out = lines.deduplicated(docs_frame([(2, f"{line}\n\n{line.upper()}\n  \nlast"), (1, line), (None, line), (None, line)])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, line), (0, line), (1, line), (2, "\n  \nlast")]
+    assert lines.deduplicated(docs_frame([])).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_substrings(spark, docs_frame, seed):
+    rows = corpus(seed)
+    want = brute.substring_dedup(rows)
+    got = {r.doc_id: (r.rest.n_words, r.rest.n_removed, r.rest.text) for r in substrings.without_repeats(docs_frame(rows)).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 500
+
+
+def test_substrings_of_odd_rows(spark, docs_frame):
+    text = " ".join(f"w{i}" for i in range(50))
+    out = substrings.without_repeats(docs_frame([(1, text), (1, text), (None, text), (2, " ".join(f"w{i}" for i in range(5, 45))), (3, "w1 " * 36)])).collect()
+    assert sorted((r.doc_id or 0, r.rest.n_removed, r.rest.n_repeats) for r in out) == [(0, 0, 0), (1, 50, 1), (1, 50, 1), (2, 40, 1), (3, 36, 1)]
+    assert substrings.without_repeats(docs_frame([])).collect() == []
+
+
+ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve"), (2, "short item"), (3, None), (4, "..."), (10, "one two three four five six seven eight nine ten"), (11, "Größe a1")]
+
+
+def contaminated(spark, frame, items):
+    item_frame = spark.createDataFrame(items, "item_id long, text string")
+    return [(r.id, r.n_words, r.n_hit, list(r["items"])) for r in decontamination.contamination(frame, item_frame).collect()]
+
+
+def test_contamination(spark, docs_frame):
+    rows = [(1, "zero ONE, two three-four five six seven eight nine ten! eleven"), (2, "a short item; another Short Item short"), (3, None), (4, "one two three four five six seven eight nine"),
+            (5, "two three four five six seven eight nine ten eleven twelve one two three four five six seven eight nine ten"), (6, "größe a1 Größe A1"), (7, ""), *[(i + 20, t) for i, t in corpus(3)]]
+    want = brute.contamination(rows, ITEMS)
+    assert sorted(contaminated(spark, docs_frame(rows), ITEMS)) == sorted((i, *x) for i, x in want.items())
+    assert sum(x[1] > 0 for x in want.values()) >= 3
+
+
+def test_contamination_in_batches_and_odd_rows(spark, docs_frame, monkeypatch):
+    rows = corpus(2)
+    items = [(i, " ".join(t.split()[3:3 + n])) for n, (i, t) in zip((4, 10, 11, 25, 60, 9, 300), [r for r in rows if r[1] and len(r[1].split()) > 20])]
+    want = sorted((i, *x) for i, x in brute.contamination(rows, items).items())
+    assert sorted(contaminated(spark, docs_frame(rows), items)) == want
+    monkeypatch.setattr(decontamination, "BATCH_WORDS", 40)
+    assert sorted(contaminated(spark, docs_frame(rows), items)) == want
+    assert contaminated(spark, docs_frame([]), items) == [] and {x[2] for x in contaminated(spark, docs_frame(rows), [])} == {0}
+
+
+def test_proximity_matches(spark, docs_frame):
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    rows = docs_frame([(1, "two one three four six five seven eight nine ten twelve eleven"), (2, "one " + "x " * 40 + "two three"), (3, "nothing of it")])
+    assert decontamination.matches(rows, items).collect() == []
+    assert {(r.doc, r.item) for r in decontamination.matches(rows, items, slop=4).collect()} == {(1, 1)}
