@@ -5,9 +5,11 @@ belong together costs about n pairs: its ids are first compared with two of them
 share a key but are still in different components; all of those pairs are compared, so the result is the same as comparing every pair.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import star_components
@@ -62,3 +64,44 @@ def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
     named = rows.join(groups, "id", "left").select("key", "id", "size", "most", F.coalesce("component", "id").alias("component"))
     keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     return kept(compact(named.join(keys, "key", "left_semi")), "open")
+
+
+def rarest_keys(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A `narrow` for sets (id, set array<long>): the keys of an id are its rarest elements.
+
+    A linked pair has at least percent / (100 + percent) of the sum of its sizes in common, so with n elements, of which `needed` must be shared with even the
+    smallest partner that keys and size allow, one of the n - needed + 1 rarest is shared."""
+    held = sets.select("id", F.explode("set").alias("key"))
+    sized = named.select("key", "id").join(sets.select("id", F.size("set").alias("n")), "id")
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    partner = kept(compact(sized.join(least, "key").groupBy("id").agg(F.max("n").alias("n"), F.min("least").alias("least"))), "partners")
+    needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent / (100 + percent))
+    shared_keys = lambda rows: rows.join(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "key")
+    # an id with too few shared elements has no link; what it shares with others then does not count for them either
+    common = shared_keys(held).groupBy("id").agg(F.count("*").alias("common"))
+    hopeful = kept(compact(partner.join(common, "id").where(F.col("common") >= needed).select("id")), "hopeful")
+    held = held.join(hopeful, "id", "left_semi")
+    mine = Window.partitionBy("id")
+    ranked = shared_keys(held).withColumn("common", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("df", "key")))
+    return ranked.join(partner, "id").where(F.col("rank") <= F.col("common") - needed + 1).select("key", "id", F.col("n").alias("size"), F.col("common").alias("most"))
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of two arrays of distinct values: 100 * |intersection| >= percent * |union|."""
+    low, high = sorted((len(a), len(b)))
+    if 100 * low < percent * high or not low:
+        return False
+    joined = np.concatenate((a, b))
+    joined.sort()
+    same = int(np.count_nonzero(joined[1:] == joined[:-1]))
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+def set_checker(percent: int):
+    """For mapInArrow: of rows (u, v, set of u, set of v) the (u, v) that are alike."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (va, oa), (vb, ob) = ((c.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))))) for c in (batch.column(2), batch.column(3)))
+            good = [alike(va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]], percent) for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+    return run

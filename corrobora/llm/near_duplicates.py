@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .links import linked_components, shared_buckets
+from .links import linked_components, rarest_keys, set_checker, shared_buckets
 from .runtime import compact, kept
 
 WORDS, PERCENT = 5, 75
@@ -71,26 +71,6 @@ def _set_lists(words: int):
     return run
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Of two arrays of distinct values: 100 * |intersection| >= percent * |union|."""
-    low, high = sorted((len(a), len(b)))
-    if 100 * low < percent * high or not low:
-        return False
-    joined = np.concatenate((a, b))
-    joined.sort()
-    same = int(np.count_nonzero(joined[1:] == joined[:-1]))
-    return 100 * same >= percent * (len(a) + len(b) - same)
-
-
-def _checker(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (va, oa), (vb, ob) = ((c.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))))) for c in (batch.column(2), batch.column(3)))
-            good = [alike(va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]], percent) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-    return run
-
-
 def _agreeing(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,28 +98,13 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         likely = kept(compact(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")).mapInArrow(_agreeing(AGREEING), "u long, v long"), "likely")
         sets = sets or sets_of(likely.select(F.explode(F.array("u", "v")).alias("id")))
         left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
-        return compact(likely.join(left, "u").join(right, "v").select("u", "v", "a", "b")).mapInArrow(_checker(percent), "u long, v long")
+        return compact(likely.join(left, "u").join(right, "v").select("u", "v", "a", "b")).mapInArrow(set_checker(percent), "u long, v long")
 
     open_sets: list[DataFrame] = []
 
     def narrow(named: DataFrame) -> DataFrame:
-        """New keys for the open ids: their rarest shingles. A linked pair has at least percent / (100 + percent) of the sum of its sizes in common, so with n
-        shingles, of which `needed` must be shared with even the smallest partner that keys and size allow, one of the n - needed + 1 rarest is shared."""
-        sets = sets_of(named.select("id"))
-        open_sets.append(sets)
-        held = sets.select("id", F.explode("set").alias("key"))
-        sized = named.join(sets.select("id", F.size("set").alias("n")), "id")
-        least = sized.groupBy("key").agg(F.min("n").alias("least"))
-        partner = kept(compact(sized.join(least, "key").groupBy("id").agg(F.max("n").alias("n"), F.min("least").alias("least"))), "partners")
-        needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent / (100 + percent))
-        shared_keys = lambda rows: rows.join(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "key")
-        # an id with too few shared shingles has no link; what it shares with others then does not count for them either
-        common = shared_keys(held).groupBy("id").agg(F.count("*").alias("common"))
-        hopeful = kept(compact(partner.join(common, "id").where(F.col("common") >= needed).select("id")), "hopeful")
-        held = held.join(hopeful, "id", "left_semi")
-        mine = Window.partitionBy("id")
-        ranked = shared_keys(held).withColumn("common", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("df", "key")))
-        return ranked.join(partner, "id").where(F.col("rank") <= F.col("common") - needed + 1).select("key", "id", F.col("n").alias("size"), F.col("common").alias("most"))
+        open_sets.append(sets_of(named.select("id")))
+        return rarest_keys(named, open_sets[0], percent)
 
     groups = linked_components(shared, lambda pairs: verify(pairs, *open_sets), narrow=narrow, percent=percent)
     named = classes.join(groups, "id", "left").select("sum1", "sum2", "n_shingles", F.coalesce("component", "id").alias("component"))
