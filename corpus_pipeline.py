@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora.llm import decontamination, lines, mixing, near_duplicates, toxicity
-from corrobora.llm.runtime import kept, prepare
+from corrobora.llm.runtime import free_name, kept, prepare
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of documents whose id is not in the column `id`; planned alike however few ids there are."""
-    return docs.join(ids.hint("merge"), F.col("doc_id").cast("long") == F.col("id"), "left_anti")
+    key = free_name(docs, "other_id")
+    return docs.join(ids.toDF(key).hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     prepare(spark)
     found = kept(near_duplicates.components(docs).where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n")), "found")
     rest = _without(docs, found.where("id <> component").select("id"))
-    repeated = found.where("id = component AND n > 1").select("id")
+    key = free_name(docs, "repeated_id")
+    repeated = found.where("id = component AND n > 1").select(F.col("id").alias(key))
     if repeated.isEmpty():
         return rest
-    return _without(rest, repeated).union(rest.join(repeated, F.col("doc_id").cast("long") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    return _without(rest, repeated).union(rest.join(repeated, F.col("doc_id").cast("long") == F.col(key), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,12 +30,12 @@ SYLLABLES = {"latin": ("ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su
 ENDINGS = {"latin": ("na", "ren"), "cyrillic": ("на", "рен"), "greek": ("να", "ρος")}
 DOMAINS = ("example.com", "example.net", "example.org")
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])+"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])+"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}(?![0-9A-Za-z])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<=(?:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{8,}"
+SECRET = r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{8})(?<=(?:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]++"
 PERSON = r"(?<!\p{L})(?:" + "|".join(sorted((*FEMALE, *MALE), key=len, reverse=True)) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
 ANY = "|".join((EMAIL, IP, PHONE, CARD, ACCESS_KEY, SECRET, PERSON))
 
@@ -157,7 +157,7 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: str = KEY) -> DataFrame:
     """All rows and columns of `docs` with the text's entities replaced, and a last column n_entities (or n_entities_, ...): how many there were."""
-    found, n, row = (free_name(docs, x) for x in ("mentions", "n_entities", "row_key"))
+    found, n, row, key_row, key_chars, new_parts = (free_name(docs, x) for x in ("mentions", "n_entities", "row_key", "row", "chars", "new"))
     marked = docs.withColumn(found, F.regexp_extract_all(text_column, F.lit(ANY), 0))
     with_some = marked.where(F.size(found) > 0).withColumn(row, F.xxhash64(id_column, text_column))
     mentions = with_some.select(F.col(row).alias("row"), F.length(text_column).alias("chars"), F.posexplode(found).alias("at", "mention")).distinct()
@@ -168,9 +168,10 @@ def replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     whole = new.groupBy("row", "chars", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x.new), "").alias("new"))
     lists = whole.groupBy("row", "chars").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x.new).alias("new"))
     between = F.split(text_column, ANY, -1)
-    text = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(F.col("new"), i), F.lit(""))))), "")
-    changed = with_some.join(kept(lists, "replacements").hint("merge"), (F.col(row) == F.col("row")) & (F.length(text_column) == F.col("chars")))
-    columns = [c for c in docs.columns]
+    text = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(F.col(new_parts), i), F.lit(""))))), "")
+    lists = kept(lists, "replacements").toDF(key_row, key_chars, new_parts).hint("merge")
+    changed = with_some.join(lists, (F.col(row) == F.col(key_row)) & (F.length(text_column) == F.col(key_chars)))
+    columns = docs.columns
     changed = changed.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in columns], F.size(found).cast("long").alias(n))
     same = marked.where(F.coalesce(F.size(found) <= 0, F.lit(True))).select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias(n))
     return same.union(changed)
