@@ -87,7 +87,21 @@ def quantities(text: Column) -> Column:
 
 
 def _weeks(num: Column) -> Column:
-    return number_text((num.try_cast("decimal(28,10)") * F.lit(7)).cast("string"))
+    """Seven times a decimal text, digit by digit from the right, so of any length."""
+    places = F.length(F.regexp_extract(num, r"\.(\d*)$", 1))
+    digits = F.filter(F.split(F.reverse(num), ""), lambda c: c.rlike("[0-9]"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("carry"))
+    product = F.aggregate(digits, start, lambda acc, c: let(c.cast("int") * 7 + acc["carry"], lambda n: F.struct(
+        F.concat((n % 10).cast("string"), acc["out"]).alias("out"), F.floor(n / 10).cast("int").alias("carry"))), lambda acc: F.concat(acc["carry"].cast("string"), acc["out"]))
+    sign = F.regexp_extract(num, "^-?", 0)
+    return let(product, lambda p: number_text(F.concat(sign, F.left(p, F.length(p) - places), F.when(places > 0, F.concat(F.lit("."), F.right(p, places))).otherwise(""))))
+
+
+def _shifted(digits: Column, zeros: Column, places: Column) -> Column:
+    """A decimal text with its point moved to the right, with at least `places` decimals; exact for any length."""
+    fraction = F.regexp_extract(digits, r"\.(\d+)$", 1)
+    whole = F.concat(F.substring_index(digits, ".", 1), F.rpad(F.substr(fraction, F.lit(1), zeros), zeros, F.lit("0")))
+    return F.concat(whole, F.lit("."), F.rpad(F.substr(fraction, zeros + 1), F.greatest(places, F.length(fraction) - zeros, F.lit(1)), F.lit("0")))
 
 
 def money(text: Column) -> Column:
@@ -99,8 +113,9 @@ def money(text: Column) -> Column:
             _lookup(fixed.MULTIPLIERS, F.lower(m["suf"])).alias("factor")))
 
     def finish(m):
-        scaled = (m["digits"].try_cast("decimal(27,10)") * m["factor"].cast("decimal(10,0)")).cast("decimal(38,10)").cast("string")
         decimals = F.length(F.regexp_extract(m["digits"], r"\.(\d+)$", 1))
+        # all multipliers are powers of ten
+        scaled = _shifted(m["digits"], F.length(m["factor"].cast("string")) - 1, decimals)
         # the shown amount keeps as many decimals as were written
         full = F.when(m["factor"].isNull(), m["digits"]).otherwise(
             F.concat(F.substring_index(scaled, ".", 1),

@@ -12,15 +12,23 @@ _CP1252_FROM, _CP1252_TO = ("".join(p) for p in zip(*[c for c in _C1 if c[1]]))
 _CP1252_UNDEFINED = "[" + "".join(c for c, mapped in _C1 if not mapped) + "]"
 
 
-def read_uploads(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_FILE_MB * 1024 * 1024, glob: str = "*") -> DataFrame:
-    """path, name, size, arrived, content. The content of an oversized file is not read; files of zero bytes are not listed."""
+def read_uploads(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_FILE_MB * 1024 * 1024, glob: str = "*", manifest: DataFrame | None = None) -> DataFrame:
+    """path, name, size, arrived, content. The content of an oversized file is not read.
+
+    The file reader does not list files of zero bytes; those that a manifest (name, size) announces are added with empty content, so that they can be
+    rejected by name. Announced files of another size that are missing are added with NULL content.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
     small = files.filter(F.col("length") <= max_bytes)
     large = files.filter(F.col("length") > max_bytes).select("path", "modificationTime", "length").withColumn(
         "content", F.lit(None).cast("binary"))
-    return small.unionByName(large).select(
+    found = small.unionByName(large).select(
         "path", tx.base_name(F.col("path")).alias("name"), F.col("length").alias("size"),
         F.col("modificationTime").alias("arrived"), "content")
+    if manifest is None:
+        return found
+    unseen = manifest.select("name", F.col("size").cast("bigint").alias("size")).join(found.select("name"), "name", "left_anti")
+    return found.unionByName(unseen.withColumn("content", F.when(F.col("size") == 0, F.lit(b""))), allowMissingColumns=True)
 
 
 def file_type(name: Column) -> Column:

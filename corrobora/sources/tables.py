@@ -18,8 +18,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def write_table(frame: DataFrame, path: str, scope: str, mode: str = "append") -> None:
-    """Parquet partitioned by scope; a failed job commits nothing. `overwrite` replaces only the scopes in the frame."""
-    writer = frame.write.mode(mode).partitionBy(scope)
+    """Parquet partitioned by scope; a failed job commits nothing. `overwrite` replaces only the scopes in the frame.
+
+    Rows are brought together by scope first, in pieces of even size (a large scope gets several), so files are few and of useful size.
+    """
+    writer = frame.hint("rebalance", scope).write.mode(mode).partitionBy(scope)
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)

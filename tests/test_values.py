@@ -36,3 +36,12 @@ def test_normalised_wordings(spark):
 def test_quote_support(spark, value, kind, quote, ok):
     frame = spark.createDataFrame([(value, kind, quote)], "v string, t string, q string").withColumn("n", vs.normalize(F.col("v"), F.col("t")))
     assert frame.select(vs.quote_supports(F.col("n"), F.col("q"))).first()[0] is ok
+
+
+def test_long_amounts_are_exact(spark):
+    long = "123456789012345678901234567890123456789"
+    rows = [(f"USD {long}.25 million", f"money:USD|{long}250000"), (f"{long} weeks", f"quantity:{int(long) * 7}|day"), ("1.5 weeks", "quantity:10.5|day"), ("USD 1.5 million", "money:USD|1500000"),
+            ("USD 2.0000001 lakh", "money:USD|200000.01")]
+    frame = spark.createDataFrame([(i, t, k.split(":")[0].replace("quantity", "duration")) for i, (t, k) in enumerate(rows)], "i int, v string, kind string")
+    got = [r.k for r in frame.select("i", vs.normalized("v", "kind")["key"].alias("k")).orderBy("i").collect()]
+    assert got == [k for _, k in rows]
