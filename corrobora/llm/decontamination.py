@@ -103,8 +103,15 @@ def alignments(index: DataFrame, probes: DataFrame, slop: int = 0) -> DataFrame:
     any order, and `shift` is the smallest of theirs."""
     places = probes.select("item", F.explode(F.array_distinct(F.flatten("windows"))).alias("place"), "terms").select("item", "place", F.col("terms")[F.col("place")].alias("term"))
     hits = index.join(places, "term").select("item", "doc", "place", (F.col("at") - F.col("place")).alias("shift"))
+    if not slop:
+        # places as bits of a long; places 63 apart share a bit, which only lets through an alignment that the comparison of words then turns down
+        bit = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), place % 63)
+        found = hits.groupBy("item", "doc", "shift").agg(F.bit_or(bit(F.col("place"))).alias("places"))
+        masks = F.transform("windows", lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda m, place: m.bitwiseOR(bit(place))))
+        whole = F.exists("masks", lambda m: m.bitwiseAND(F.col("places")) == m)
+        return found.join(probes.select("item", masks.alias("masks")), "item").where(whole).select("item", "doc", "shift")
     cell = F.floor(F.col("shift") / (slop + 1))
-    hits = hits.withColumn("cell", F.explode(F.array(cell, cell + 1)) if slop else cell)
+    hits = hits.withColumn("cell", F.explode(F.array(cell, cell + 1)))
     found = hits.groupBy("item", "doc", "cell").agg(F.collect_set("place").alias("places"), F.min("shift").alias("shift"))
     whole = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("places"))) == 0)
     return found.join(probes.select("item", "windows"), "item").where(whole).select("item", "doc", "shift").distinct()
