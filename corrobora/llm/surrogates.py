@@ -35,9 +35,13 @@ IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}(?![0-9A-Za-z])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{8})(?<=(?:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]++"
+SECRET_WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey")
+SECRET = r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{8})(?<=[=:]\s{0,3}[\"']?)(?<=(?:" + "|".join(SECRET_WORDS) + r")\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]++"
 PERSON = r"(?<!\p{L})(?:" + "|".join(sorted((*FEMALE, *MALE), key=len, reverse=True)) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
-ANY = "|".join((EMAIL, IP, PHONE, CARD, ACCESS_KEY, SECRET, PERSON))
+# every entity begins where no ASCII letter or digit stands before it, so inside words nothing else is tried
+ANY = r"(?<![A-Za-z0-9])(?:" + "|".join((EMAIL, IP, PHONE, CARD, ACCESS_KEY, SECRET, PERSON)) + ")"
+# what a text with an entity has in any case
+HINT = r"[0-9@]|AKIA|" + "|".join(SECRET_WORDS) + r"|(?<!\p{L})(?:" + "|".join((*FEMALE, *MALE)) + r")\.? \p{Lu}"
 
 
 def _whole(pattern: str) -> str:
@@ -80,10 +84,10 @@ def _pick(stream: Column, i: Column, values: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values))[_byte(stream, i) % len(values)]
 
 
-def _shaped(text: Column, stream: Column, hexadecimal: Column | bool) -> Column:
+def _shaped(text: Column, stream: Column, hexadecimal: Column) -> Column:
     """Digits for digits and letters for letters, of the same case; other characters stay. In hexadecimal strings letters are a to f."""
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
-    width = F.when(F.lit(hexadecimal) if isinstance(hexadecimal, bool) else hexadecimal, 6).otherwise(26)
+    width = F.when(hexadecimal, 6).otherwise(26)
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
@@ -112,24 +116,34 @@ def _name(type_: Column, stream: Column) -> Column:
     return out
 
 
-def drawn(type_: Column, canonical: Column, round_: int, key: str) -> Column:
-    """The surrogate's canonical form."""
+def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row; a projection would be merged into every use, also inside lambdas."""
+    return frame.select("*", F.explode(F.array(value)).alias(name))
+
+
+def drawn(entities: DataFrame, round_: int, key: str) -> DataFrame:
+    """Adds `surrogate`, the canonical form drawn in this round, to (type, canonical)."""
+    type_, canonical = F.col("type"), F.col("canonical")
     blocks = F.sequence(F.lit(0), F.floor(F.length(canonical) / 32).cast("int"))
-    stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(round_)), type_, canonical, b.cast("string")), 256)), "")
+    entities = _once(entities, "stream", F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(round_)), type_, canonical, b.cast("string")), 256)), ""))
+    stream = F.col("stream")
     address = F.concat_ws(".", *[(1 + _byte(stream, F.lit(i)) % 254).cast("string") for i in range(4)])
-    body = F.concat(F.left(canonical, F.lit(1)), F.substr(_shaped(canonical, stream, False), F.lit(2), F.length(canonical) - 2))
-    shaped = _shaped(canonical, stream, canonical.rlike("^[0-9a-f]+$"))
+    entities = _once(_once(entities, "hex", canonical.rlike("^[0-9a-f]+$")), "shaped", _shaped(canonical, stream, F.col("hex")))
+    shaped = F.col("shaped")
+    entities = _once(entities, "body", F.when(type_ == "card", F.concat(F.left(canonical, F.lit(1)), F.substr(shaped, F.lit(2), F.length(canonical) - 2))))
+    body = F.col("body")
     at = F.instr(canonical, "@")
-    email = F.concat(_shaped(F.left(canonical, at), stream, False), F.lit("mail"), (_byte(stream, F.lit(30)) % 10).cast("string"), F.lit("."), _pick(stream, F.lit(31), DOMAINS))
+    email = F.concat(F.left(shaped, at), F.lit("mail"), (_byte(stream, F.lit(30)) % 10).cast("string"), F.lit("."), _pick(stream, F.lit(31), DOMAINS))
     phone = F.concat((2 + _byte(stream, F.lit(0)) % 8).cast("string"), F.substr(shaped, F.lit(2), F.length(canonical)))
     access_key = F.concat(F.lit("AKIA"), F.substr(shaped, F.lit(5), F.lit(16)))
-    return (F.when(type_ == "ip", address).when(type_ == "card", F.concat(body, _luhn(body))).when(type_ == "email", email).when(type_ == "phone", phone)
+    surrogate = (F.when(type_ == "ip", address).when(type_ == "card", F.concat(body, _luhn(body))).when(type_ == "email", email).when(type_ == "phone", phone)
             .when(type_ == "key", access_key).when(type_.startswith("given_") | type_.startswith("surname_"), _name(type_, stream)).otherwise(shaped))
+    return entities.select("type", "canonical", surrogate.alias("surrogate"))
 
 
-def written(type_: Column, raw: Column, surrogate: Column) -> Column:
-    """A surrogate in the format of a mention: its digits into the places of the last digits, its letters with the mention's capital."""
-    n, shift = F.length(surrogate), F.length(F.regexp_replace(raw, "[^0-9]", "")) - F.length(surrogate)
+def written(type_: Column, raw: Column, surrogate: Column, shift: Column) -> Column:
+    """A surrogate in the format of a mention: its digits into the places of the last digits (after the first `shift`), its letters with the mention's capital."""
+    n = F.length(surrogate)
     step = lambda acc, c: F.when(c.rlike("[0-9]"), F.struct(
         F.concat(acc.text, F.when(acc.at < shift, c).otherwise(F.substr(surrogate, acc.at - shift + 1, F.lit(1)))).alias("text"), (acc.at + 1).alias("at"))).otherwise(
         F.struct(F.concat(acc.text, c).alias("text"), acc.at.alias("at")))
@@ -144,7 +158,7 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
     left, done, round_ = entities.select("type", "canonical"), None, 0
     real = entities.select("type", F.col("canonical").alias("surrogate"))
     while True:
-        tried = left.withColumn("surrogate", drawn(F.col("type"), F.col("canonical"), round_, key))
+        tried = drawn(left, round_, key)
         free = tried.join(real, ["type", "surrogate"], "left_anti")
         free = free.join(done.select("type", "surrogate"), ["type", "surrogate"], "left_anti") if done is not None else free
         won = free.groupBy("type", "surrogate").agg(F.min("canonical").alias("canonical")).select("type", "canonical", "surrogate")
@@ -158,12 +172,13 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
 def replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: str = KEY) -> DataFrame:
     """All rows and columns of `docs` with the text's entities replaced, and a last column n_entities (or n_entities_, ...): how many there were."""
     found, n, row, key_row, key_chars, new_parts = (free_name(docs, x) for x in ("mentions", "n_entities", "row_key", "row", "chars", "new"))
-    marked = docs.withColumn(found, F.regexp_extract_all(text_column, F.lit(ANY), 0))
-    with_some = marked.where(F.size(found) > 0).withColumn(row, F.xxhash64(id_column, text_column))
+    marked = docs.withColumn(found, F.when(F.col(text_column).rlike(HINT), F.regexp_extract_all(text_column, F.lit(ANY), 0)))
+    with_some = kept(marked.where(F.size(found) > 0).withColumn(row, F.xxhash64(id_column, text_column)), "texts")
     mentions = with_some.select(F.col(row).alias("row"), F.length(text_column).alias("chars"), F.posexplode(found).alias("at", "mention")).distinct()
     parts = kept(mentions.select("row", "chars", "at", F.posexplode(pieces(F.col("mention"))).alias("part", "p")).select("row", "chars", "at", "part", "p.*"), "mentions")
     known = assigned(parts.select("type", "canonical").distinct(), key)
-    new = parts.join(known, ["type", "canonical"]).select("row", "chars", "at", "part", F.concat("before", written(F.col("type"), F.col("raw"), F.col("surrogate"))).alias("new"))
+    new = _once(parts.join(known, ["type", "canonical"]), "shift", F.length(F.regexp_replace("raw", "[^0-9]", "")) - F.length("surrogate"))
+    new = new.select("row", "chars", "at", "part", F.concat("before", written(F.col("type"), F.col("raw"), F.col("surrogate"), F.col("shift"))).alias("new"))
     # per mention its parts in order, per text its mentions in order
     whole = new.groupBy("row", "chars", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x.new), "").alias("new"))
     lists = whole.groupBy("row", "chars").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x.new).alias("new"))
