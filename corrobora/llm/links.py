@@ -66,13 +66,12 @@ def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return kept(compact(named.join(keys, "key", "left_semi")), "open")
 
 
-def rarest_keys(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """A `narrow` for sets (id, set array<long>): the keys of an id are its rarest elements.
+def rarest_keys(named: DataFrame, held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """A `narrow` for sets with elements (id, key) and sizes (id, n): the keys of an id are its rarest elements.
 
     A linked pair has at least percent / (100 + percent) of the sum of its sizes in common, so with n elements, of which `needed` must be shared with even the
     smallest partner that keys and size allow, one of the n - needed + 1 rarest is shared."""
-    held = sets.select("id", F.explode("set").alias("key"))
-    sized = named.select("key", "id").join(sets.select("id", F.size("set").alias("n")), "id")
+    sized = named.select("key", "id").join(sizes, "id")
     least = sized.groupBy("key").agg(F.min("n").alias("least"))
     partner = kept(compact(sized.join(least, "key").groupBy("id").agg(F.max("n").alias("n"), F.min("least").alias("least"))), "partners")
     needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent / (100 + percent))

@@ -104,7 +104,8 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     def narrow(named: DataFrame) -> DataFrame:
         open_sets.append(sets_of(named.select("id")))
-        return rarest_keys(named, open_sets[0], percent)
+        sets = open_sets[0]
+        return rarest_keys(named, sets.select("id", F.explode("set").alias("key")), sets.select("id", F.size("set").alias("n")), percent)
 
     groups = linked_components(shared, lambda pairs: verify(pairs, *open_sets), narrow=narrow, percent=percent)
     named = classes.join(groups, "id", "left").select("sum1", "sum2", "n_shingles", F.coalesce("component", "id").alias("component"))
