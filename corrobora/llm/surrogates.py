@@ -8,7 +8,10 @@ valid, card numbers keep their first digit and pass the Luhn check, e-mail domai
 script, given names with the ending of the title's gender. It is then written into the format of each mention.
 
 Collisions: all distinct entities are checked against each other. Where two draw the same surrogate, or one draws a canonical form that really occurs,
-the smallest entity (of the first kind) keeps it and the others draw again with the next round's key, until all are distinct.
+the smallest entity (of the first kind) keeps it and the others draw again with the next round's key, until all are distinct. The pools grow with the
+round, so that there is a free one for any number of entities: names get one more syllable and e-mail addresses one more digit every two rounds, secrets
+lose their shape and then get longer, phone numbers get longer. A secret without letters and digits is drawn as letters from the start. Only addresses,
+cards and access keys cannot grow (4e9, 1e14 a first digit, 1e16 at least); if they ran out, it would be an error after ROUNDS rounds.
 
 Nulls: a null text stays null; null ids are allowed. Repeated rows get the same text. Other columns are kept. An empty table gives an empty result.
 
@@ -29,6 +32,7 @@ SYLLABLES = {"latin": ("ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su
              "greek": ("βα", "δε", "φι", "γο", "λυ", "μα", "νε", "πι", "ρο", "συ", "τα", "βε", "κι", "ξο", "κυ", "ζα")}
 ENDINGS = {"latin": ("na", "ren"), "cyrillic": ("на", "рен"), "greek": ("να", "ρος")}
 DOMAINS = ("example.com", "example.net", "example.org")
+ROUNDS = 64
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])+"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
@@ -84,15 +88,16 @@ def _pick(stream: Column, i: Column, values: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values))[_byte(stream, i) % len(values)]
 
 
-def _shaped(text: Column, stream: Column, hexadecimal: Column) -> Column:
-    """Digits for digits and letters for letters, of the same case; other characters stay. In hexadecimal strings letters are a to f."""
+def _shaped(text: Column, stream: Column, hexadecimal: Column, signs: Column, digits: Column) -> Column:
+    """Digits for digits and letters for letters, of the same case; other characters stay. In hexadecimal strings letters are a to f. Where `signs`
+    (or `digits`) is true, these become letters too."""
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
     width = F.when(hexadecimal, 6).otherwise(26)
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
         letter = F.substr(letters, b % width + 1, F.lit(1))
-        return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
+        return F.when(c.rlike("[0-9]") & ~digits, (b % 10).cast("string")).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).when(signs, letter).otherwise(c)
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
@@ -104,14 +109,14 @@ def _luhn(digits: Column) -> Column:
     return ((10 - F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10) % 10).cast("string")
 
 
-def _name(type_: Column, stream: Column) -> Column:
-    """Three or four syllables of the script; given names end as their gender's do."""
+def _name(type_: Column, stream: Column, more: int) -> Column:
+    """Three or four syllables of the script, and `more`; given names end as their gender's do."""
     out = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
-        stem = F.concat(*[_pick(stream, F.lit(i), syllables) for i in range(3)])
+        stem = F.concat(*[_pick(stream, F.lit(i), syllables) for i in range(3 + more)])
         female, male = ENDINGS[script]
         name = (F.when(type_.startswith("given_f"), F.concat(stem, F.lit(female))).when(type_.startswith("given_m"), F.concat(stem, F.lit(male)))
-                .otherwise(F.concat(stem, _pick(stream, F.lit(3), syllables))))
+                .otherwise(F.concat(stem, _pick(stream, F.lit(3 + more), syllables))))
         out = F.when(type_.endswith(script), name).otherwise(out)
     return out
 
@@ -124,30 +129,37 @@ def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
 def drawn(entities: DataFrame, round_: int, key: str) -> DataFrame:
     """Adds `surrogate`, the canonical form drawn in this round, to (type, canonical)."""
     type_, canonical = F.col("type"), F.col("canonical")
+    more = min(round_ // 2, 14)         # syllables and digits; 16 and 10 times the pool each
+    secret = type_ == "secret"
+    signs = secret & (F.lit(round_ >= 2) | ~canonical.rlike("[A-Za-z0-9]"))
+    unlike = secret & F.lit(round_ >= 4)
     blocks = F.sequence(F.lit(0), F.floor(F.length(canonical) / 32).cast("int"))
     entities = _once(entities, "stream", F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(round_)), type_, canonical, b.cast("string")), 256)), ""))
     stream = F.col("stream")
     address = F.concat_ws(".", *[(1 + _byte(stream, F.lit(i)) % 254).cast("string") for i in range(4)])
-    entities = _once(_once(entities, "hex", canonical.rlike("^[0-9a-f]+$")), "shaped", _shaped(canonical, stream, F.col("hex")))
-    shaped = F.col("shaped")
+    entities = _once(_once(entities, "hex", canonical.rlike("^[0-9a-f]+$") & ~unlike), "shaped", _shaped(canonical, stream, F.col("hex"), signs, unlike))
+    shaped, rest = F.col("shaped"), F.sha2(stream, 256)
+    longer = (round_ - 2) // 2 if round_ >= 4 else 0
+    tail = lambda n: F.right(F.lpad(F.conv(F.left(rest, F.lit(12)), 16, 10), 15, "0"), F.lit(n))
     entities = _once(entities, "body", F.when(type_ == "card", F.concat(F.left(canonical, F.lit(1)), F.substr(shaped, F.lit(2), F.length(canonical) - 2))))
     body = F.col("body")
     at = F.instr(canonical, "@")
-    email = F.concat(F.left(shaped, at), F.lit("mail"), (_byte(stream, F.lit(30)) % 10).cast("string"), F.lit("."), _pick(stream, F.lit(31), DOMAINS))
-    phone = F.concat((2 + _byte(stream, F.lit(0)) % 8).cast("string"), F.substr(shaped, F.lit(2), F.length(canonical)))
+    email = F.concat(F.left(shaped, at), F.lit("mail"), (_byte(stream, F.lit(30)) % 10).cast("string"), tail(more), F.lit("."), _pick(stream, F.lit(31), DOMAINS))
+    phone = F.concat((2 + _byte(stream, F.lit(0)) % 8).cast("string"), F.substr(shaped, F.lit(2), F.length(canonical)), tail(min(longer, 14)))
     access_key = F.concat(F.lit("AKIA"), F.substr(shaped, F.lit(5), F.lit(16)))
     surrogate = (F.when(type_ == "ip", address).when(type_ == "card", F.concat(body, _luhn(body))).when(type_ == "email", email).when(type_ == "phone", phone)
-            .when(type_ == "key", access_key).when(type_.startswith("given_") | type_.startswith("surname_"), _name(type_, stream)).otherwise(shaped))
+            .when(type_ == "key", access_key).when(type_.startswith("given_") | type_.startswith("surname_"), _name(type_, stream, more)).otherwise(F.concat(shaped, F.left(rest, F.lit(max(0, longer - 2))))))
     return entities.select("type", "canonical", surrogate.alias("surrogate"))
 
 
 def written(type_: Column, raw: Column, surrogate: Column, shift: Column) -> Column:
-    """A surrogate in the format of a mention: its digits into the places of the last digits (after the first `shift`), its letters with the mention's capital."""
+    """A surrogate in the format of a mention: its digits into the places of the last digits (after the first `shift`), what it has more after them; its
+    letters with the mention's capital."""
     n = F.length(surrogate)
     step = lambda acc, c: F.when(c.rlike("[0-9]"), F.struct(
         F.concat(acc.text, F.when(acc.at < shift, c).otherwise(F.substr(surrogate, acc.at - shift + 1, F.lit(1)))).alias("text"), (acc.at + 1).alias("at"))).otherwise(
         F.struct(F.concat(acc.text, c).alias("text"), acc.at.alias("at")))
-    digits = F.aggregate(F.split(raw, ""), F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda acc: acc.text)
+    digits = F.aggregate(F.split(raw, ""), F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc.text, F.substr(surrogate, acc.at - shift + 1, n)))
     capital = F.concat(F.upper(F.left(surrogate, F.lit(1))), F.substr(surrogate, F.lit(2), n))
     name = F.when((F.upper(raw) == raw), F.upper(surrogate)).otherwise(capital)
     return F.when(type_.isin("phone", "card"), digits).when(type_.startswith("given_") | type_.startswith("surname_"), name).otherwise(surrogate)
@@ -167,6 +179,8 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
         if left.isEmpty():
             return done
         round_ += 1
+        if round_ == ROUNDS:
+            raise ValueError(f"no free surrogates left for {left.groupBy('type').count().collect()}")
 
 
 def replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: str = KEY) -> DataFrame:
@@ -177,7 +191,7 @@ def replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     mentions = with_some.select(F.col(row).alias("row"), F.length(text_column).alias("chars"), F.posexplode(found).alias("at", "mention")).distinct()
     parts = kept(mentions.select("row", "chars", "at", F.posexplode(pieces(F.col("mention"))).alias("part", "p")).select("row", "chars", "at", "part", "p.*"), "mentions")
     known = assigned(parts.select("type", "canonical").distinct(), key)
-    new = _once(parts.join(known, ["type", "canonical"]), "shift", F.length(F.regexp_replace("raw", "[^0-9]", "")) - F.length("surrogate"))
+    new = _once(parts.join(known, ["type", "canonical"]), "shift", F.greatest(F.lit(0), F.length(F.regexp_replace("raw", "[^0-9]", "")) - F.length("surrogate")))
     new = new.select("row", "chars", "at", "part", F.concat("before", written(F.col("type"), F.col("raw"), F.col("surrogate"), F.col("shift"))).alias("new"))
     # per mention its parts in order, per text its mentions in order
     whole = new.groupBy("row", "chars", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x.new), "").alias("new"))

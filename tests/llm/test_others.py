@@ -157,6 +157,18 @@ def test_surrogates_stay_distinct(spark):
     assert len(out) == 3001 == len({r.surrogate for r in out}) and not {r.surrogate for r in out} & {r.canonical for r in out}
 
 
+def test_surrogates_never_run_out(spark, docs_frame):
+    """More entities than the pools of the first round, shapes of which every form occurs, and secrets of signs only."""
+    rows = [("given_f_latin", f"name{i}") for i in range(5000)] + [("email", f"{c}@h{i}.org") for c in "ab" for i in range(450)]
+    rows += [("secret", f"_______{i}") for i in range(10)] + [("secret", "________"), ("secret", "--------")]
+    out = surrogates.assigned(spark.createDataFrame(rows, "type string, canonical string")).collect()
+    assert {(r.type, r.canonical) for r in out} == set(rows) and len({(r.type, r.surrogate) for r in out}) == len(rows)
+    assert not {(r.type, r.surrogate) for r in out} & set(rows) and all(len(r.surrogate) == 8 for r in out if r.type == "secret")
+    texts = surrogates.replaced(docs_frame([(1, "password: ________ and token = --------")])).collect()
+    assert re.fullmatch("password: [a-z]{8} and token = [a-z]{8}", texts[0].text) and texts[0].n_entities_ == 2
+
+
+
 # --- vectors --------------------------------------------------------------------------------------------
 def brute_vectors(rows, cosine=0.9):
     good = [(i, np.array(v, dtype=float)) for i, v in rows if v is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
