@@ -1,6 +1,7 @@
 """Surrogates for personal data, with DataFrame functions only: keyed, type-consistent replacements that keep gender, script and format.
 
-Detected: e-mail addresses, IPv4 addresses, phone and card numbers, access keys, secrets after a telling word, and names after a title. An entity is
+Detected: e-mail addresses, IPv4 addresses, phone and card numbers, access keys, secrets (8 and more letters, digits, '_' and '-') after a telling word in
+upper or lower case with = or : (and quotes, as in JSON), and names after a title. An entity is
 known by its canonical form (letters lower-cased, signs left out; the last ten digits of a phone number; given name and surname apart), so all its
 mentions, in whatever format and document, get one surrogate (coreference). The surrogate of an entity is drawn from a keyed SHA-256 of its
 type and canonical form: character by character a letter of the same case and script or a digit, except that addresses stay
@@ -39,13 +40,13 @@ IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}(?![0-9A-Za-z])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET_WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey")
-SECRET = r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{8})(?<=[=:]\s{0,3}[\"']?)(?<=(?:" + "|".join(SECRET_WORDS) + r")\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]++"
+SECRET_WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey", "api-key")
+SECRET = r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{8})(?<=[=:]\s{0,3}[\"']?)(?<=(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]++"
 PERSON = r"(?<!\p{L})(?:" + "|".join(sorted((*FEMALE, *MALE), key=len, reverse=True)) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
 # every entity begins where no ASCII letter or digit stands before it, so inside words nothing else is tried
 ANY = r"(?<![A-Za-z0-9])(?:" + "|".join((EMAIL, IP, PHONE, CARD, ACCESS_KEY, SECRET, PERSON)) + ")"
 # what a text with an entity has in any case
-HINT = r"[0-9@]|AKIA|" + "|".join(SECRET_WORDS) + r"|(?<!\p{L})(?:" + "|".join((*FEMALE, *MALE)) + r")\.? \p{Lu}"
+HINT = r"[0-9@]|AKIA|(?i:" + "|".join(SECRET_WORDS) + r")|(?<!\p{L})(?:" + "|".join((*FEMALE, *MALE)) + r")\.? \p{Lu}"
 
 
 def _whole(pattern: str) -> str:

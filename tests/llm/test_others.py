@@ -168,6 +168,15 @@ def test_surrogates_never_run_out(spark, docs_frame):
     assert re.fullmatch("password: [a-z]{8} and token = [a-z]{8}", texts[0].text) and texts[0].n_entities_ == 2
 
 
+def test_secrets_in_any_case_and_in_json(spark, docs_frame):
+    forms = ['TOKEN = "{}"', "PASSWORD={}", "Password: {}", "API_KEY={}", '{{"password": "{}"}}', "{{'Api_Key':'{}'}}", "Secret : {}", "Api-Key: {}"]
+    rows = [(2 * i + j, form.format(secret)) for i, form in enumerate(forms) for j, secret in enumerate(("9233A8EC77F0", "hunter-gather"))]
+    for r in surrogates.replaced(docs_frame(rows)).collect():
+        form, secret = forms[r.doc_id // 2], ("9233A8EC77F0", "hunter-gather")[r.doc_id % 2]
+        shape = "[0-9]{4}[A-Z][0-9][A-Z]{2}[0-9]{2}[A-Z][0-9]" if r.doc_id % 2 == 0 else "[a-z]{6}-[a-z]{6}"
+        assert secret not in r.text and r.n_entities_ == 1 and re.fullmatch(re.escape(form.format("@")).replace("@", shape), r.text), r.text
+
+
 
 # --- vectors --------------------------------------------------------------------------------------------
 def brute_vectors(rows, cosine=0.9):
