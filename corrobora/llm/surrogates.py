@@ -1,8 +1,11 @@
 """Surrogates for personal data, with DataFrame functions only: keyed, type-consistent replacements that keep gender, script and format.
 
 Detected: e-mail addresses, IPv4 addresses, phone and card numbers, access keys, secrets (8 and more letters, digits, '_' and '-') after a telling word in
-upper or lower case with = or : (and quotes, as in JSON), and names after a title. An entity is
-known by its canonical form (letters lower-cased, signs left out; the last ten digits of a phone number; given name and surname apart), so all its
+upper or lower case with = or : (and quotes, as in JSON), and names after titles. Phone numbers are North American ones, ten digits in a row that do not
+begin like a time stamp, and + with a country code and 7 to 15 digits in any groups. Names are up to 16 capitalised words with initials, hyphens,
+apostrophes and particles ('van', 'de la') between; where the same document has one of these words again without a title, it is replaced too. An entity is
+known by its canonical form (letters lower-cased, signs left out; the last ten digits of a phone number, or those after another country code than 1; each
+word of a name apart, the last one as surname; initials are shifted by a keyed number of letters), so all its
 mentions, in whatever format and document, get one surrogate (coreference). The surrogate of an entity is drawn from a keyed SHA-256 of its
 type and canonical form: character by character a letter of the same case and script or a digit, except that addresses stay
 valid, card numbers keep their first digit and pass the Luhn check, e-mail domains are reserved ones, and names are built from syllables of the
@@ -19,6 +22,8 @@ Nulls: a null text stays null; null ids are allowed. Repeated rows get the same
 Scale: two passes over the texts; only distinct entities and the texts that have some are shuffled.
 """
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +31,10 @@ from .runtime import compact, free_name, kept
 
 KEY = "surrogates-1"
 # Titles by gender, and syllables by script.
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Г-жа", "Κυρία")
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Г-жа", "Κυρία", "Madam", "Mlle", "Dame", "Sra", "Srta")
+MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н", "Κύριος", "Sir", "Hr", "Sr")
+NEUTRAL = ("Dr", "Prof", "Doctor", "Professor", "Mx", "Rev", "Доктор", "Профессор")
+PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "do", "dos", "das", "du", "des", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "zu", "zur", "af", "av", "y", "e")
 SYLLABLES = {"latin": ("ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su", "ta", "ve", "wi", "jo", "ku", "za"),
              "cyrillic": ("ба", "де", "фи", "го", "лу", "ма", "не", "пи", "ро", "су", "та", "ве", "ви", "жо", "ку", "за"),
              "greek": ("βα", "δε", "φι", "γο", "λυ", "μα", "νε", "πι", "ρο", "συ", "τα", "βε", "κι", "ξο", "κυ", "ζα")}
@@ -37,16 +44,26 @@ ROUNDS = 64
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])+"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])"
+# a grouped North American number; any international one; ten digits in a row, or eleven with the 1 in front
+PHONE = (r"(?<![0-9A-Za-z])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+         r"|\+[1-9](?:[ .\-/]{0,2}\(?[0-9]\)?){6,14}|[02-9][0-9]{9}|1[2-9][0-9]{9})(?![0-9A-Za-z])")
+# + and the country code where it is not 1
+COUNTRY = r"^\+(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}(?![0-9A-Za-z])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET_WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey", "api-key")
 SECRET = r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{8})(?<=[=:]\s{0,3}[\"']?)(?<=(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]++"
-PERSON = r"(?<!\p{L})(?:" + "|".join(sorted((*FEMALE, *MALE), key=len, reverse=True)) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
+_APOSTROPHE = r"['’](?!(?:ll|ve|re)(?!\p{L}))\p{L}[\p{L}\p{M}]+"
+NAME = rf"\p{{Lu}}(?:[\p{{L}}\p{{M}}]+(?:{_APOSTROPHE})*|{_APOSTROPHE})"
+_WORD = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )*+(?:\p{{Lu}}\.[ \-]?|\p{{Lu}} )*+{NAME}(?:-{NAME})*+"
+_TITLE = "(?:" + "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=len, reverse=True)) + ")"
+TITLES = rf"(?:{_TITLE}\.? )++"
+PERSON = rf"(?<!\p{{L}}){TITLES}{_WORD}(?: {_WORD}){{0,15}}+"
 # every entity begins where no ASCII letter or digit stands before it, so inside words nothing else is tried
 ANY = r"(?<![A-Za-z0-9])(?:" + "|".join((EMAIL, IP, PHONE, CARD, ACCESS_KEY, SECRET, PERSON)) + ")"
 # what a text with an entity has in any case
-HINT = r"[0-9@]|AKIA|(?i:" + "|".join(SECRET_WORDS) + r")|(?<!\p{L})(?:" + "|".join((*FEMALE, *MALE)) + r")\.? \p{Lu}"
+HINT = r"[0-9@]|AKIA|(?i:" + "|".join(SECRET_WORDS) + r")|(?<!\p{L})" + _TITLE + r"\.? \p{L}"
+INITIALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
 
 def _whole(pattern: str) -> str:
@@ -64,20 +81,33 @@ def _script(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def pieces(mention: Column) -> Column:
-    """The parts of a mention that are replaced on their own: array<struct<before, type, canonical, raw>>; `before` stays as it is."""
+def _initials(text: Column, key: str) -> Column:
+    """Capital letters shifted in their alphabet by a number that the key decides; other capitals become X."""
+    shift = int(hashlib.sha256(f"{key}|initials".encode()).hexdigest()[:8], 16) % 23 + 1
+    other = F.regexp_replace(text, "[\\p{Lu}&&[^" + "".join(INITIALS) + "]]", "X")
+    return F.translate(other, "".join(INITIALS), "".join(x[shift:] + x[:shift] for x in INITIALS))
+
+
+def pieces(mention: Column, key: str = KEY) -> Column:
+    """The parts of a mention that are replaced on their own: array<struct<before, type, canonical, raw>>; `before` stays as it is (its initials are shifted)."""
     kind = _kind(mention)
-    title = F.regexp_extract(mention, r"^(\S+) ", 1)
-    bare = F.regexp_replace(title, r"\.$", "")
-    names = F.split(F.substr(mention, F.length(title) + F.lit(2)), " ")
-    given = F.concat(F.lit("given_"), F.when(bare.isin(*FEMALE), "f_").otherwise("m_"), _script(names[0]))
+    titles = F.regexp_extract(mention, f"^{TITLES}", 0)
+    name = F.substr(mention, F.length(titles) + F.lit(1))
+    words, between = F.regexp_extract_all(name, F.lit(NAME), 0), F.split(name, NAME, -1)
+    # the gender is that of the first title that has one
+    gender = F.when(titles.rlike(rf"(?<!\p{{L}})(?:{'|'.join(FEMALE)})\.? "), "f_").when(titles.rlike(rf"(?<!\p{{L}})(?:{'|'.join(MALE)})\.? "), "m_").otherwise("n_")
     piece = lambda before, type_, raw, canonical: F.struct(before.alias("before"), type_.alias("type"), canonical.alias("canonical"), raw.alias("raw"))
-    surname = lambda before, raw: piece(before, F.concat(F.lit("surname_"), _script(raw)), raw, F.lower(raw))
-    person = F.when(F.size(names) == 2, F.array(piece(F.concat(title, F.lit(" ")), given, names[0], F.lower(names[0])), surname(F.lit(" "), F.get(names, F.lit(1))))).otherwise(
-        F.array(surname(F.concat(title, F.lit(" ")), names[0])))
-    digits = F.regexp_replace(mention, "[^0-9]", "")
-    canonical = F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind == "card", digits).when(kind == "email", F.lower(mention)).otherwise(mention)
-    return F.when(kind == "person", person).otherwise(F.array(piece(F.lit(""), kind, mention, canonical)))
+    # parts of a hyphenated last word are surnames all
+    surname = lambda i: ~F.exists(F.slice(between, i + 2, F.greatest(F.lit(0), F.size(words) - i - 1)), lambda x: x != "-")
+    person = F.transform(words, lambda w, i: piece(
+        F.concat(F.when(i == 0, titles).otherwise(""), _initials(F.get(between, i), key)),
+        F.concat(F.when(surname(i), "surname_").otherwise(F.concat(F.lit("given_"), gender)), _script(w)), w, F.lower(w)))
+    digits = lambda text: F.regexp_replace(text, "[^0-9]", "")
+    prefix = F.regexp_extract(mention, COUNTRY, 0)
+    national = F.substr(mention, F.length(prefix) + F.lit(1))
+    abroad = F.array(piece(prefix, F.concat(F.lit("phone_"), F.substr(prefix, F.lit(2))), national, digits(F.regexp_replace(national, r"\(0\)", ""))))
+    canonical = F.when(kind == "phone", F.right(digits(mention), F.lit(10))).when(kind == "card", digits(mention)).when(kind == "email", F.lower(mention)).otherwise(mention)
+    return F.when(kind == "person", person).when((kind == "phone") & (prefix != ""), abroad).otherwise(F.array(piece(F.lit(""), kind, mention, canonical)))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -148,7 +178,7 @@ def drawn(entities: DataFrame, round_: int, key: str) -> DataFrame:
     email = F.concat(F.left(shaped, at), F.lit("mail"), (_byte(stream, F.lit(30)) % 10).cast("string"), tail(more), F.lit("."), _pick(stream, F.lit(31), DOMAINS))
     phone = F.concat((2 + _byte(stream, F.lit(0)) % 8).cast("string"), F.substr(shaped, F.lit(2), F.length(canonical)), tail(min(longer, 14)))
     access_key = F.concat(F.lit("AKIA"), F.substr(shaped, F.lit(5), F.lit(16)))
-    surrogate = (F.when(type_ == "ip", address).when(type_ == "card", F.concat(body, _luhn(body))).when(type_ == "email", email).when(type_ == "phone", phone)
+    surrogate = (F.when(type_ == "ip", address).when(type_ == "card", F.concat(body, _luhn(body))).when(type_ == "email", email).when(type_.startswith("phone"), phone)
             .when(type_ == "key", access_key).when(type_.startswith("given_") | type_.startswith("surname_"), _name(type_, stream, more)).otherwise(F.concat(shaped, F.left(rest, F.lit(max(0, longer - 2))))))
     return entities.select("type", "canonical", surrogate.alias("surrogate"))
 
@@ -163,7 +193,7 @@ def written(type_: Column, raw: Column, surrogate: Column, shift: Column) -> Col
     digits = F.aggregate(F.split(raw, ""), F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc.text, F.substr(surrogate, acc.at - shift + 1, n)))
     capital = F.concat(F.upper(F.left(surrogate, F.lit(1))), F.substr(surrogate, F.lit(2), n))
     name = F.when((F.upper(raw) == raw), F.upper(surrogate)).otherwise(capital)
-    return F.when(type_.isin("phone", "card"), digits).when(type_.startswith("given_") | type_.startswith("surname_"), name).otherwise(surrogate)
+    return F.when(type_.startswith("phone") | (type_ == "card"), digits).when(type_.startswith("given_") | type_.startswith("surname_"), name).otherwise(surrogate)
 
 
 def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -186,18 +216,29 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: str = KEY) -> DataFrame:
     """All rows and columns of `docs` with the text's entities replaced, and a last column n_entities (or n_entities_, ...): how many there were."""
-    found, n, row, key_row, key_chars, new_parts = (free_name(docs, x) for x in ("mentions", "n_entities", "row_key", "row", "chars", "new"))
+    found, n, row, key_row, key_chars, new_parts, names, pattern = (free_name(docs, x) for x in ("mentions", "n_entities", "row_key", "row", "chars", "new", "names", "pattern"))
     marked = docs.withColumn(found, F.when(F.col(text_column).rlike(HINT), F.regexp_extract_all(text_column, F.lit(ANY), 0)))
-    with_some = kept(marked.where(F.size(found) > 0).withColumn(row, F.xxhash64(id_column, text_column)), "texts")
-    mentions = with_some.select(F.col(row).alias("row"), F.length(text_column).alias("chars"), F.posexplode(found).alias("at", "mention")).distinct()
-    parts = kept(mentions.select("row", "chars", "at", F.posexplode(pieces(F.col("mention"))).alias("part", "p")).select("row", "chars", "at", "part", "p.*"), "mentions")
+    # words of names that stand after a title are looked for in the rest of that text too
+    titled = F.filter(found, lambda m: m.rlike(f"^{TITLES}"))
+    of_names = F.when(F.size(titled) > 0, F.flatten(F.transform(titled, lambda m: pieces(m, key))))
+    also = F.concat(F.lit(rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?iu:"), F.array_join(F.array_distinct(F.transform(names, lambda p: p.canonical)), "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    with_some = _once(marked.where(F.size(found) > 0), names, of_names).withColumn(pattern, F.when(F.col(names).isNotNull(), F.concat(F.lit(f"({ANY})|"), also)))
+    of_titled = F.regexp_extract_all(text_column, F.col(pattern), F.lit(1))
+    untitled = lambda m, i: F.when(F.get(of_titled, i) == "", F.get(F.filter(names, lambda p: p.canonical == F.lower(m)), F.lit(0)))
+    all_ = F.when(F.col(names).isNotNull(), F.transform(F.regexp_extract_all(text_column, F.col(pattern), F.lit(0)), lambda m, i: F.struct(m.alias("mention"), untitled(m, i).alias("name")))).otherwise(
+        F.transform(found, lambda m: F.struct(m.alias("mention"), F.lit(None).cast("struct<before:string,type:string,canonical:string,raw:string>").alias("name"))))
+    with_some = kept(with_some.withColumn(found, all_).drop(names).withColumn(row, F.xxhash64(id_column, text_column)), "texts")
+    mentions = with_some.select(F.col(row).alias("row"), F.length(text_column).alias("chars"), F.posexplode(found).alias("at", "m")).select("row", "chars", "at", "m.*").distinct()
+    name = F.struct(F.lit("").alias("before"), F.col("name.type").alias("type"), F.col("name.canonical").alias("canonical"), F.col("mention").alias("raw"))
+    parts = mentions.select("row", "chars", "at", F.posexplode(F.when(F.col("name").isNotNull(), F.array(name)).otherwise(pieces(F.col("mention"), key))).alias("part", "p"))
+    parts = kept(parts.select("row", "chars", "at", "part", "p.*"), "mentions")
     known = assigned(parts.select("type", "canonical").distinct(), key)
     new = _once(parts.join(known, ["type", "canonical"]), "shift", F.greatest(F.lit(0), F.length(F.regexp_replace("raw", "[^0-9]", "")) - F.length("surrogate")))
     new = new.select("row", "chars", "at", "part", F.concat("before", written(F.col("type"), F.col("raw"), F.col("surrogate"), F.col("shift"))).alias("new"))
     # per mention its parts in order, per text its mentions in order
     whole = new.groupBy("row", "chars", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x.new), "").alias("new"))
     lists = whole.groupBy("row", "chars").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x.new).alias("new"))
-    between = F.split(text_column, ANY, -1)
+    between = F.when(F.col(pattern).isNotNull(), F.split(text_column, F.col(pattern), -1)).otherwise(F.split(text_column, ANY, -1))
     text = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(F.col(new_parts), i), F.lit(""))))), "")
     lists = kept(lists, "replacements").toDF(key_row, key_chars, new_parts).hint("merge")
     changed = with_some.join(lists, (F.col(row) == F.col(key_row)) & (F.length(text_column) == F.col(key_chars)))

@@ -177,6 +177,40 @@ def test_secrets_in_any_case_and_in_json(spark, docs_frame):
         assert secret not in r.text and r.n_entities_ == 1 and re.fullmatch(re.escape(form.format("@")).replace("@", shape), r.text), r.text
 
 
+def test_names_in_full_and_without_title(spark, docs_frame):
+    rows = [(1, "Mr. John Paul Smith wrote. John Smith's letter: SMITH and Johnson."), (2, "Mrs Smith-Jones's car"), (3, "Mr O'Brien left; O'Brien won't"), (4, "Mr. J. Smith. He"), (5, "Dr. Anna Petrov"),
+            (6, "Prof. Dr. Anna-Maria van der Berg met Dr Berg."), (7, "Smith without any title"), (8, "Mr. J.R. Smith, Ms Ann B. Lee"), (9, "Herr von Braun; password: Braunbaer")]
+    texts = {r.doc_id: (r.text, r.n_entities_) for r in surrogates.replaced(docs_frame(rows)).collect()}
+    m = re.fullmatch(r"Mr\. (\w+ren) (\w+ren) (\w+) wrote\. (\w+) (\w+)'s letter: (\w+) and Johnson\.", texts[1][0])
+    assert m and m[1] == m[4] and m[3] == m[5] and m[6] == m[3].upper() and len({"John", "Paul", "Smith", *m.groups()}) == 7 and texts[1][1] == 4
+    surname = m[3]
+    m = re.fullmatch(r"Mrs (\w+)-(\w+)'s car", texts[2][0])
+    assert m and m[1] == surname and m[2] != "Jones"
+    m = re.fullmatch(r"Mr (\w+) left; (\w+) won't", texts[3][0])
+    assert m and m[1] == m[2] and "Brien" not in m[1]
+    m = re.fullmatch(r"Mr\. ([A-Z])\. (\w+)\. He", texts[4][0])
+    assert m and m[1] != "J" and m[2] == surname
+    m = re.fullmatch(r"Dr\. (\w+) (\w+)", texts[5][0])
+    assert m and m[1] != "Anna" and m[2] != "Petrov"
+    m = re.fullmatch(r"Prof\. Dr\. (\w+)-(\w+) van der (\w+) met Dr (\w+)\.", texts[6][0])
+    assert m and m[3] == m[4] != "Berg" and m[1] != "Anna" and m[2] != "Maria"
+    assert texts[7] == (rows[6][1], 0)
+    m = re.fullmatch(r"Mr\. [A-Z]\.[A-Z]\. (\w+), Ms (\w+na) [A-Z]\. (\w+)", texts[8][0])
+    assert m and m[1] == surname and "Ann " not in texts[8][0] and "Lee" not in texts[8][0] and "J.R." not in texts[8][0]
+    m = re.fullmatch(r"Herr von (\w+); password: ([A-Z][a-z]{8})", texts[9][0])
+    assert m and m[1] != "Braun" and m[2] != "Braunbaer"
+
+
+def test_international_phone_numbers(spark, docs_frame):
+    rows = ["+44 20 7946 0958", "+44 (0)20 7946-0958", "+442079460958", "+49 30 1234567", "5551234567", "+1 (555) 123-4567", "+1 5551234567", "15551234567", "+33 1 23 45 67 89", "1700000000", "1999-2004"]
+    out = {r.doc_id: r.text for r in surrogates.replaced(docs_frame([(i, f"Call {t}, now") for i, t in enumerate(rows)])).collect()}
+    found = [out[i][5:-5] for i in range(len(rows))]
+    assert found[9:] == rows[9:] and all(a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(found[:9], rows))
+    digits = [re.sub("[^0-9]", "", x) for x in found]
+    assert digits[0] == digits[2] == digits[1][:2] + digits[1][3:] and digits[0][:2] == "44" and digits[3][:2] == "49" and digits[8][:2] == "33"
+    assert {d[-10:] for d in digits[4:8]} == {digits[4]} and digits[5][0] == "1"
+
+
 
 # --- vectors --------------------------------------------------------------------------------------------
 def brute_vectors(rows, cosine=0.9):
