@@ -32,9 +32,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_line_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lines import deduplicated
+    from .lines import FINE_CHARS, deduplicated
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines"))
-    return deduplicated(docs).select(
+    return deduplicated(docs, chars=FINE_CHARS).select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("removed.n", F.lit(0)).alias("n_removed"),
         F.coalesce("removed.kept_in", F.array().cast("array<bigint>")).alias("kept_in"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -94,6 +94,24 @@ def test_lines(spark, docs_frame, seed):
         assert r.removed == "x" and r.lang == "en"
 
 
+def test_lines_with_one_changed_character(spark, tmp_path):
+    """Lines of 40 to 90 different characters with one changed anywhere, shorter ones with one changed at an end, go in the query; others stay."""
+    from corrobora.llm import queries
+    rng, rows, copies = random.Random(7), [], set()
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    for i, n in enumerate([*range(40, 91, 2), *range(30, 40)]):
+        line = rng.sample(letters, n)
+        changed = list(line)
+        changed[rng.randrange(n) if n >= 40 else rng.choice([0, n - 1])] = rng.choice("0123456789")
+        rows += [(2 * i, "".join(line)), (2 * i + 1, "".join(changed))]
+        copies.add(2 * i + 1)
+    rows += [(500, "".join(rng.sample(letters, 60)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.n_removed for r in queries.op1(spark, str(tmp_path)).collect()}
+    want = brute.line_dedup(rows, 4)
+    assert out == {i: x[1] for i, x in want.items()} and {i for i, n in out.items() if n} == copies
+
+
 def test_lines_of_odd_rows(spark, docs_frame):
     line = "a line that is long enough to be compared"
     out = lines.deduplicated(docs_frame([(2, f"{line}\n\n{line.upper()}\n  \nlast"), (1, line), (None, line), (None, line)])).collect()
