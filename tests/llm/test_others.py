@@ -282,7 +282,7 @@ def test_mix(spark):
 def test_pipeline_stages(spark, tmp_path):
     import brute
     import corpus_pipeline as cp
-    from test_documents import corpus
+    from test_text_operators import corpus
     rows = [(i, t) for i, t in corpus(3)] + [(2000 + i, t) for i, t, _ in toxic_corpus()]
     labels = [(2000 + i, 1, y) for i, _, y in toxic_corpus()]
     rows += [(3000, "one two three four five six seven eight nine ten eleven"), (3001, rows[0][1])]
