@@ -39,6 +39,14 @@ def stored(frame: DataFrame, name: str, scope: str | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def remove(*frames: DataFrame) -> None:
+    """Delete the folders of intermediate tables that `stored` wrote and that nothing reads any more."""
+    for frame in frames:
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def to_result_json(frame: DataFrame, columns: list[str], out: str = "result_json") -> DataFrame:
     return frame.withColumn(out, F.to_json(F.struct(*columns)))
 
