@@ -152,3 +152,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hard_negatives import mine, scaled
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine(scaled(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding"), F.col("id") % 100 == 0)
+
+
+@query("op11_language_model")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from ..sources.tables import stored
+from ..sources.tables import remove, stored
 
 SETTINGS = {
     # texts may be long: keep one Arrow batch of them small
@@ -25,6 +25,11 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     return stored(frame, name)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that `kept` wrote, once everything that reads them has been written itself."""
+    remove(*frames)
+
+
 def compact(frame: DataFrame) -> DataFrame:
     """For tables much smaller than the corpus (keys, pairs, edges): a quarter of the usual tasks, and so of the files, after a shuffle."""
     return frame.coalesce(max(4, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))

@@ -1,7 +1,9 @@
 """Plain Python versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,3 +107,59 @@ def contamination(rows: list[tuple], items: list[tuple], window: int = 10) -> di
                     found |= ids
         out[i] = (len(w), sum(hit), sorted(found))
     return out
+
+
+def runs(words: list) -> list[tuple]:
+    """Every run (start, length, period) with at least max(6, 4 * period) words, by start and period."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i < n - q:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            part = words[i:j + q]
+            if len(part) >= max(6, 4 * q) and not any(part[p:] == part[:-p] for p in range(1, q)):
+                out.append((i, len(part), q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(text: str | None, doc_id: int | None = None) -> dict:
+    """Runs and collapsed text; with a doc_id, of the text that its checksum asks for."""
+    words = re.findall(SPACED, text or "")
+    if doc_id is not None:
+        h, n = zlib.crc32(str(doc_id).encode()), len(words)
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found, gone = runs(words), set()
+    for start, length, period in found:
+        gone |= set(range(start + period, start + length))
+    return {"runs": found, "text": " ".join(w for i, w in enumerate(words) if i not in gone)}
+
+
+def hard_negatives(rows: list[tuple], positives: int = 5, negatives: int = 10) -> set[tuple]:
+    """Rows (id, label, integer vector) to (anchor, positive, rank, negative, positive score, score); anchors have ids divisible by 100."""
+    out = set()
+    for i, label, v in rows:
+        if i % 100:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j, other) for j, other, w in rows if j != i and len(w) == len(v))
+        for s, p, _ in [x for x in scored if x[2] == label][:positives]:
+            near = [x for x in scored if x[2] != label and 30 * -s <= 100 * -x[0] <= 90 * -s][:negatives]
+            out |= {(i, p, rank, j, -s, -t) for rank, (t, j, _) in enumerate(near, 1)}
+    return out
+
+
+def unigram(rows: list[tuple]) -> dict:
+    """{id: (n_tokens, n_known, N, base score)} of rows (id, text)."""
+    tokens = [(i, [*re.findall(SPACED, (t or "").translate(LOWER)), None]) for i, t in rows]
+    counts = Counter(w for i, ws in tokens if i is None or zlib.crc32(str(i).encode()) % 10 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    return {i: (len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in tokens}
