@@ -42,7 +42,7 @@ def cache_lookup(asked: DataFrame, runs: DataFrame) -> DataFrame:
     Newest is a maximum, so a key with most of the runs is combined before the shuffle.
     """
     newest = runs.filter(~F.col("degraded")).groupBy("scope", "cache_key").agg(
-        F.max_by(F.struct("run_no", "created_at", "result_json"), F.struct("created_at", "run_no")).alias("newest"))
+        F.max_by(F.struct(*[c for c in runs.columns if c not in ("scope", "cache_key")]), F.struct("created_at", "run_no")).alias("newest"))
     rows = asked.join(newest, ["scope", "cache_key"], "left")
     return rows.withColumn("cached_run", F.when(~F.col("fresh"), F.col("newest"))).drop("newest")
 

@@ -49,13 +49,19 @@ def extraction_from_replies(replies: DataFrame) -> dict[str, DataFrame]:
     return {"claims": rows("claims"), "aspects": rows("aspects"), "entries": rows("entries"), "answers": valid.select("run_id", "answer", "ambiguous", "ambiguity_note")}
 
 
-def investigate(questions: DataFrame, evidence: DataFrame, extracted: dict[str, DataFrame], unavailable: DataFrame | None = None, keyword_only: bool = False,
-                source: str = "live", check_failed: DataFrame | None = None) -> DataFrame:
+def _marked(rows: DataFrame, some: DataFrame, name: str) -> DataFrame:
+    """Adds a flag that is true for the runs in `some` (question_id)."""
+    marks = some.select(F.col("question_id").alias("run_id"), F.lit(True).alias(name)).distinct()
+    return rows.join(marks, "run_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def investigate(questions: DataFrame, evidence: DataFrame, extracted: dict[str, DataFrame], unavailable: DataFrame | None = None, keyword_only: bool | DataFrame = False,
+                source: str | DataFrame = "live", check_failed: DataFrame | None = None) -> DataFrame:
     """One result row per question.
 
     questions: question_id, scope, question, has_documents; evidence: items of `retrieve`;
     with a column cache_key if the rows are to be stored; unavailable: question_id of questions whose reply could not be had or read (answered with passages only);
-    keyword_only: no vectors took part; source: where the claims come from; check_failed: question_id whose conflict check failed.
+    keyword_only: no vectors took part, or question_id of questions for which none did; source: where the claims come from, or question_id, llm_source and model; check_failed: question_id whose conflict check failed.
     """
     items = evidence.withColumnRenamed("question_id", "run_id").withColumns({
         "chunk_id": F.concat_ws("-", "doc_id", "ordinal"), "document_id": F.col("doc_id")})
@@ -63,8 +69,7 @@ def investigate(questions: DataFrame, evidence: DataFrame, extracted: dict[str,
     if unavailable is None:
         asked = asked.withColumn("evidence_only", F.lit(False))
     else:
-        asked = asked.join(unavailable.select(F.col("question_id").alias("run_id"), F.lit(True).alias("evidence_only")), "run_id", "left").withColumn(
-            "evidence_only", F.coalesce("evidence_only", F.lit(False)))
+        asked = _marked(asked, unavailable, "evidence_only")
     answers = extracted["answers"]
     for name, default in (("ambiguous", F.lit(False)), ("ambiguity_note", F.lit(None).cast("string"))):
         if name not in answers.columns:
@@ -76,11 +81,19 @@ def investigate(questions: DataFrame, evidence: DataFrame, extracted: dict[str,
     kind = dict(flagged.dtypes)["evidence"]
     flagged = flagged.withColumns({
         "evidence": F.coalesce("evidence", F.expr(f"cast(array() as {kind})")), "ambiguous": F.coalesce("ambiguous", F.lit(False)),
-        "answer": F.coalesce("answer", F.expr("cast(array() as array<struct<text:string,claims:array<string>>>)")), "check_failed": F.lit(False), "keyword_only": F.lit(keyword_only)})
+        "answer": F.coalesce("answer", F.expr("cast(array() as array<struct<text:string,claims:array<string>>>)")), "check_failed": F.lit(False)})
+    if isinstance(keyword_only, DataFrame):
+        flagged = _marked(flagged, keyword_only, "keyword_only")
+    else:
+        flagged = flagged.withColumn("keyword_only", F.lit(keyword_only))
     if check_failed is not None:
-        failed = check_failed.select(F.col("question_id").alias("run_id"), F.lit(True).alias("failed")).distinct()
-        flagged = flagged.join(failed, "run_id", "left").withColumn("check_failed", F.coalesce("failed", F.lit(False))).drop("failed")
-    flagged = flagged.withColumns({"n_evidence": F.size("evidence"), "llm_source": F.when(F.col("evidence_only") | (F.size("evidence") == 0), "none").otherwise(source)})
+        flagged = _marked(flagged.drop("check_failed"), check_failed, "check_failed")
+    if isinstance(source, DataFrame):
+        flagged = flagged.join(source.select(F.col("question_id").alias("run_id"), "llm_source", "model"), "run_id", "left")
+    else:
+        flagged = flagged.withColumns({"llm_source": F.lit(source), "model": F.lit(None).cast("string")})
+    silent = F.col("evidence_only") | (F.size("evidence") == 0)
+    flagged = flagged.withColumns({"n_evidence": F.size("evidence"), "llm_source": F.when(silent, "none").otherwise(F.col("llm_source")), "model": F.when(~silent, F.col("model"))})
     checked = verification.check_claims(extracted["claims"], items, extracted["aspects"])
     notes = verification.supersession_notes(extracted["entries"], items)
     rows = rating.rated(conflicts.case_rows(flagged, extracted["aspects"], checked, notes), F.col("keyword_only"))
@@ -88,13 +101,13 @@ def investigate(questions: DataFrame, evidence: DataFrame, extracted: dict[str,
     return done.withColumn("servable", ~runs.degraded(F.col("evidence_only"), F.col("check_failed")))
 
 
-def run_rows(results: DataFrame, model: str = RULES) -> DataFrame:
-    """Stored form: one JSON document per run next to the columns that lookups need. In the JSON `degraded` says that the answer has passages only;
+def run_rows(results: DataFrame, model: str | None = RULES) -> DataFrame:
+    """Stored form: one JSON document per run next to the columns that lookups need; the model is the one given, or else the one that replied. In the JSON `degraded` says that the answer has passages only;
     the column also covers a failed conflict check, after which a run is not served again."""
     shown = results.withColumn("degraded", F.col("evidence_only"))
     body = F.to_json(F.struct(*[F.col(c) for c in RESULT]), {"ignoreNullFields": "false"})
     return shown.withColumn("result_json", body).select(
-        "run_id", "scope", "question", "state", "rule", (~F.col("servable")).alias("degraded"), "headline", "result_json", "cache_key", F.lit(model).alias("model"),
+        "run_id", "scope", "question", "state", "rule", (~F.col("servable")).alias("degraded"), "headline", "result_json", "cache_key", (F.col("model") if model is None else F.lit(model)).alias("model"),
         F.current_timestamp().alias("created_at"), F.col("run_id").cast("bigint").alias("run_no"), F.lit(None).cast("string").alias("code"))
 
 
