@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import (q_claims, q_conflicts, q_documents, q_pipeline, q_rating, q_retrieval, q_runs,  # noqa: F401
+    from . import (q_claims, q_conflicts, q_documents, q_index, q_pipeline, q_rating, q_retrieval, q_runs,  # noqa: F401
                    q_streaming, q_uploads, q_values, q_verification)

@@ -63,6 +63,8 @@ def answer_batch(asked: DataFrame, passages: DataFrame, documents: DataFrame, pa
         firsts = missing.filter("NOT fresh").groupBy("scope", "cache_key").agg(F.min("question_id").alias("leader"))
         missing = missing.join(firsts, ["scope", "cache_key"], "left").withColumn("leader", F.when(F.col("fresh"), F.col("question_id")).otherwise(F.col("leader")))
         missing = tables.stored(missing, "missing")
+        if missing.isEmpty():
+            return spark.createDataFrame([], RUN_SCHEMA).drop("batch_id").withColumn("leader", F.col("run_id"))
         leaders = missing.filter("question_id = leader").drop("leader", "fresh")
         wanted = leaders.select("question_id")
         vectors = None if question_vectors is None else question_vectors.join(wanted, "question_id", "left_semi")
