@@ -36,10 +36,43 @@ def str_dedup(spark, sf):
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*").select("doc_id", "scope", "status", "stored_path")
 
 
+@query("str_dedup_keyed", f"WITH {q_uploads._ARRIVALS_SQL} SELECT doc_id, scope, status, stored_path FROM marked")
+def str_dedup_keyed(spark, sf):
+    """The same deliveries with the originals in keyed state, the stream started anew for each of them."""
+    rows = q_uploads.arrivals(spark, sf)
+    base = shared_folder(spark, "keyed")
+    edges = rows.selectExpr("min(doc_id) AS low", "max(doc_id) AS high").first()
+    step = (edges.high - edges.low) // 2 + 1
+    for part in range(2):
+        low = edges.low + part * step
+        rows.filter((F.col("doc_id") >= low) & (F.col("doc_id") < low + step)).write.mode("append").parquet(f"{base}/landing")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{base}/landing")
+        jobs.keyed_duplicates(arriving, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id", "scope", "status", "stored_path")
+
+
+@query("str_late_lines", """WITH p AS (SELECT *, user_id % 3 AS part FROM events),
+seen AS (SELECT part, max(ts) AS highest FROM p GROUP BY 1), marks AS (SELECT a.part, max(b.highest) AS mark FROM seen a JOIN seen b ON b.part < a.part GROUP BY 1)
+SELECT event_type AS stage, count(*) FILTER (NOT coalesce(ts < mark - INTERVAL '10 days', false)) AS counted, count(*) FILTER (coalesce(ts < mark - INTERVAL '10 days', false)) AS late,
+  round(coalesce(sum(value) FILTER (NOT coalesce(ts < mark - INTERVAL '10 days', false)), 0), 4) AS total FROM p LEFT JOIN marks USING (part) GROUP BY 1""")
+def str_late_lines(spark, sf):
+    """Three deliveries out of time order: lines behind the watermark are reported, the others counted."""
+    base = shared_folder(spark, "late")
+    lines = views.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(3):
+        lines.filter(F.col("user_id") % 3 == part).write.mode("append").parquet(f"{base}/landing")
+        arriving = spark.readStream.schema(lines.schema).parquet(f"{base}/landing")
+        jobs.split_late(arriving, f"{base}/out", f"{base}/checkpoint", delay="10 days").awaitTermination()
+    marked = spark.read.option("basePath", f"{base}/out/lines").parquet(f"{base}/out/lines/batch=*")
+    on_time = ~F.col("late")
+    return marked.groupBy(F.col("event_type").alias("stage")).agg(F.count(F.when(on_time, 1)).alias("counted"), F.count(F.when(~on_time, 1)).alias("late"),
+                                                                  F.round(F.coalesce(F.sum(F.when(on_time, F.col("value"))), F.lit(0.0)), 4).alias("total"))
+
+
 @query("str_latest_status", "SELECT user_id AS doc_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
 def str_latest_status(spark, sf):
     latest = jobs.latest_status(stream(spark, sf, "events").withColumnRenamed("user_id", "doc_id"), "doc_id", "event_type", F.struct("ts", "event_id"))
-    path = jobs.run(lambda out, check: jobs.changed_groups(latest, out, check), spark, "status")
+    path = jobs.run(lambda out, check: jobs.changed_groups(latest, out, check, ["doc_id"]), spark, "status")
     return jobs.current_groups(spark, path, ["doc_id"], ["status"])
 
 
