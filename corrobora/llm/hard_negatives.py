@@ -69,7 +69,9 @@ class Lists:
             stop = min(n, depth + step)
             ranks = np.arange(depth, stop)[:, None]
             entries = self.order[np.where(falling[None, :], n - 1 - ranks, ranks), active[None, :]]
-            new = np.unique(entries[~seen[entries]])
+            fresh = np.zeros(n, dtype=bool)
+            fresh[entries] = True
+            new = np.flatnonzero(fresh & ~seen)
             seen[new] = True
             rows, scores = np.concatenate((rows, new)), np.concatenate((scores, self.scores(new, anchor)))
             threshold = int((anchor[active] * self.x[entries[-1], active]).sum())
@@ -145,7 +147,8 @@ def _blockwise(rows: DataFrame, anchors: DataFrame, by: list[str], search, block
              anchors.select("*", F.lit(True).alias("anchor")).join(shape, by).withColumn("part", dealt("parts", 2)).withColumn("block", every("blocks"))]
     keys = list(dict.fromkeys([*by, "block", "part"]))
     columns = list(dict.fromkeys([*keys, "anchor", "id", "label", "v", "positives"]))
-    return sides[0].select(*columns).union(sides[1].select(*columns)).groupBy(*keys).applyInArrow(search, "anchor long, positive long, positive_score long, found long, score long")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))        # blocks are few bytes and much work: not to be put together again
+    return sides[0].select(*columns).union(sides[1].select(*columns)).repartition(tasks, *keys).groupBy(*keys).applyInArrow(search, "anchor long, positive long, positive_score long, found long, score long")
 
 
 def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, block: int = BLOCK, part: int = PART) -> DataFrame:

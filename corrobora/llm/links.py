@@ -2,7 +2,8 @@
 
 Buckets are rows (key, id): ids that share a key may be alike. `verify` takes pairs (u, v) and returns those that are. A bucket of n ids that all
 belong together costs about n pairs: its ids are first compared with two of them only, its hubs. What is left to compare afterwards are ids that
-share a key but are still in different components; all of those pairs are compared, so the result is the same as comparing every pair.
+share a key but are still in different components. These are never rows of pairs: the ids of a key are cut into blocks, and a task compares two blocks
+by the exact intersections of their sets (cross_links). So the result is the same as comparing every pair.
 """
 
 from collections.abc import Callable, Iterator
@@ -12,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import star_components
-from .runtime import compact, kept
+from .runtime import compact, discard, kept
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -24,35 +24,27 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return kept(compact(buckets.join(hubs, "key").distinct()), "buckets")
 
 
-def linked_components(shared: DataFrame, verify: Verify, components: Callable[[DataFrame], DataFrame] = star_components, narrow: Verify | None = None,
-                      percent: int = 0) -> DataFrame:
+def linked_components(shared: DataFrame, verify: Verify, components: Callable[[DataFrame], DataFrame], narrow: Verify, contents: "Contents", percent: int) -> DataFrame:
     """(id, component) of every id with a verified link; `shared` comes from shared_buckets. `narrow` takes the rows (key, id, component) that are
     still open and returns rows (key, id, size, most): keys of its own, of which every two ids with a link share one, the size of the id's set, and how much
-    of it can be in common with any other; `percent` is the least similarity, and pairs that cannot reach it with these are left out."""
+    of it can be in common with any other. `contents` and `percent`: see cross_links."""
     hubs = shared.select(F.explode(F.array("low", "high")).alias("u"), F.col("id").alias("v"))
     tried = kept(compact(_pairs(hubs.where("u <> v"))), "tried")
     links = kept(compact(verify(tried).select("u", "v")), "links")
     groups = kept(components(links), "groups")
     rows = _open(shared.select("key", "id", F.lit(0).alias("size"), F.lit(0).alias("most")), groups)
-    if narrow is not None:
-        rows = _open(narrow(rows), groups)
+    rows = _open(narrow(rows), groups)
     if rows.isEmpty():
         return groups
-    # once more with the hubs of these keys, then every pair that is still apart
+    # once more with the hubs of these keys, then all that is still apart, in blocks
     hubs = rows.groupBy("key").agg(F.min(F.struct("id", "component")).alias("a"), F.max(F.struct("id", "component")).alias("b"))
     hubs = rows.join(hubs, "key").select(F.explode(F.array("a", "b")).alias("hub"), "id", "component").where("hub.component <> component")
     again = kept(compact(_pairs(hubs.select(F.col("hub.id").alias("u"), F.col("id").alias("v"))).join(tried, ["u", "v"], "left_anti")), "tried")
     links = kept(compact(links.union(verify(again).select("u", "v"))), "links")
     groups = kept(components(links), "groups")
     rows = _open(rows.drop("component"), groups)
-    left, right = rows.toDF("key", "u", "nu", "mu", "cu"), rows.toDF("key", "v", "nv", "mv", "cv")
-    possible = f"u < v AND cu <> cv AND (100 + {percent}) * least(mu, mv) >= {percent} * (nu + nv)"
-    apart = left.join(right, "key").where(possible).select("u", "v").distinct()
-    rest = kept(compact(apart.join(tried.union(again), ["u", "v"], "left_anti")), "rest")
-    if rest.isEmpty():
-        return groups
-    more = kept(compact(verify(rest).select("u", "v")), "links")
-    return groups if more.isEmpty() else kept(components(links.union(more)), "groups")
+    more = cross_links(rows.select("key", "id", "component"), contents, percent)
+    return groups if more is None else kept(components(links.union(more)), "groups")
 
 
 def _pairs(hubs: DataFrame) -> DataFrame:
@@ -66,6 +58,119 @@ def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return kept(compact(named.join(keys, "key", "left_semi")), "open")
 
 
+BLOCK = 512            # ids of a block: a task holds two
+COLUMNS = 8192         # elements counted at a time
+Contents = tuple[Callable[[DataFrame], DataFrame], str, Callable[[pa.Array], list[np.ndarray]]]
+
+
+def exact_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of two lists of sets of distinct values, which pairs have 100 * |intersection| >= percent * |union|: a matrix, exact."""
+    sizes = [np.array([len(s) for s in side], dtype=np.int64) for side in (left, right)]
+    values = np.concatenate([*left, *right]) if left or right else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1                  # elements of one set only are common to none
+    owner, column = owner[times[column] > 1], number[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column, common = owner[order], column[order], np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        held = np.zeros((len(left) + len(right), COLUMNS), dtype=np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        common += held[:len(left)] @ held[len(left):].T
+    same = np.rint(common).astype(np.int64)
+    return (100 * same >= percent * (sizes[0][:, None] + sizes[1][None, :] - same)) & (same > 0)
+
+
+def _compared(sets: Callable[[pa.Array], list[np.ndarray]], percent: int):
+    """Rows (key, minor, i, j, on_left, on_right, id, component, content) sorted by the first four: of each such group the linked pairs (u, v), one for each two components."""
+    def one(rows: pa.Table) -> pa.RecordBatch:
+        on_left, on_right, ids, components = (rows[c].to_numpy() for c in ("on_left", "on_right", "id", "component"))
+        held = sets(rows["content"].combine_chunks())
+        l, r = np.flatnonzero(on_left), np.flatnonzero(on_right)
+        linked = exact_links([held[i] for i in l], [held[i] for i in r], percent) & (components[l][:, None] != components[r][None, :])
+        a, b = (side[k] for side, k in zip((l, r), np.nonzero(linked)))
+        pairs = np.stack((np.minimum(components[a], components[b]), np.maximum(components[a], components[b])), axis=1)
+        first = np.unique(pairs, axis=0, return_index=True)[1] if len(pairs) else np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, ["key", "minor", "i", "j"]):
+            yield one(rows)
+    return run
+
+
+def _hopeful(different: int):
+    """Of rows as for _compared, with `bits` instead of content, those with a partner in another component whose bits differ in at most so many places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, ["key", "minor", "i", "j"]):
+            bits, components = rows["bits"].to_numpy(), rows["component"].to_numpy()
+            l, r = (np.flatnonzero(rows[c].to_numpy()) for c in ("on_left", "on_right"))
+            close = (np.bitwise_count((bits[l][:, None] ^ bits[r][None, :]).view(np.uint64)) <= different) & (components[l][:, None] != components[r][None, :])
+            keep = np.zeros(len(bits), dtype=bool)
+            keep[l[close.any(axis=1)]] = keep[r[close.any(axis=0)]] = True
+            if keep.any():
+                yield from rows.drop_columns(["bits"]).filter(pa.array(keep)).combine_chunks().to_batches()
+    return run
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal long or int keys, whole, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(batch)]))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            key = tuple(c[low] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def cross_links(rows: DataFrame, contents: Contents, percent: int, block: int = BLOCK, different: int | None = None) -> DataFrame | None:
+    """Links (u, v) between ids of a key that are in different components, at least one for each two components that such a link joins; None if there are no rows.
+
+    Rows are (key, id, component), and `bits` if `different` is given: then only ids with a partner whose bits differ in at most so many places are compared by content. `contents` are a function from a table of ids to (id, content), the type of content, and a function that gives the sets of a column of it.
+    Of each key the component with most ids need not be compared with itself: its blocks only meet those of the other ids, which also meet one another."""
+    # keys with the same ids, as bands of copies often have, count once
+    alike_keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    rows = rows.join(alike_keys.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("major"), F.sum("n").alias("all"))
+    many = lambda n: F.greatest(F.ceil(n / block).cast("int"), F.lit(1))
+    sizes = sizes.select("key", F.col("major.component").alias("major"), many(F.col("major.n")).alias("majors"), many(F.col("all") - F.col("major.n")).alias("minors"))
+    rows = kept(rows.join(sizes, "key"), "apart")
+    if rows.isEmpty():
+        return None
+    dealt = lambda n: F.pmod(F.xxhash64("id", F.lit(2)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda minor, i, j, left, right: F.struct(F.lit(minor).alias("minor"), i.alias("i"), j.alias("j"), left.alias("on_left"), right.alias("on_right"))
+    yes, no, own = F.lit(True), F.lit(False), dealt("minors")
+    of_major = F.transform(every("minors"), lambda i: place(0, i, dealt("majors"), no, yes))
+    of_minor = F.concat(F.transform(every("majors"), lambda j: place(0, own, j, yes, no)),
+                        F.transform(every("minors"), lambda j: place(1, F.least(own, j), F.greatest(own, j), own <= j, own >= j)))
+    own_columns = ["id", "component", *(["bits"] if different is not None else [])]
+    placed = rows.select("key", *own_columns, F.explode(F.when(F.col("component") == F.col("major"), of_major).otherwise(of_minor)).alias("at")).select("key", "at.*", *own_columns)
+    fetch, kind, sets = contents
+    order = ["key", "minor", "i", "j"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = lambda frame: frame.repartition(tasks, *order).sortWithinPartitions(*order)
+    if different is not None:
+        placed = grouped(placed).mapInArrow(_hopeful(different), "key long, minor int, i int, j int, on_left boolean, on_right boolean, id long, component long")
+        placed = kept(placed, "hopeful")
+    placed = placed.join(fetch(placed.select("id")).hint("merge"), "id").select(*order, "on_left", "on_right", "id", "component", F.col("content").cast(kind).alias("content"))
+    links = kept(grouped(placed).mapInArrow(_compared(sets, percent), "u long, v long"), "links")
+    discard(rows)
+    return links
+
+
 def rarest_keys(named: DataFrame, held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """A `narrow` for sets with elements (id, key) and sizes (id, n): the keys of an id are its rarest elements.
 
@@ -96,11 +201,16 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
+def list_sets(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a column of lists of distinct values."""
+    values, bounds = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+    return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def set_checker(percent: int):
     """For mapInArrow: of rows (u, v, set of u, set of v) the (u, v) that are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (va, oa), (vb, ob) = ((c.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))))) for c in (batch.column(2), batch.column(3)))
-            good = [alike(va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]], percent) for i in range(len(batch))]
+            good = [alike(a, b, percent) for a, b in zip(list_sets(batch.column(2)), list_sets(batch.column(3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
     return run

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .links import linked_components, rarest_keys, set_checker, shared_buckets
+from .graph import star_components
+from .links import linked_components, list_sets, rarest_keys, set_checker, shared_buckets
 from .runtime import compact, kept
 
 WORDS, PERCENT = 5, 75
@@ -107,7 +108,8 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         sets = open_sets[0]
         return rarest_keys(named, sets.select("id", F.explode("set").alias("key")), sets.select("id", F.size("set").alias("n")), percent)
 
-    groups = linked_components(shared, lambda pairs: verify(pairs, *open_sets), narrow=narrow, percent=percent)
+    contents = (lambda ids: open_sets[0].select("id", F.col("set").alias("content")), "array<long>", list_sets)
+    groups = linked_components(shared, lambda pairs: verify(pairs, *open_sets), star_components, narrow, contents, percent)
     named = classes.join(groups, "id", "left").select("sum1", "sum2", "n_shingles", F.coalesce("component", "id").alias("component"))
     return (sketches.select("id", "n_shingles", "sum1", "sum2").join(named, ["sum1", "sum2", "n_shingles"], "left")
             .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")))

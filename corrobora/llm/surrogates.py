@@ -9,7 +9,7 @@ word of a name apart, the last one as surname; initials are shifted by a keyed n
 mentions, in whatever format and document, get one surrogate (coreference). The surrogate of an entity is drawn from a keyed SHA-256 of its
 type and canonical form: character by character a letter of the same case and script or a digit, except that addresses stay
 valid, card numbers keep their first digit and pass the Luhn check, e-mail domains are reserved ones, and names are built from syllables of the
-script, given names with the ending of the title's gender. It is then written into the format of each mention.
+script, given names with the ending of the gender that most of the name's titles have, wherever they stand. It is then written into the format of each mention.
 
 Collisions: all distinct entities are checked against each other. Where two draw the same surrogate, or one draws a canonical form that really occurs,
 the smallest entity (of the first kind) keeps it and the others draw again with the next round's key, until all are distinct. The pools grow with the
@@ -214,6 +214,16 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
             raise ValueError(f"no free surrogates left for {left.groupBy('type').count().collect()}")
 
 
+def _one_gender(parts: DataFrame) -> DataFrame:
+    """Parts of mentions with one type for each given name: the gender that most of its titles have, the female one in a tie, none if no title tells."""
+    given, letter = F.col("type").startswith("given_"), F.substr("type", F.lit(7), F.lit(1))
+    votes = parts.where(given).groupBy("canonical").agg(F.count(F.when(letter == "f", 1)).alias("f"), F.count(F.when(letter == "m", 1)).alias("m"))
+    chosen = votes.select("canonical", F.when((F.col("f") >= F.col("m")) & (F.col("f") > 0), "f").when(F.col("m") > 0, "m").otherwise("n").alias("gender"))
+    rest = F.substr("type", F.lit(8), F.length("type"))
+    joined = parts.join(chosen, "canonical", "left").withColumn("type", F.when(given, F.concat(F.lit("given_"), F.col("gender"), rest)).otherwise(F.col("type")))
+    return joined.select(*parts.columns)
+
+
 def replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: str = KEY) -> DataFrame:
     """All rows and columns of `docs` with the text's entities replaced, and a last column n_entities (or n_entities_, ...): how many there were."""
     found, n, row, key_row, key_chars, new_parts, names, pattern = (free_name(docs, x) for x in ("mentions", "n_entities", "row_key", "row", "chars", "new", "names", "pattern"))
@@ -231,7 +241,7 @@ def replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     mentions = with_some.select(F.col(row).alias("row"), F.length(text_column).alias("chars"), F.posexplode(found).alias("at", "m")).select("row", "chars", "at", "m.*").distinct()
     name = F.struct(F.lit("").alias("before"), F.col("name.type").alias("type"), F.col("name.canonical").alias("canonical"), F.col("mention").alias("raw"))
     parts = mentions.select("row", "chars", "at", F.posexplode(F.when(F.col("name").isNotNull(), F.array(name)).otherwise(pieces(F.col("mention"), key))).alias("part", "p"))
-    parts = kept(parts.select("row", "chars", "at", "part", "p.*"), "mentions")
+    parts = kept(_one_gender(parts.select("row", "chars", "at", "part", "p.*")), "mentions")
     known = assigned(parts.select("type", "canonical").distinct(), key)
     new = _once(parts.join(known, ["type", "canonical"]), "shift", F.greatest(F.lit(0), F.length(F.regexp_replace("raw", "[^0-9]", "")) - F.length("surrogate")))
     new = new.select("row", "chars", "at", "part", F.concat("before", written(F.col("type"), F.col("raw"), F.col("surrogate"), F.col("shift"))).alias("new"))

@@ -47,7 +47,7 @@ def near_duplicates(rows: list[tuple]) -> dict:
     return {i: (len(sets[i]), found[i]) for i in sets}
 
 
-def line_dedup(rows: list[tuple], chars: int = 10, percent: int = 80) -> dict:
+def line_dedup(rows: list[tuple], chars: int = 4, percent: int = 80) -> dict:
     """{id: (n_lines, n_removed, kept_in, text)}."""
     places = defaultdict(list)
     for i, text in sorted(rows):

@@ -165,3 +165,25 @@ def test_proximity_matches(spark, docs_frame):
     rows = docs_frame([(1, "two one three four six five seven eight nine ten twelve eleven"), (2, "one " + "x " * 40 + "two three"), (3, "nothing of it")])
     assert decontamination.matches(rows, items).collect() == []
     assert {(r.doc, r.item) for r in decontamination.matches(rows, items, slop=4).collect()} == {(1, 1)}
+
+
+@pytest.mark.parametrize("frequent,piece,block", [(64, 512, 512), (8, 16, 8)])
+def test_lines_in_large_groups(spark, docs_frame, monkeypatch, frequent, piece, block):
+    """Families of near-copies, some just above and some just below the limit: marked keys, cut pieces and blocks lose no link."""
+    from corrobora.llm import links
+    monkeypatch.setattr(lines, "FREQUENT", frequent)
+    monkeypatch.setattr(lines, "PIECE", piece)
+    monkeypatch.setattr(lines, "cross_links", lambda *a, **b: links.cross_links(*a, block=block, **b))
+    rng, rows = random.Random(11), []
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    for family in range(3):
+        base = rng.sample(letters, 120)
+        for i in range(130):
+            own = list(base)
+            for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+                own[at] = rng.choice(letters)
+            rows.append((1000 * family + i, "".join(own)))
+    rows += [(9000 + i, "".join(rng.sample(letters, 90))) for i in range(60)]
+    want = brute.line_dedup(rows)
+    got = {r.doc_id: (r.removed_.n if r.removed_ else 0) for r in lines.deduplicated(docs_frame(rows)).collect()}
+    assert got == {i: x[1] for i, x in want.items()} and 100 < sum(got.values()) < len(rows)
