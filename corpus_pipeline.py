@@ -26,10 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each repeated line only in the first document that has it; n_chars is the new length."""
+    """Each repeated line only in the first document that has it; n_chars is the new length. Documents that lose all their lines go, as exact copies do; those
+    that had none stay."""
     prepare(spark)
-    out = lines.deduplicated(docs)
-    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    out, removed = lines.deduplicated(docs), free_name(docs, "removed")
+    rest = out.where(F.col(removed).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return rest.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
