@@ -99,9 +99,9 @@ reply_answers AS (SELECT run_id, claim_no, '{"text":"Statement ' || CAST(claim_n
 
 def reply_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Reply text by run: plain, fenced, inside prose, with a malformed item, claims not a list, truncated."""
-    text = views.CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}").replace("{", "{{").replace("}", "}}").replace("{{lineitem}}", "{lineitem}") + "," + _ITEMS_SQL.replace("{", "{{").replace("}", "}}")
+    items = "," + _ITEMS_SQL.replace("{", "{{").replace("}", "}}")
     def listed(name, order):
-        f = spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=views.table(spark, sf, "lineitem"))
+        f = views.claim_table(spark, sf, name, items)
         return f.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "item"))), lambda r: r["item"]), ",").alias(name))
     rows = listed("reply_items", "claim_no").join(listed("reply_aspects", "aspect_no"), "run_id").join(listed("reply_answers", "claim_no"), "run_id")
     case, lit = F.col("run_id") % 6, F.lit

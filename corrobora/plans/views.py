@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import text as tx
 from ..operators import documents as docs
+from ..sources.tables import shared_folder
 
 
 _schemas: dict[str, StructType] = {}
@@ -185,9 +186,10 @@ SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY chunk_id, t, d, r
 FROM c"""
 
 # claims as extracted (unknown aspects, repeats), their evidence, and the aspects of each run
-CLAIMS_SQL = f"""
+_BASE_SQL = f"""
 v4 AS ({CLAIM_ROWS_SQL}),
-base AS (SELECT *, CASE WHEN run_id % 3 = 0 AND value = '14 days' THEN 'A7' ELSE 'A' || CAST(aspect_no AS STRING) END AS topic FROM v4),
+base AS (SELECT *, CASE WHEN run_id % 3 = 0 AND value = '14 days' THEN 'A7' ELSE 'A' || CAST(aspect_no AS STRING) END AS topic FROM v4)"""
+_DERIVED_SQL = """
 claims AS (
   SELECT run_id, CAST(no AS INT) AS claim_no, 'C' || CAST(no AS STRING) AS claim_id,
     CASE WHEN (claim_no + document_id) % 23 = 0 THEN 'A9' ELSE topic END AS aspect_id,
@@ -208,12 +210,26 @@ note_evidence AS (SELECT run_id, 'N' || CAST(claim_no AS STRING) AS eid, 'n' ||
 entries AS (
   SELECT run_id, claim_no AS entry_no, 'N' || CAST(claim_no AS STRING) AS evidence, CASE WHEN document_id % 5 = 0 THEN 'too short' ELSE upper(text) END AS quote, aspect_id FROM note_rows
   UNION ALL SELECT run_id, claim_no + 1000, 'N' || CAST(claim_no AS STRING), text, aspect_id FROM note_rows)"""
+CLAIMS_SQL = f"{_BASE_SQL},{_DERIVED_SQL}"
 
+_bases: dict[tuple[str, str], str] = {}
 
-def claim_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+
+def claim_base(spark: SparkSession, sf: str) -> DataFrame:
+    """The claim rows as a stored table, bucketed by run: what is derived from it and joined by run needs no exchange. Written once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _bases or not spark.catalog.tableExists(_bases[key]):
+        path = shared_folder(spark, "claims")
+        rows = spark.sql(f"WITH {_BASE_SQL.replace('FROM lineitem', 'FROM {lineitem}')} SELECT * FROM base", lineitem=table(spark, sf, "lineitem"))
+        buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), path.rsplit("/", 1)[1].replace("-", "_")
+        rows.repartition(buckets, "run_id").write.bucketBy(buckets, "run_id").sortBy("run_id").option("path", path).saveAsTable(name)
+        _bases[key] = name
+    return spark.table(_bases[key])
+
+
+def claim_table(spark: SparkSession, sf: str, name: str, more: str = "") -> DataFrame:
     """claims, evidence, aspects, note_evidence, entries (or v4, the raw templated rows)."""
-    text = CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}")
-    frame = spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=table(spark, sf, "lineitem"))
+    frame = spark.sql(f"WITH base AS (SELECT * FROM {{base}}), v4 AS (SELECT * FROM base),{_DERIVED_SQL}{more} SELECT * FROM {name}", base=claim_base(spark, sf))
     if "text" in frame.columns and "eid" in frame.columns:
         frame = frame.withColumn("text_hash", tx.text_hash(F.col("text")))
     return frame
@@ -257,8 +273,7 @@ drafts AS (SELECT run_id, CAST(claim_no AS INT) AS sentence_no, 'Statement ' ||
 
 
 def run_flags(spark: SparkSession, sf: str, name: str, flagged: bool) -> DataFrame:
-    text = CLAIMS_SQL.replace("FROM lineitem", "FROM {lineitem}") + "," + RUNS_SQL.replace("{flag}", str(flagged).lower())
-    return spark.sql(f"WITH {text} SELECT * FROM {name}", lineitem=table(spark, sf, "lineitem"))
+    return claim_table(spark, sf, name, "," + RUNS_SQL.replace("{flag}", str(flagged).lower()))
 
 
 CONFLICTS_SQL = r"""
