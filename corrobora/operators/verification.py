@@ -83,3 +83,22 @@ def ungrounded(shown: DataFrame, stored: DataFrame) -> DataFrame:
     for c in place:
         same = same & F.col(c).eqNullSafe(F.col(f"stored_{c}"))
     return joined.withColumn("problem", F.when(F.col("text").isNull(), "unknown passage").when(~same, "differs from passage")).filter("problem IS NOT NULL")
+
+
+def audit_runs(runs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per run how many shown claims, related passages and notes there are, how many of them differ from their stored passage, and how many cited ids name no shown claim.
+
+    runs: run_id, scope, claims, related, results (with notes), sentences (with claim_ids); stored: scope, chunk_id, document_id, document, page, section, text."""
+    fields = ["chunk_id", "document_id", "document", "page", "section", "quote"]
+    notes = F.flatten(F.transform("results", lambda a: a["notes"]))
+    shown = None
+    for kind, items in (("claims", F.col("claims")), ("related", F.col("related")), ("notes", notes)):
+        rows = runs.select("run_id", "scope", F.lit(kind).alias("kind"), F.explode(F.transform(items, lambda x: F.struct(*[x[f].alias(f) for f in fields]))).alias("x")).select("run_id", "scope", "kind", "x.*")
+        shown = rows if shown is None else shown.unionByName(rows)
+    bad = ungrounded(shown, stored).groupBy("run_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"bad_{k}") for k in ("claims", "related", "notes")])
+    ids = F.transform("claims", lambda c: c["claim_id"])
+    cited = F.flatten(F.transform("sentences", lambda s: s["claim_ids"]))
+    unknown = F.filter(cited, lambda c: ~F.array_contains(ids, c))
+    sizes = {"n_claims": F.size("claims"), "n_related": F.size("related"), "n_notes": F.size(notes), "unknown_citations": F.size(unknown)}
+    counts = runs.select("run_id", *[n.cast("bigint").alias(c) for c, n in sizes.items()]).withColumnsRenamed({f"n_{k}": k for k in ("claims", "related", "notes")})
+    return counts.join(bad, "run_id", "left").select("run_id", "claims", "related", "notes", *[F.coalesce(f"bad_{k}", F.lit(0)).cast("bigint").alias(f"bad_{k}") for k in ("claims", "related", "notes")], "unknown_citations")

@@ -8,6 +8,7 @@ from ..functions import wording
 from ..operators import composition as cm
 from ..operators import conflicts as cf
 from ..operators import layout, rating
+from ..operators import verification as vf
 from . import q_conflicts as qc
 from . import views
 from .catalog import query
@@ -170,6 +171,22 @@ def cmp_headline(spark, sf):
     return composed(spark, sf).select("run_id", "state", "headline", *[F.size(c).cast("bigint").alias(c) for c in ("sentences", "claims", "related")])
 
 
+@query("ver_grounding_runs", _sql("""SELECT run_id, claims, related, CASE WHEN run_id % 7 = 3 THEN claims ELSE 0 END AS bad_claims, CASE WHEN run_id % 7 = 4 THEN related ELSE 0 END AS bad_related, 0::BIGINT AS bad_notes,
+  CASE WHEN run_id % 7 = 5 THEN sentences ELSE 0 END AS unknown_citations
+FROM (SELECT run_id, CASE WHEN state = 'INSUFFICIENT' THEN 0 ELSE coalesce(nsent, 0) END AS sentences, CASE WHEN state = 'INSUFFICIENT' THEN 0 ELSE claims_verified END AS claims,
+    CASE WHEN evidence_only THEN least(5, evidence_retrieved) WHEN state = 'INSUFFICIENT' THEN least(3, evidence_retrieved) ELSE 0 END AS related
+  FROM states s LEFT JOIN (SELECT run_id, count(*) AS nsent FROM sentences GROUP BY 1) USING (run_id))""", _SENTENCES_SQL))
+def ver_grounding_runs(spark, sf):
+    """Everything that composed runs show, some of it tampered with: pages of claims, documents of related passages, cited ids."""
+    run = F.col("run_id")
+    rows = composed(spark, sf).withColumns({
+        "claims": F.when(run % 7 == 3, F.transform("claims", lambda c: c.withField("page", F.coalesce(c["page"], F.lit(0)) + 1))).otherwise(F.col("claims")),
+        "related": F.when(run % 7 == 4, F.transform("related", lambda r: r.withField("document_id", r["document_id"] + 1))).otherwise(F.col("related")),
+        "sentences": F.when(run % 7 == 5, F.transform("sentences", lambda s: s.withField("claim_ids", F.concat(s["claim_ids"], F.array(F.lit("C999999")))))).otherwise(F.col("sentences")), "scope": run})
+    passages = views.claim_table(spark, sf, "evidence").unionByName(views.claim_table(spark, sf, "note_evidence")).withColumn("scope", run)
+    return vf.audit_runs(rows, passages).drop("notes")
+
+
 @query("cmp_locations", views.claims_sql(r"""SELECT run_id, eid, coalesce(nullif(concat_ws(' · ', CASE WHEN page IS NOT NULL THEN 'Page ' || page END, section), ''), 'Paragraph ' || paragraph) AS location,
   replace(replace(document, '.pdf', ''), '_', ' ') AS name, replace(replace(document, '.pdf', ''), '_', ' ') || ' states: ' || text AS sentence FROM evidence"""))
 def cmp_locations(spark, sf):
