@@ -58,8 +58,9 @@ def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return kept(compact(named.join(keys, "key", "left_semi")), "open")
 
 
-BLOCK = 512            # ids of a block: a task holds two
-COLUMNS = 8192         # elements counted at a time
+BLOCK = 512            # ids of a block that is compared by content: a task holds two
+BIT_BLOCK = 2048       # ids of a block that is compared by bits first, which take 8 bytes an id
+CELLS = 1 << 22        # of the matrix of ids and elements that is multiplied at a time
 Contents = tuple[Callable[[DataFrame], DataFrame], str, Callable[[pa.Array], list[np.ndarray]]]
 
 
@@ -73,9 +74,10 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -
     owner, column = owner[times[column] > 1], number[column[times[column] > 1]]
     order = np.argsort(column, kind="stable")
     owner, column, common = owner[order], column[order], np.zeros((len(left), len(right)), dtype=np.float32)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (low, low + COLUMNS))
-        held = np.zeros((len(left) + len(right), COLUMNS), dtype=np.float32)
+    width = max(64, min(CELLS // max(1, len(left) + len(right)), int(column[-1]) + 1 if len(column) else 1))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        held = np.zeros((len(left) + len(right), width), dtype=np.float32)
         held[owner[a:b], column[a:b] - low] = 1
         common += held[:len(left)] @ held[len(left):].T
     same = np.rint(common).astype(np.int64)
@@ -106,9 +108,11 @@ def _hopeful(different: int):
         for rows in groups_of(batches, ["key", "minor", "i", "j"]):
             bits, components = rows["bits"].to_numpy(), rows["component"].to_numpy()
             l, r = (np.flatnonzero(rows[c].to_numpy()) for c in ("on_left", "on_right"))
-            close = (np.bitwise_count((bits[l][:, None] ^ bits[r][None, :]).view(np.uint64)) <= different) & (components[l][:, None] != components[r][None, :])
             keep = np.zeros(len(bits), dtype=bool)
-            keep[l[close.any(axis=1)]] = keep[r[close.any(axis=0)]] = True
+            for low in range(0, len(l), 256):
+                own = l[low:low + 256]
+                close = (np.bitwise_count((bits[own][:, None] ^ bits[r][None, :]).view(np.uint64)) <= different) & (components[own][:, None] != components[r][None, :])
+                keep[own[close.any(axis=1)]] = keep[r[close.any(axis=0)]] = True
             if keep.any():
                 yield from rows.drop_columns(["bits"]).filter(pa.array(keep)).combine_chunks().to_batches()
     return run
@@ -135,11 +139,12 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def cross_links(rows: DataFrame, contents: Contents, percent: int, block: int = BLOCK, different: int | None = None) -> DataFrame | None:
+def cross_links(rows: DataFrame, contents: Contents, percent: int, block: int | None = None, different: int | None = None) -> DataFrame | None:
     """Links (u, v) between ids of a key that are in different components, at least one for each two components that such a link joins; None if there are no rows.
 
     Rows are (key, id, component), and `bits` if `different` is given: then only ids with a partner whose bits differ in at most so many places are compared by content. `contents` are a function from a table of ids to (id, content), the type of content, and a function that gives the sets of a column of it.
     Of each key the component with most ids need not be compared with itself: its blocks only meet those of the other ids, which also meet one another."""
+    block = block or (BLOCK if different is None else BIT_BLOCK)
     # keys with the same ids, as bands of copies often have, count once
     alike_keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     rows = rows.join(alike_keys.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
