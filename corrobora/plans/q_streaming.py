@@ -10,7 +10,8 @@ from .catalog import query
 
 
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.readStream.schema(views.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A given table as a stream, one file or a folder of parts: as a pattern the path may be either."""
+    return spark.readStream.schema(views.table(spark, sf, name).schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 @query("str_ingest", views.chunks_sql("SELECT doc_id, source, ordinal, page, section, paragraph, text, text_hash FROM chunks"))

@@ -44,3 +44,14 @@ def test_late_lines_are_accounted_for(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/out/lines/batch=*").collect()
     assert len(rows) == sum(map(len, deliveries))
     assert sorted(r.ts for r in rows if r.late) == sorted(map(at, [40, 49, 79, 10]))
+
+
+def test_streams_read_folders_of_parts(spark, tmp_path):
+    from __spark_entry__ import queries
+    known = queries()
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    documents.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    fields = ["doc_id", "ordinal", "text_hash"]
+    got = known["str_ingest"](spark, str(tmp_path)).select(*fields).collect()
+    want = known["chunk_finalize"](spark, str(tmp_path)).select(*fields).collect()
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, want))
