@@ -31,3 +31,12 @@ def test_checks_of_equal_inputs_join_back_to_every_row(spark):
     got = vf.checked_once(rows, F.col("i") != 5, ["quote", "text", "scanned"], check, rows).select("i", "quote", "shown_quote").collect()
     want = {i: "The sum is due" if i % 3 and i != 5 else None for i in range(12)}
     assert asked == [4] and {r.i: r.shown_quote for r in got} == want and all(r.quote for r in got) and len(got) == 12
+
+
+def test_claims_move_before_the_results_read_them(spark):
+    from corrobora.operators import conflicts as cf
+    run = spark.createDataFrame([(1, False, False, True)], "run_id long, check_failed boolean, evidence_only boolean, has_documents boolean")
+    t = {n: views.claim_table(spark, SF, n) for n in ("claims", "evidence", "aspects", "entries", "note_evidence")}
+    rows = cf.case_rows(run, t["aspects"], vf.check_claims(t["claims"], t["evidence"], t["aspects"]), vf.supersession_notes(t["entries"], t["note_evidence"]))
+    plan = rows.select("results")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Generate inline" in line and "topics" in line for line in plan.splitlines()) == 1
