@@ -58,8 +58,9 @@ def nrm_singular(spark, sf):
 units AS (SELECT document_id, CASE WHEN unit = 'weeks' THEN q * 7 ELSE q END AS q, CASE WHEN unit = 'weeks' THEN 'day' WHEN length(unit) > 3 AND right(unit, 1) = 's' THEN left(unit, length(unit) - 1) ELSE lower(coalesce(unit, '')) END AS unit FROM found)
 SELECT regexp_replace(regexp_replace(CAST(CAST(q AS DECIMAL(18, 4)) AS VARCHAR), '0+$', ''), '\\.$', '') AS num, unit, count(*) AS statements, count(DISTINCT document_id) AS documents FROM units GROUP BY ALL""")
 def nrm_quantity(spark, sf):
-    c = views.claim_table(spark, sf, "v4").select("document_id", F.explode(vs.quantities(F.col("text"))).alias("q"))
-    return c.groupBy("q.num", "q.unit").agg(F.count(F.lit(1)).alias("statements"), F.countDistinct("document_id").alias("documents"))
+    said = views.claim_table(spark, sf, "v4").groupBy("document_id", "text").agg(F.count(F.lit(1)).alias("n"))  # equal texts of a document are read once
+    c = said.select("document_id", "n", F.explode(vs.quantities(F.col("text"))).alias("q"))
+    return c.groupBy("q.num", "q.unit").agg(F.sum("n").alias("statements"), F.countDistinct("document_id").alias("documents"))
 
 
 _PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
