@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.text import strip
+from ..functions.text import settled, strip
 from ..functions.wording import joined, lower_first
 
 SENTENCES = "array<struct<text:string,claim_ids:array<string>>>"
@@ -42,7 +42,8 @@ def default_sentences() -> Column:
 def with_sentences(rows: DataFrame) -> DataFrame:
     """Adds `sentences`. Needs results, claims and answer array<struct<text,claims>>."""
     disputed = F.filter("claims", lambda c: F.exists("results", lambda a: (a["status"] == "conflict") & (a["aspect_id"] == c["aspect_id"])))
-    rows = rows.withColumns({"_verified": F.transform("claims", lambda c: c["claim_id"]), "_disputed": F.transform(disputed, lambda c: c["claim_id"])})
+    # the lambdas over drafts and claims name these arrays: merged into them, they would be built anew for every draft and every claim
+    rows = settled(rows, _verified=F.transform("claims", lambda c: c["claim_id"]), _disputed=F.transform(disputed, lambda c: c["claim_id"]))
     rows = rows.withColumn("_said", F.concat(conflict_sentences(), kept_drafts()))
     return rows.withColumn("sentences", F.when(F.size("_said") > 0, F.col("_said")).otherwise(default_sentences())).drop("_said", "_disputed")
 
@@ -50,7 +51,7 @@ def with_sentences(rows: DataFrame) -> DataFrame:
 def with_citations(rows: DataFrame) -> DataFrame:
     """Numbers claims by first use in the sentences, then the rest in order; claims come back in that order."""
     order = F.array_union(F.flatten(F.transform("sentences", lambda s: s["claim_ids"])), F.col("_verified"))
-    rows = rows.withColumn("_order", order)
+    rows = settled(rows, _order=order)
     fields = [f.name for f in rows.schema["claims"].dataType.elementType.fields]
     numbered = F.transform("claims", lambda c: F.struct(
         F.array_position("_order", c["claim_id"]).cast("int").alias("citation"), *[c[f].alias(f) for f in fields]))
@@ -58,14 +59,15 @@ def with_citations(rows: DataFrame) -> DataFrame:
 
 
 def with_result(rows: DataFrame) -> DataFrame:
-    """Adds `headline` and `related`; an insufficient answer shows no sentences and no claims. Needs state and evidence."""
+    """Adds `headline` and, where there is `evidence`, `related`; an insufficient answer shows no sentences and no claims. Needs state."""
     empty = F.col("state") == "INSUFFICIENT"
     topics = F.transform(F.filter("results", lambda a: a["status"] == "conflict"), lambda a: lower_first(a["label"]))
     headline = (F.when(F.col("evidence_only"), fixed.HEADLINE_EVIDENCE_ONLY).when(empty, fixed.HEADLINE_INSUFFICIENT)
                 .when(F.col("state") == "CONFLICT", F.concat(F.lit("The documents disagree on "), joined(topics), F.lit(".")))
                 .otherwise(F.coalesce(F.get("sentences", F.lit(0))["text"], F.lit(fixed.HEADLINE_DEFAULT))))
     limit = F.when(F.col("evidence_only"), fixed.RELATED_EVIDENCE_ONLY).when(empty, fixed.RELATED_INSUFFICIENT).otherwise(0)
+    related = {"related": F.slice("evidence", F.lit(1), limit)} if "evidence" in rows.columns else {}
     return rows.withColumns({
-        "headline": headline, "related": F.slice("evidence", F.lit(1), limit),
+        "headline": headline, **related,
         "sentences": F.when(empty, F.slice("sentences", 1, 0)).otherwise(F.col("sentences")),
         "claims": F.when(empty, F.slice("claims", 1, 0)).otherwise(F.col("claims"))})
