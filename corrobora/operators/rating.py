@@ -143,8 +143,10 @@ def with_warnings(rows: DataFrame, keyword_only: Column | None = None) -> DataFr
     return rows.withColumn("warnings", F.when(F.col("has_documents"), listed).otherwise(F.slice(listed, 1, 0)))
 
 
-def rated(rows: DataFrame, keyword_only: Column | None = None) -> DataFrame:
-    return with_warnings(with_reasons(with_rule(with_signals(rows))), keyword_only)
+def rated(rows: DataFrame, keyword_only: Column | None = None, reasons: bool = True) -> DataFrame:
+    """Without `reasons` the results need no notes."""
+    ruled = with_rule(with_signals(rows))
+    return with_warnings(with_reasons(ruled) if reasons else ruled, keyword_only)
 
 
 def facts(signals: Column) -> Column:

@@ -30,15 +30,21 @@ def drafts(spark: SparkSession, sf: str) -> DataFrame:
         x["text"].alias("text"), x["claims"].alias("claims"))).alias("answer"))
 
 
-def rated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = qc.cases(spark, sf, True).join(evidence_arrays(spark, sf), "run_id", "left")
-    rows = rows.withColumn("evidence", F.when(F.col("has_documents"), F.col("evidence")).otherwise(F.slice("evidence", 1, 0)))
-    rows = rows.withColumns({"n_evidence": F.size("evidence"), "llm_source": F.when(F.col("evidence_only") | ~F.col("has_documents"), "none").otherwise("live")})
-    return rating.rated(rows)
-
-
-def composed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rated(spark, sf).join(drafts(spark, sf), "run_id", "left")
+def rated(spark: SparkSession, sf: str, noted: bool = False, fields: list[str] = cf.RATED) -> DataFrame:
+    """Rated runs; `noted` for readers of reasons, which name the notes."""
+    evidence = views.claim_table(spark, sf, "evidence").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_evidence"))
+    rows = qc.cases(spark, sf, True, fields, noted).join(evidence, "run_id", "left")
+    rows = rows.withColumns({"n_evidence": F.when(F.col("has_documents"), F.coalesce("n_evidence", F.lit(0))).otherwise(0),
+                             "llm_source": F.when(F.col("evidence_only") | ~F.col("has_documents"), "none").otherwise("live")})
+    return rating.rated(rows, reasons=noted)
+
+
+def composed(spark: SparkSession, sf: str, related: bool = True) -> DataFrame:
+    """Composed runs; `related` for readers of the related passages."""
+    rows = rated(spark, sf, noted=related, fields=cf.CLAIM).join(drafts(spark, sf), "run_id", "left")
+    if related:
+        rows = rows.join(evidence_arrays(spark, sf), "run_id", "left")
+        rows = rows.withColumn("evidence", F.when(F.col("has_documents"), F.col("evidence")).otherwise(F.slice("evidence", 1, 0)))
     rows = rows.withColumn("answer", F.coalesce("answer", F.expr("cast(array() as array<struct<text:string,claims:array<string>>>)")))
     return cm.with_result(cm.with_citations(cm.with_sentences(rows)))
 
@@ -120,7 +126,7 @@ def unc_state(spark, sf):
 
 @query("unc_reasons", _sql("SELECT run_id, reasons FROM reason_lists", _REASONS_SQL))
 def unc_reasons(spark, sf):
-    return rated(spark, sf).select("run_id", F.array_join("reasons", SEP).alias("reasons"))
+    return rated(spark, sf, noted=True).select("run_id", F.array_join("reasons", SEP).alias("reasons"))
 
 
 @query("unc_signals", _sql(f"SELECT run_id, {', '.join(rating.SIGNALS)} FROM states"))
@@ -141,7 +147,7 @@ def cmp_conflict_sentences(spark, sf):
 
 @query("cmp_filter_drafts", _sql("SELECT run_id, text, array_to_string(ids, ',') AS claim_ids FROM good WHERE run_id IN (SELECT run_id FROM states WHERE state <> 'INSUFFICIENT')", _SENTENCES_SQL))
 def cmp_filter_drafts(spark, sf):
-    s = composed(spark, sf).select("run_id", F.explode("sentences").alias("s")).select("run_id", "s.text", F.array_join("s.claim_ids", ",").alias("claim_ids"))
+    s = composed(spark, sf, related=False).select("run_id", F.explode("sentences").alias("s")).select("run_id", "s.text", F.array_join("s.claim_ids", ",").alias("claim_ids"))
     return s.filter("text LIKE 'Statement %'")
 
 
@@ -152,13 +158,13 @@ def cmp_strip_ids(spark, sf):
 
 @query("cmp_default_sentences", _sql("SELECT run_id, sentence_no, text, array_to_string(ids, ',') AS claim_ids FROM sentences WHERE g = 2", _SENTENCES_SQL))
 def cmp_default_sentences(spark, sf):
-    s = composed(spark, sf).select("run_id", F.posexplode("sentences").alias("sentence_no", "s"))
+    s = composed(spark, sf, related=False).select("run_id", F.posexplode("sentences").alias("sentence_no", "s"))
     return s.filter("s.text LIKE '% states: %'").select("run_id", "sentence_no", "s.text", F.array_join("s.claim_ids", ",").alias("claim_ids"))
 
 
 @query("cmp_citations", _sql("SELECT run_id, claim_id, citation FROM citations", _SENTENCES_SQL))
 def cmp_citations(spark, sf):
-    return composed(spark, sf).select("run_id", F.explode("claims").alias("c")).select("run_id", "c.claim_id", "c.citation")
+    return composed(spark, sf, related=False).select("run_id", F.explode("claims").alias("c")).select("run_id", "c.claim_id", "c.citation")
 
 
 @query("cmp_headline", _sql("""SELECT run_id, state, CASE WHEN evidence_only THEN 'Automatic analysis is unavailable right now. These are the most relevant passages.' WHEN state = 'INSUFFICIENT' THEN 'The uploaded documents do not contain enough evidence to answer this.'

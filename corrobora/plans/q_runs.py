@@ -81,7 +81,7 @@ def run_debug(spark, sf):
 
 @query("sink_result_json", qr._sql("SELECT run_id, state, CAST(rule AS BIGINT) AS rule, claims_verified, len(string_split(reasons, ' || ')) AS reasons FROM states LEFT JOIN reason_lists USING (run_id)", qr._REASONS_SQL))
 def sink_result_json(spark, sf):
-    rows = tables.to_result_json(qr.rated(spark, sf), ["state", "rule", "signals", "reasons"])
+    rows = tables.to_result_json(qr.rated(spark, sf, noted=True), ["state", "rule", "signals", "reasons"])
     back = tables.from_result_json(rows.select("run_id", "result_json"), "state string, rule bigint, signals struct<claims_verified:bigint>, reasons array<string>")
     return back.select("run_id", "result.state", "result.rule", "result.signals.claims_verified", F.size("result.reasons").cast("bigint").alias("reasons"))
 

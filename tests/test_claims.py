@@ -40,3 +40,36 @@ def test_claims_move_before_the_results_read_them(spark):
     rows = cf.case_rows(run, t["aspects"], vf.check_claims(t["claims"], t["evidence"], t["aspects"]), vf.supersession_notes(t["entries"], t["note_evidence"]))
     plan = rows.select("results")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Generate inline" in line and "topics" in line for line in plan.splitlines()) == 1
+
+
+def test_stored_claim_lines_are_rounded_once(spark):
+    views.claim_base(spark, SF)
+    kinds = dict(spark.table(views._bases[(spark.sparkContext.applicationId, SF)]).dtypes)
+    assert kinds["quantity"] == kinds["discount"] == "int" and "round(" not in views.claim_base(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spaces_to_strip_are_those_of_the_pattern(spark):
+    from corrobora import fixed
+    from corrobora.functions import text as tx
+    points = spark.createDataFrame([(chr(i),) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000], "c string")
+    assert {r.c for r in points.filter(F.col("c").rlike(fixed.WS)).collect()} == set(fixed.WS_CHARS)
+    assert points.limit(1).select(tx.strip(F.lit("　 a b\x85\n"))).first()[0] == "a b"
+
+
+def test_cases_gather_only_what_is_asked_for(spark):
+    from corrobora.operators import conflicts as cf
+    from corrobora.plans import q_conflicts as qc
+    rows = qc.cases(spark, SF)
+    assert [f.name for f in rows.schema["claims"].dataType.elementType.fields] == cf.POSITION
+    assert "notes" not in rows.schema["results"].dataType.elementType.fieldNames()
+
+
+def test_citations_read_arrays_that_are_built_once(spark):
+    from corrobora.operators import composition as cm
+    rows = spark.sql("""SELECT array(named_struct('claim_id', 'C1', 'aspect_id', 'A1', 'document', 'd', 'position_key', 'text:x', 'value', 'x', 'quote', 'q')) AS claims,
+      array(named_struct('status', 'consistent', 'aspect_id', 'A1', 'positions', array(named_struct('documents', array('d'), 'display', 'x', 'claim_ids', array('C1'))))) AS results,
+      array(named_struct('text', 'Said.', 'claims', array('C1')), named_struct('text', 'Not.', 'claims', array('C2'))) AS answer, id FROM range(2)""")
+    done = cm.with_citations(cm.with_sentences(rows))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert all("inline" in line for line in plan.splitlines() if "array_union" in line)
+    assert [(r.claims[0].citation, [s.text for s in r.sentences]) for r in done.collect()] == [(1, ["Said."])] * 2
