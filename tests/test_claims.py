@@ -73,3 +73,11 @@ def test_citations_read_arrays_that_are_built_once(spark):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert all("inline" in line for line in plan.splitlines() if "array_union" in line)
     assert [(r.claims[0].citation, [s.text for s in r.sentences]) for r in done.collect()] == [(1, ["Said."])] * 2
+
+
+def test_order_lines_are_numbered_without_shuffled_rows(spark):
+    lines = views.table(spark, SF, "lineitem").select(*[F.expr(e).alias(c) for e, c in views._LINE.items()])
+    placed = spark.table(views._bucketed(spark, lines, 4, "lines"))
+    numbered = views.numbered_lines(spark, placed)
+    assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, numbered.collect())) == sorted(map(repr, views.numbered_lines(spark, lines).collect()))
