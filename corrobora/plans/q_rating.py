@@ -10,6 +10,7 @@ from ..operators import conflicts as cf
 from ..operators import layout, rating
 from ..operators import verification as vf
 from . import q_conflicts as qc
+from . import q_verification as qv
 from . import views
 from .catalog import query
 
@@ -137,7 +138,10 @@ def unc_signals(spark, sf):
 @query("unc_warnings", _sql("""SELECT run_id, CASE WHEN has_documents THEN array_to_string(list_filter([CASE WHEN evidence_only THEN 'Automatic analysis unavailable.' END, CASE WHEN ocr_claims > 0 THEN ocr_claims || CASE WHEN ocr_claims = 1 THEN ' passage comes' ELSE ' passages come' END || ' from scanned images.' END,
   CASE WHEN check_failed THEN 'The conflict check could not be completed.' END, CASE WHEN run_id % 7 = 0 THEN 'Semantic search is unavailable; keyword search only.' END], lambda w: w IS NOT NULL), ' || ') ELSE '' END AS warnings FROM states"""))
 def unc_warnings(spark, sf):
-    return rating.with_warnings(rated(spark, sf), F.col("run_id") % 7 == 0).select("run_id", F.array_join("warnings", SEP).alias("warnings"))
+    """Warnings count the claims of a run and need neither its arrays nor its positions."""
+    counted = cf.scanned_claims(views.run_flags(spark, sf, "runs", True), qv.checked(spark, sf))
+    rows = counted.withColumn("signals", F.struct("ocr_claims"))
+    return rating.with_warnings(rows, F.col("run_id") % 7 == 0).select("run_id", F.array_join("warnings", SEP).alias("warnings"))
 
 
 @query("cmp_conflict_sentences", _sql("SELECT run_id, text, array_to_string(ids, ',') AS claim_ids FROM said", _SENTENCES_SQL))

@@ -81,3 +81,20 @@ def test_order_lines_are_numbered_without_shuffled_rows(spark):
     numbered = views.numbered_lines(spark, placed)
     assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(repr, numbered.collect())) == sorted(map(repr, views.numbered_lines(spark, lines).collect()))
+
+
+def test_claims_are_checked_once_without_a_join_to_find_them(spark):
+    t = {n: views.claim_table(spark, SF, n).filter("run_id < 400") for n in ("claims", "evidence", "aspects")}
+    asked = views.claim_base(spark, SF).select("quote", "text", "extraction_method", "value", "value_type")
+    plain = vf.check_claims(t["claims"], t["evidence"], t["aspects"])
+    once = vf.check_claims(t["claims"], t["evidence"], t["aspects"], once=True, asked=asked)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, once.select(plain.columns).collect()))
+
+
+def test_results_are_built_once_and_warnings_without_arrays(spark):
+    from corrobora.plans import catalog
+    catalog.load()
+    plan = lambda name: catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan("cfl_positions").splitlines() if "Filter" in line]
+    assert filters and not any("transform(" in line for line in filters)
+    assert "collect_list" not in plan("unc_warnings")
