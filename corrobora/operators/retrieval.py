@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..functions import text as tx
 from ..operators import layout
+from ..sources.tables import stored
 
 KEY = ["doc_id", "ordinal"]
 
@@ -29,10 +30,14 @@ def _top(frame: DataFrame, order: list[Column], limit: int, rank: str) -> DataFr
 
 
 def bm25_top(questions: DataFrame, postings: DataFrame, terms: DataFrame, corpus: DataFrame, limit: int = fixed.CANDIDATES) -> DataFrame:
-    """question_id, doc_id, ordinal, score, bm25_rank: question words meet the postings; repeated words count again."""
+    """question_id, doc_id, ordinal, score, bm25_rank: question words meet the postings; repeated words count again.
+
+    The weighted words are stored, so that Spark knows their size before it plans the join: few are broadcast and the postings stay where they are.
+    """
     words = (questions.select("question_id", "scope", F.explode(tx.tokens(F.col("question"))).alias("token"))
              .groupBy("question_id", "scope", "token").agg(F.count(F.lit(1)).alias("times")))
     weighted = words.join(terms.select("scope", "token", "idf"), ["scope", "token"]).join(corpus.select("scope", "avg_length"), "scope")
+    weighted = stored(weighted, "words")
     k1, b, tf = fixed.BM25_K1, fixed.BM25_B, F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     scored = postings.join(weighted, ["scope", "token"]).groupBy("question_id", *KEY).agg(F.round(F.sum(part), 9).alias("score"))
@@ -110,8 +115,8 @@ def diverse(fused: DataFrame, top_k: int = fixed.TOP_K) -> DataFrame:
 
 
 def evidence_items(chosen: DataFrame, passages: DataFrame) -> DataFrame:
-    """E1..En with the stored text and location columns; only chosen passages are joined to their text."""
-    return chosen.join(passages, KEY).withColumns({
+    """E1..En with the stored text and location columns; only chosen passages are joined to their text. They are stored for their size to be known, as the words of questions."""
+    return stored(chosen, "chosen").join(passages, KEY).withColumns({
         "eid": F.concat(F.lit("E"), F.col("rank").cast("string")), "fused_score": F.round("fused", 5)}).drop("fused")
 
 
@@ -142,16 +147,18 @@ def recall(evidence: DataFrame, truth: DataFrame, cutoffs: tuple[int, ...] = (1,
 
 
 def planted_in(items: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
-    """item_id, doc_id where a passage holds a run of `words` words of the item, or all of a shorter item: equi-joins on words, never all pairs."""
+    """item_id, doc_id where a passage holds a run of `words` words of the item, or all of a shorter item: equi-joins on words, never all pairs.
+
+    What the items ask for is stored, so that Spark knows its size: where it is small, the runs of the passages are not shuffled."""
     def runs(t):
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, words), " ")))
     toks = tx.tokens(F.col("text"))
     wanted = items.select("item_id", toks.alias("t")).filter(F.size("t") > 0)
     have = passages.select("doc_id", toks.alias("t"))
-    long_items = wanted.filter(F.size("t") >= words).select("item_id", F.explode(runs(F.col("t"))).alias("run"))
+    long_items = stored(wanted.filter(F.size("t") >= words).select("item_id", F.explode(runs(F.col("t"))).alias("run")), "runs")
     found = have.filter(F.size("t") >= words).select("doc_id", F.explode(runs(F.col("t"))).alias("run")).join(long_items, "run").select("item_id", "doc_id")
     # a short item is met through its first word and then compared in full
     padded = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
-    short_items = wanted.filter(F.size("t") < words).select("item_id", padded(F.col("t")).alias("run"), F.get("t", F.lit(0)).alias("word"))
+    short_items = stored(wanted.filter(F.size("t") < words).select("item_id", padded(F.col("t")).alias("run"), F.get("t", F.lit(0)).alias("word")), "short-items")
     short = have.select("doc_id", padded(F.col("t")).alias("whole"), F.explode(F.array_distinct("t")).alias("word")).join(short_items, "word").filter(F.contains("whole", "run"))
     return found.union(short.select("item_id", "doc_id")).distinct()
