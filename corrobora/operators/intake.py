@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.memo import built_once
-from ..functions.text import let, strip
+from ..functions.text import let, settled, strip
 
 
 def _attribute(c: Column) -> Column:
@@ -121,38 +121,32 @@ def recorded(called: DataFrame) -> DataFrame:
 
 
 # --- replies --------------------------------------------------------------------------------------
-_BRACES = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.S)
+_FENCE = re.compile(r"```(?:json)?", re.I)
 
 
 def first_object(reply: str | None) -> str | None:
-    """The first balanced {...} of a reply (braces inside strings do not count), if it is valid JSON."""
-    text = re.sub(r"```(?:json)?", "", reply or "", flags=re.I)
-    start, depth = text.find("{"), 0
+    """The first balanced {...} of a reply (braces inside strings do not count), if it is valid JSON: as it stands, or written anew where a key
+    repeats (its last value holds) or a number is not finite (it becomes a word)."""
+    text = _FENCE.sub("", reply or "")
+    start, odd = text.find("{"), []
     if start < 0:
         return None
-    for token in _BRACES.finditer(text, start):
-        depth += {"{": 1, "}": -1}.get(token.group(), 0)
-        if depth == 0:
-            return _readable(text[start:token.end()])
-    return None
-
-
-def _readable(candidate: str) -> str | None:
-    """The object as it stands; written anew where a key repeats (its last value holds) or a number is not finite (it becomes a word)."""
-    odd = []
 
     def pairs(items):
-        odd.extend(items if len(dict(items)) < len(items) else ())
-        return dict(items)
+        found = dict(items)
+        if len(found) < len(items):
+            odd.append(items)
+        return found
 
     def word(name):
         odd.append(name)
         return str(float(name.replace("Infinity", "inf")))
     try:
-        value = json.loads(candidate, object_pairs_hook=pairs, parse_constant=word)
+        # what is read ends where its braces balance; an object that cannot be read up to there is none
+        value, end = json.JSONDecoder(object_pairs_hook=pairs, parse_constant=word).raw_decode(text, start)
     except ValueError:
         return None
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) if odd else candidate
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) if odd else text[start:end]
 
 
 def well_formed(reply: str | None) -> bool:
@@ -169,19 +163,25 @@ def _first_object(replies: pd.Series) -> pd.Series:
 
 
 def with_json(replies: DataFrame, column: str = "raw_response", out: str = "json") -> DataFrame:
-    """Adds the JSON object of each reply or NULL. Replies with text around the object, or with
-    anything after a closing brace that could be such text, go to Python, as do those that the JVM cannot parse."""
-    plain = strip(F.regexp_replace(column, r"(?i)```(?:json)?", ""))
-    whole = let(plain, lambda p: F.when(p.rlike(r"^\{(?s:.*)\}$") & ~p.rlike(r"\}\s*[^\s,\]\}]") & F.try_parse_json(p).isNotNull(), p))
-    staged = replies.withColumn("_whole", whole)
+    """Adds the JSON object of each reply or NULL. Replies with text around the object go to Python, as do those that the JVM cannot parse.
+
+    Spark's parser stops at the end of the first value. That nothing follows the object is known from its place in an array, where it must be
+    the only element, and in another object, where no bracket can close the array early."""
+    staged = settled(replies, **{column: F.col(column)})
+    staged = settled(staged, _plain=strip(F.regexp_replace(column, r"(?i)```(?:json)?", "")))
+    only = (F.json_array_length(F.concat(F.lit("["), "_plain", F.lit("]"))) == 1) & F.try_parse_json(F.concat(F.lit('{"o":'), "_plain", F.lit("}"))).isNotNull()
+    staged = settled(staged, _whole=F.when(F.startswith("_plain", F.lit("{")) & F.endswith("_plain", F.lit("}")) & only, F.col("_plain")))
     rest = _first_object(F.when(F.col("_whole").isNull(), F.col(column)))
-    return staged.withColumn(out, F.coalesce("_whole", rest)).drop("_whole")
+    return staged.withColumn(out, F.coalesce("_whole", rest)).drop("_plain", "_whole")
 
 
-def _part(item: Column, name: str) -> Column:
+def _seen(v: Column) -> Column:
     """struct<kind,text>: type name and text of a field; kind is NULL when absent and VOID when null."""
-    return let(F.try_variant_get(item, f"$.{name}", "variant"), lambda v: F.struct(
-        F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")))
+    return F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text"))
+
+
+def _part(item: Column, name: str) -> Column:
+    return let(F.try_variant_get(item, f"$.{name}", "variant"), _seen)
 
 
 def _text(part: Column) -> Column:
@@ -201,9 +201,10 @@ def _flag(part: Column, default: bool) -> Column:
 
 
 def _items(name: str, fields: list[str], fits, shape) -> Column:
-    """Items of a list that fit their shape; the fields of an item are read once."""
-    listed = F.coalesce(F.try_variant_get("_v", f"$.{name}", "array<variant>"), F.expr("cast(array() as array<variant>)"))
-    read = F.transform(listed, lambda i: F.struct(i.alias("item"), *[_part(i, f).alias(f) for f in fields]))
+    """Items of a list that fit their shape; the fields of an item are read in one go (what is no object has none)."""
+    shape_of = f"array<struct<{', '.join(f'{f}: variant' for f in fields)}>>"
+    listed = F.coalesce(F.try_variant_get("_v", f"$.{name}", shape_of), F.expr(f"cast(array() as {shape_of})"))
+    read = F.transform(listed, lambda i: F.struct(i.alias("item"), *[_seen(i[f]).alias(f) for f in fields]))
     return F.transform(F.filter(read, lambda p: F.coalesce(fits(p), F.lit(False))), shape)
 
 
@@ -240,14 +241,14 @@ def _supersession() -> Column:
 @built_once
 def _answer() -> Column:
     def cited(p):
-        return F.try_variant_get(p["item"], "$.claims", "array<variant>")
+        return F.try_variant_get(p["item"]["claims"], "$", "array<variant>")
 
     def fits(p):
         strings = F.forall(cited(p), lambda c: F.schema_of_variant(c) == "STRING")
         return _text(p["text"]).isNotNull() & (p["claims"]["kind"].isNull() | F.coalesce(strings, F.lit(False)))
 
     return _items("answer", ["text", "claims"], fits, lambda p: F.struct(p["text"]["text"].alias("text"), F.coalesce(
-        F.try_variant_get(p["item"], "$.claims", "array<string>"), F.expr("cast(array() as array<string>)")).alias("claims")))
+        F.try_variant_get(p["item"]["claims"], "$", "array<string>"), F.expr("cast(array() as array<string>)")).alias("claims")))
 
 
 def _usable(v: Column) -> Column:
@@ -262,9 +263,9 @@ def _usable(v: Column) -> Column:
 
 def validated(replies: DataFrame, json_column: str = "json") -> DataFrame:
     """Adds `valid` and the items that fit: aspects, claims, supersession, answer, ambiguous, ambiguity_note."""
-    rows = replies.withColumn("_v", F.try_parse_json(json_column))
-    # `_v` is named once here, so a filter on `valid` that is pushed down parses the reply once, not once per mention
-    rows = rows.withColumn("valid", let(F.col("_v"), _usable)).withColumn("_v", F.when(F.col("valid"), F.col("_v")))
+    # a filter on `valid` is not pushed below these, so a reply is parsed once, and not once per mention
+    rows = settled(replies, _v=F.try_parse_json(json_column))
+    rows = settled(rows, valid=let(F.col("_v"), _usable)).withColumn("_v", F.when(F.col("valid"), F.col("_v")))
     flag, note = _part(F.col("_v"), "ambiguous"), _part(F.col("_v"), "ambiguity_note")
     # any text that is not empty counts as yes, the word "false" too
     said = F.when(flag["kind"] == "STRING", flag["text"] != "").otherwise(~flag["text"].isin("false", "0", "[]", "{}", "0.0"))

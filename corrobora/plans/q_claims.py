@@ -88,26 +88,33 @@ def clm_external_call(spark, sf):
 
 
 # --- replies assembled from claims ----------------------------------------------------------------------
-_ITEMS_SQL = """
-reply_claims AS (SELECT run_id, claim_no, 'C' || CAST((claim_no - 1) % 5 + 1 AS STRING) AS id, CASE WHEN aspect_id = 'A9' THEN 'zz' ELSE aspect_id END AS aspect, evidence, quote,
-    CASE WHEN claim_no % 9 = 5 THEN '42.5' ELSE value END AS value, CASE WHEN claim_no % 9 = 6 THEN 'weird' ELSE value_type END AS kind, scope, explicit FROM claims WHERE claim_no < 1000),
-reply_items AS (SELECT run_id, claim_no, '{"id":"' || id || '","aspect":"' || aspect || '","evidence":"' || evidence || '","quote":"' || quote || '","value":' || CASE WHEN claim_no % 9 = 5 THEN '42.5' ELSE '"' || value || '"' END
-  || ',"value_type":"' || upper(kind) || '","scope":' || coalesce('"' || scope || '"', 'null') || CASE WHEN explicit THEN '' ELSE ',"explicit":false' END || ',"extra":{"a":"}"}}' AS item FROM reply_claims),
-reply_aspects AS (SELECT run_id, aspect_no, '{"id":"' || aspect_id || '","label":"' || label || '"}' AS item FROM aspects),
-reply_answers AS (SELECT run_id, claim_no, '{"text":"Statement ' || CAST(claim_no AS STRING) || '","claims":["' || id || '","nope"]}' AS item FROM reply_claims)"""
+_REPLY_COLUMNS = """run_id, claim_no, 'C' || CAST((claim_no - 1) % 5 + 1 AS STRING) AS id, CASE WHEN aspect_id = 'A9' THEN 'zz' ELSE aspect_id END AS aspect, evidence, quote,
+    CASE WHEN claim_no % 9 = 5 THEN '42.5' ELSE value END AS value, CASE WHEN claim_no % 9 = 6 THEN 'weird' ELSE value_type END AS kind, scope, explicit"""
+_ITEM_SQL = """'{"id":"' || id || '","aspect":"' || aspect || '","evidence":"' || evidence || '","quote":"' || quote || '","value":' || CASE WHEN claim_no % 9 = 5 THEN '42.5' ELSE '"' || value || '"' END
+  || ',"value_type":"' || upper(kind) || '","scope":' || coalesce('"' || scope || '"', 'null') || CASE WHEN explicit THEN '' ELSE ',"explicit":false' END || ',"extra":{"a":"}"}}'"""
+_ASPECT_SQL = """'{"id":"' || aspect_id || '","label":"' || label || '"}'"""
+_ANSWER_SQL = """'{"text":"Statement ' || CAST(claim_no AS STRING) || '","claims":["' || id || '","nope"]}'"""
+_ITEMS_SQL = f"""
+reply_claims AS (SELECT {_REPLY_COLUMNS} FROM claims WHERE claim_no < 1000),
+reply_items AS (SELECT run_id, claim_no, {_ITEM_SQL} AS item FROM reply_claims),
+reply_aspects AS (SELECT run_id, aspect_no, {_ASPECT_SQL} AS item FROM aspects),
+reply_answers AS (SELECT run_id, claim_no, {_ANSWER_SQL} AS item FROM reply_claims)"""
+# the same items from one reading of the claim rows: a run's claims, statements and aspects are gathered together, in place where the rows are bucketed by run
+_GATHERED_SQL = f""",
+reply_rows AS (SELECT {_REPLY_COLUMNS}, aspect_no, topic FROM (SELECT {views.CLAIM_COLUMNS}, aspect_no, topic FROM (SELECT *, claim_no AS no FROM base))),
+gathered AS (SELECT run_id, sort_array(collect_list(struct(claim_no, item, answer)) FILTER (WHERE claim_no < 1000)) AS said, {views.ASPECT_FLAGS}
+  FROM (SELECT run_id, claim_no, aspect_no, topic, {_ITEM_SQL} AS item, {_ANSWER_SQL} AS answer FROM reply_rows) GROUP BY run_id),
+reply_parts AS (SELECT run_id, array_join(said.item, ',') AS reply_items, array_join(said.answer, ',') AS reply_answers,
+  concat_ws(',', {", ".join(f"CASE WHEN has{n} THEN (SELECT {_ASPECT_SQL} FROM (SELECT 'A{n}' AS aspect_id, '{label}' AS label)) END" for n, label in sorted(views.ASPECT_LABELS.items()))}) AS reply_aspects FROM gathered)"""
 
 
 def reply_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Reply text by run: plain, fenced, inside prose, with a malformed item, claims not a list, truncated."""
-    items = "," + _ITEMS_SQL.replace("{", "{{").replace("}", "}}")
-    def listed(name, order):
-        f = views.claim_table(spark, sf, name, items)
-        return f.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "item"))), lambda r: r["item"]), ",").alias(name))
-    rows = listed("reply_items", "claim_no").join(listed("reply_aspects", "aspect_no"), "run_id").join(listed("reply_answers", "claim_no"), "run_id")
+    rows = views.claim_table(spark, sf, "reply_parts", _GATHERED_SQL.replace("{", "{{").replace("}", "}}"))
     case, lit = F.col("run_id") % 6, F.lit
     claims = F.when(case == 4, lit('"none"')).otherwise(F.concat(lit("["), F.when(case == 3, lit('{"id":5,"aspect":"A1"},"text",')).otherwise(""), F.col("reply_items"), lit("]")))
     body = F.concat(lit('{"aspects":['), F.col("reply_aspects"), lit('],"claims":'), claims, lit(',"supersession":[],"answer":['), F.col("reply_answers"), lit('],"ambiguous":true,"ambiguity_note":"two readings"}'))
-    rows = rows.select("run_id", body.alias("body"))
+    rows = tx.settled(rows.select("run_id", body.alias("body")), body=F.col("body"))
     fenced, prose = F.concat(lit("```json\n"), F.col("body"), lit("\n```")), F.concat(lit("Here is the result: "), F.col("body"), lit(" Done {x"))
     return rows.select("run_id", F.when(case == 1, fenced).when(case == 2, prose).when(case == 5, F.expr("left(body, length(body) - 20)")).otherwise(F.col("body")).alias("raw_response"),
                        F.concat(lit("model-"), (F.col("run_id") % 4).cast("string")).alias("model"))

@@ -98,3 +98,27 @@ def test_results_are_built_once_and_warnings_without_arrays(spark):
     filters = [line for line in plan("cfl_positions").splitlines() if "Filter" in line]
     assert filters and not any("transform(" in line for line in filters)
     assert "collect_list" not in plan("unc_warnings")
+
+
+def test_replies_are_read_once_and_gathered_in_place(spark):
+    from corrobora.plans import catalog
+    catalog.load()
+    query = catalog.QUERIES["clm_lenient_validate"](spark, SF)._jdf.queryExecution()
+    nodes = [line.split("- ")[-1] for line in query.executedPlan().toString().splitlines()]
+    assert sum("ArrowEvalPython" in n for n in nodes) == 1 and not any("Exchange" in n or "Join" in n for n in nodes)
+
+
+def test_only_replies_with_text_around_the_object_go_to_python(spark):
+    from corrobora.operators import intake
+    whole = ['{"claims":[{"a":"}"}]}', '```json\n{"claims":[{"a":"}\\""},2]}\n```']
+    more = ['{"claims":[]}]}', '{"claims":[]}, "x"}', '{"claims":[]}}}', '{"claims":[]} {"claims":[1]}', 'so: {"claims":[]} done {', '{"claims":[]}, {"claims":"}x"}']
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(whole + more + ['{"claims":[', None])], "i int, raw_response string")
+    got = [r.json for r in intake.with_json(rows).orderBy("i").collect()]
+    assert got == ['{"claims":[{"a":"}"}]}', '{"claims":[{"a":"}\\""},2]}'] + ['{"claims":[]}'] * len(more) + [None, None]
+    sent = []
+    udf, intake._first_object = intake._first_object, lambda c: sent.append(c) or F.lit(None).cast("string")
+    try:
+        alone = [r.json for r in intake.with_json(rows).orderBy("i").collect()]
+    finally:
+        intake._first_object = udf
+    assert sent and alone == got[:2] + [None] * (len(more) + 2)
