@@ -3,6 +3,8 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corrobora.llm import decontamination, hashing, lines, near_duplicates, substrings
@@ -187,3 +189,40 @@ def test_lines_in_large_groups(spark, docs_frame, monkeypatch, frequent, piece,
     want = brute.line_dedup(rows)
     got = {r.doc_id: (r.removed_.n if r.removed_ else 0) for r in lines.deduplicated(docs_frame(rows)).collect()}
     assert got == {i: x[1] for i, x in want.items()} and 100 < sum(got.values()) < len(rows)
+
+
+def test_sketches_refuse_pairs_but_never_links(monkeypatch):
+    from corrobora.llm import links
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) for n in (1, 5, 60, 250)]
+    sets = []
+    for values in base:
+        for share in (0, 0.02, 0.1, 0.11, 0.12, 0.2, 0.3, 0.5):
+            changed = values.copy()
+            at = rng.permutation(len(values))[:round(share * len(values))]
+            changed[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64) * np.uint64(2)
+            sets.append(np.unique(changed))
+    want = np.array([[links.alike(a, b, 80) for b in sets] for a in sets])
+    counted = []
+    alike = links.alike
+    monkeypatch.setattr(links, "alike", lambda *pair: counted.append(1) or alike(*pair))
+    assert (links.exact_links(sets, sets, 80) == want).all() and want.sum() <= len(counted) < len(sets) ** 2 / 4
+    apart = rng.random(want.shape) < 0.5
+    assert (links.exact_links(sets, sets, 80, apart) == (want & apart)).all()
+    monkeypatch.setattr(links, "ONE_BY_ONE", 0)
+    assert (links.exact_links(sets, sets, 80) == want).all() and (links.exact_links(sets, sets, 80, apart) == (want & apart)).all()
+
+
+def test_pairs_of_lines_meet_their_texts_only_if_sketches_allow_a_link():
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(words[:20] + ["x" + w for w in words[20:]]), "short", "line\twith é and more"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(texts)]), pa.array([[int(i) for i in next(iter(hashing.slices(pa.array(["\n".join(texts)]), hashing.LINES)))[2].hashes.view(np.int64)]])], ["text", "ids"])
+    held = pa.Table.from_batches(lines._wanted_lines(4)(iter([batch]))).to_pylist()
+    assert {r["bytes"].decode() for r in held} == set(texts)
+    assert all(r["size"] == len({r["bytes"].decode()[i:i + 4] for i in range(max(1, len(r["bytes"].decode()) - 3))}) for r in held)
+    pairs = [(a, b) for a in held for b in held]
+    rows = pa.RecordBatch.from_pydict({"u": [a["id"] for a, _ in pairs], "v": [b["id"] for _, b in pairs], "su": [a["size"] for a, _ in pairs], "sv": [b["size"] for _, b in pairs],
+                                       "ku": [a["sketch"] for a, _ in pairs], "kv": [b["sketch"] for _, b in pairs]})
+    kept = {(r["u"], r["v"]) for b in lines._hopeful(80)(iter([rows])) for r in b.to_pylist()}
+    name = {r["id"]: texts.index(r["bytes"].decode()) for r in held}
+    assert {(name[u], name[v]) for u, v in kept} == {(0, 1), (1, 0)} | {(i, i) for i in range(len(texts))}
