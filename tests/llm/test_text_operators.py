@@ -226,3 +226,47 @@ def test_pairs_of_lines_meet_their_texts_only_if_sketches_allow_a_link():
     kept = {(r["u"], r["v"]) for b in lines._hopeful(80)(iter([rows])) for r in b.to_pylist()}
     name = {r["id"]: texts.index(r["bytes"].decode()) for r in held}
     assert {(name[u], name[v]) for u, v in kept} == {(0, 1), (1, 0)} | {(i, i) for i in range(len(texts))}
+
+
+def test_wanted_lines_are_found_where_the_texts_stand(spark):
+    """Places of lines come to the texts as bits of a set: every wanted line is found, and few others."""
+    texts = spark.createDataFrame([(d, "\n".join(f"line {i} of document {d}" for i in range(50))) for d in range(200)] + [(7, None)], "doc long, text string")
+    found = texts.select("doc", "text").mapInArrow(lines._occurrences, "doc long, line int, id long")
+    places = lines.kept(found.where("line % 10 = 3 AND doc < 100").select("id", "doc"), "places")
+    got = lines._lines_at(texts, places, 4, {"bytes": "binary"})
+    held = {bytes(r.bytes).decode() for r in got.collect()}
+    assert {f"line {i} of document {d}" for i in range(3, 50, 10) for d in range(100)} <= held and len(held) < 600
+
+
+def test_blocks_of_lines_meet_their_contents_only_if_sketches_allow_a_link(spark, monkeypatch):
+    from corrobora.llm import links
+    rng, sets = np.random.default_rng(9), {}
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64) * np.uint64(2)
+    for i in range(40):      # near copies of one another in two components, and others that share a third of their elements
+        own = base.copy()
+        own[rng.permutation(60)[:1 if i < 8 else 40]] = rng.integers(0, 2**63, 1 if i < 8 else 40, dtype=np.uint64) * np.uint64(2)
+        sets[i] = np.unique(own)
+    want = {(a, b) for a in sets for b in sets if a < b and a % 2 != b % 2 and links.alike(sets[a], sets[b], 80)}
+    rows = spark.createDataFrame([(1, i, i % 2, 0) for i in sets], "key long, id long, component long, bits long")
+    sketch = links.sketches(np.concatenate(list(sets.values())), np.cumsum([0, *map(len, sets.values())]))
+    marks = spark.createDataFrame([(i, len(s), sketch[i].tobytes()) for i, s in sets.items()], "id long, size int, sketch binary")
+    asked: list[int] = []
+
+    def fetch(ids):
+        asked.extend(r.id for r in ids.distinct().collect())
+        return spark.createDataFrame([(i, [int(x) for x in (sets[i] >> np.uint64(1)).astype(np.int64)]) for i in sets], "id long, content array<long>")
+
+    tried: list[tuple[int, int]] = []
+
+    def verify(pairs):
+        tried.extend((r.u, r.v) for r in pairs.collect())
+        return pairs.where("u < 8 AND v < 8")
+
+    contents = (fetch, "array<long>", links.list_sets)
+    few = links.cross_links(rows, contents, 80, different=15, marks=marks, verify=verify)
+    assert {(r.u, r.v) for r in few.collect()} == want and set(tried) == want and not asked
+    # more possible pairs than rows can hold meet their contents in blocks; one link joins the two components
+    monkeypatch.setattr(links, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(links, "BLOCK", 3)
+    many = {(min(r), max(r)) for r in links.cross_links(rows, contents, 80, different=15, marks=marks, verify=lambda pairs: pairs).select("u", "v").collect()}
+    assert many and many <= want and sorted(set(asked)) == list(range(8))
