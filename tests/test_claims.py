@@ -122,3 +122,16 @@ def test_only_replies_with_text_around_the_object_go_to_python(spark):
     finally:
         intake._first_object = udf
     assert sent and alone == got[:2] + [None] * (len(more) + 2)
+
+
+def test_runs_are_composed_once_to_be_audited(spark, tmp_path):
+    """Shown items with their counts come from one reading of the runs; a run that shows nothing, and one without related passages, keep their rows."""
+    item = "struct<chunk_id:string,document_id:int,document:string,page:int,section:string,quote:string>"
+    good, other = ("c1", 1, "a.pdf", 1, None, "due within"), ("c1", 2, "a.pdf", 1, None, "due within")
+    rows = [(1, 1, [(*good, "C1"), (*other, "C2")], [good], [([other],), ([good],)], [(["C1", "C9"],), (["C2", "C9"],)]), (2, 2, [], [], [], []), (3, 3, [(*good, "C1")], None, [], [(["C1"],)])]
+    claim = item[:-1] + ",claim_id:string>"
+    spark.createDataFrame(rows, f"run_id long, scope long, claims array<{claim}>, related array<{item}>, results array<struct<notes:array<{item}>>>, sentences array<struct<claim_ids:array<string>>>").write.parquet(f"{tmp_path}/runs")
+    stored = spark.createDataFrame([(1, "c1", 1, "a.pdf", 1, None, "payment is due within thirty days")], "scope long, chunk_id string, document_id int, document string, page int, section string, text string")
+    out = vf.audit_runs(spark.read.parquet(f"{tmp_path}/runs"), stored)
+    assert {tuple(r) for r in out.collect()} == {(1, 2, 1, 2, 1, 0, 1, 2), (2, 0, 0, 0, 0, 0, 0, 0), (3, 1, None, 0, 1, 0, 0, 0)}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan parquet") == 1
